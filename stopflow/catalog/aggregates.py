@@ -65,8 +65,8 @@ def _(t: Tables):
 @query(
     "time_bounds",
     "weather",
-    """SELECT min(at) AS first_time, max(at) AS last_time FROM (
-         SELECT TIMESTAMP '1970-01-01' + to_seconds(time - 18000) AS at FROM weather)""",
+    """SELECT min(local_time) AS first_time, max(local_time) AS last_time FROM (
+         SELECT TIMESTAMP '1970-01-01' + to_seconds(time - 18000) AS local_time FROM weather)""",
 )
 def _(t: Tables):
     return stats.time_bounds(t.weather.select(epoch_shift("time").alias("datetime")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stopflow.catalog.aggregates import HISTOGRAM_SQL
 from stopflow.catalog.expressions import haversine_sql
-from stopflow.catalog.joins import IN_TRACT_SQL, RADIUS, nearest_sql
+from stopflow.catalog.joins import IN_TRACT_SQL, nearest_sql
 from stopflow.catalog.registry import query, r, rounded
 from stopflow.catalog.roles import ORDER_SQL, TRIP_SQL, Tables, bin_sql
 from stopflow.functions import fold_window, map_values
@@ -45,7 +45,7 @@ OCCUPANCY_SQL = f"""
 """
 query("occupancy_histogram", "visits", OCCUPANCY_SQL)(occupancy_histogram)
 
-ENRICHED_COLUMNS = ["delay", "displacement", *TRACT_VALUES, "XDSegID", "xd_id", "average_speed"]
+ROAD_RADIUS = 0.001
 _TRAFFIC = ("xd_id", "average_speed", "reference_speed", "congestion", "extreme_congestion")
 _RAW_KEYS = (*TRIP, "route_id", "stop_sequence")
 _FULL_ORDER = f"{ORDER_SQL}, delay NULLS FIRST, sched_hdwy NULLS FIRST, actual_hdwy NULLS FIRST"
@@ -75,7 +75,7 @@ ENRICHED_SQL = f"""
       SELECT m.*, {", ".join("p." + c for c in TRACT_VALUES)}
       FROM moved m JOIN profile p ON {IN_TRACT_SQL}),
     lined AS (
-      SELECT p.*, n.XDSegID FROM placed p LEFT JOIN ({nearest_sql("placed", RADIUS)}) n
+      SELECT p.*, n.XDSegID FROM placed p LEFT JOIN ({nearest_sql("placed", ROAD_RADIUS, "roads")}) n
       ON p.map_longitude = n.map_longitude AND p.map_latitude = n.map_latitude),
     driven AS (
       SELECT l.*, {", ".join("s." + c for c in _TRAFFIC)}
@@ -87,13 +87,12 @@ ENRICHED_SQL = f"""
       SELECT * EXCLUDE ({", ".join(_TRAFFIC)}), {", ".join(_fill(c) for c in _TRAFFIC)}
       FROM driven)
 """
-_INPUTS = "visits raw profile segments slots"
+_INPUTS = "visits raw profile roads slots"
 
 
 def _enriched(t: Tables):
-    # Error events on a stop's segment are sparse, so traffic is looked up by a coarser id.
     return enriched_visits(
-        t.visits, t.raw, tract_profile(t.tracts), t.segments, t.traffic, RADIUS
+        t.visits, t.raw, tract_profile(t.tracts), t.roads, t.traffic, ROAD_RADIUS
     )
 
 

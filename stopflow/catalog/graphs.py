@@ -78,11 +78,11 @@ def _(t: Tables):
     "drop_edgeless_snapshots",
     "nodes edges",
     f"""SELECT {SNAP_SQL}, stop_id, y FROM nodes
-        WHERE ({SNAP_SQL}) IN (SELECT ({SNAP_SQL}) FROM edges WHERE displacement > 1.2)""",
+        WHERE ({SNAP_SQL}) IN (SELECT ({SNAP_SQL}) FROM edges WHERE displacement > 0.8)""",
 )
 def _(t: Tables):
     # Long edges only, so that some snapshots have none.
-    long_edges = t.edges.where(F.col("displacement") > 1.2)
+    long_edges = t.edges.where(F.col("displacement") > 0.8)
     return with_edges(t.nodes, long_edges).select(*NODE, "y")
 
 

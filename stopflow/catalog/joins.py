@@ -113,7 +113,7 @@ def _(t: Tables):
     return rounded(joined.select("visit_id", "GEOID", *TRACT_VALUES))
 
 
-def nearest_sql(source: str, radius: float) -> str:
+def nearest_sql(source: str, radius: float, lines: str = "segments") -> str:
     """Nearest straight segment per distinct coordinate pair of a source."""
     return f"""
     SELECT map_longitude, map_latitude, arg_min(XDSegID, rank_key) AS XDSegID
@@ -131,7 +131,7 @@ def nearest_sql(source: str, radius: float) -> str:
           FROM (SELECT DISTINCT map_longitude, map_latitude FROM {source}
                 WHERE map_longitude IS NOT NULL AND map_latitude IS NOT NULL) p
           CROSS JOIN (SELECT XDSegID, StartLong AS ax, StartLat AS ay, EndLong - StartLong AS dx,
-                             EndLat - StartLat AS dy FROM segments) s))
+                             EndLat - StartLat AS dy FROM {lines}) s))
       WHERE away < {radius}::DOUBLE)
     WHERE rank_key = 1 GROUP BY map_longitude, map_latitude
     """

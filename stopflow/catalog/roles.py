@@ -152,7 +152,7 @@ class Tables:
     def weather(self) -> DataFrame:
         return self.table("events").select(
             F.timestamp_diff("SECOND", F.expr(EPOCH), F.col("ts")).alias("time"),
-            (F.col("value") / 1000).alias("precipitation_intensity"),
+            (F.col("value") / 970).alias("precipitation_intensity"),
             (30 + F.col("event_id") % 61).cast("double").alias("temperature"),
             ((F.col("user_id") % 100) / 100).alias("humidity"),
         )
@@ -216,6 +216,10 @@ class Tables:
             (F.lit(36.0) + ((k * 83) % 199 + k % 5) / 1000).alias("EndLat"),
             (F.lit(-86.9) + ((k * 61) % 199 + 4) / 1000).alias("EndLong"),
         )
+        return self._as_paths(ends)
+
+    def _as_paths(self, ends: DataFrame) -> DataFrame:
+        """Straight lines from start and end columns, with their bounding box."""
         path = F.array(
             F.struct(F.col("StartLong").alias("lon"), F.col("StartLat").alias("lat")),
             F.struct(F.col("EndLong").alias("lon"), F.col("EndLat").alias("lat")),
@@ -230,6 +234,21 @@ class Tables:
             }
         )
 
+    @cached_property
+    def roads(self) -> DataFrame:
+        """A short stretch of road by every stop; sixteen roads in all, some out of reach."""
+        stop = F.col("stop_id")
+        off = F.when(stop % 5 == 0, 0.003).otherwise(0.0003)
+        lon = F.lit(-86.899) + ((stop * 37) % 100) / 500
+        lines = self.visits.select("stop_id").distinct().select(
+            (stop % 16).alias("XDSegID"),
+            (F.lit(36.001) + stop / 500 + off).alias("StartLat"),
+            (lon - 0.0004).alias("StartLong"),
+            (F.lit(36.001) + stop / 500 + off).alias("EndLat"),
+            (lon + 0.0004).alias("EndLong"),
+        )
+        return self._as_paths(lines)
+
     @cached_property
     def prepared(self) -> DataFrame:
         """Visits with features of their own, ready for targets and snapshots."""
@@ -240,13 +259,13 @@ class Tables:
                 {
                     "direction": map_values("route_direction_name", DIRECTION_CODES),
                     "slot": F.floor(F.col("time_window") / 4).cast("int"),
-                    "precipitation_intensity": F.col("load") / 100,
+                    "precipitation_intensity": F.col("load") / 97,
                     "temperature": (30 + v % 61).cast("double"),
                     "humidity": (F.col("trip_id") % 100) / 100,
                     "delay": F.when(v % 11 != 0, (v % 23 - 8).cast("double")),
                     "average_speed": 20 + stop * 0.3,
                     "extreme_congestion": (v % 7) / 8,
-                    "displacement": F.col("load") / 50,
+                    "displacement": F.col("load") / 47,
                     "median_income_last12months": 30000.0 + stop * 100,
                     "white_pct": stop / 100,
                     "black_pct": stop / 200,
@@ -433,7 +452,7 @@ ROLE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """
     SELECT CAST(epoch_us(ts) // 1000000 AS BIGINT) AS time,
-           value / 1000 AS precipitation_intensity,
+           value / 970 AS precipitation_intensity,
            CAST(30 + event_id % 61 AS DOUBLE) AS temperature, (user_id % 100) / 100 AS humidity
     FROM events
 """,
@@ -441,11 +460,11 @@ ROLE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "hourly": (
         ("weather",),
         """
-    SELECT CAST(year(at) AS INTEGER) AS year, CAST(month(at) AS INTEGER) AS month,
-           CAST(day(at) AS INTEGER) AS day, CAST(hour(at) AS INTEGER) AS hour,
+    SELECT CAST(year(local_time) AS INTEGER) AS year, CAST(month(local_time) AS INTEGER) AS month,
+           CAST(day(local_time) AS INTEGER) AS day, CAST(hour(local_time) AS INTEGER) AS hour,
            avg(precipitation_intensity) AS precipitation_intensity,
            avg(temperature) AS temperature, avg(humidity) AS humidity
-    FROM (SELECT *, TIMESTAMP '1970-01-01' + to_seconds(time - 18000) AS at FROM weather)
+    FROM (SELECT *, TIMESTAMP '1970-01-01' + to_seconds(time - 18000) AS local_time FROM weather)
     GROUP BY 1, 2, 3, 4
 """,
     ),
@@ -492,6 +511,17 @@ ROLE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
            36.0::DOUBLE + ((s_suppkey * 83) % 199 + s_suppkey % 5) / 1000 AS EndLat,
            -86.9::DOUBLE + ((s_suppkey * 61) % 199 + 4) / 1000 AS EndLong
     FROM supplier
+""",
+    ),
+    "roads": (
+        ("visits",),
+        """
+    SELECT stop_id % 16 AS XDSegID, lat AS StartLat, lon - 0.0004::DOUBLE AS StartLong,
+           lat AS EndLat, lon + 0.0004::DOUBLE AS EndLong
+    FROM (SELECT stop_id, -86.899::DOUBLE + ((stop_id * 37) % 100) / 500 AS lon,
+                 36.001::DOUBLE + stop_id / 500
+                   + CASE WHEN stop_id % 5 = 0 THEN 0.003::DOUBLE ELSE 0.0003 END AS lat
+          FROM (SELECT DISTINCT stop_id FROM visits))
 """,
     ),
     "prepared": (
@@ -500,12 +530,12 @@ ROLE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     SELECT * EXCLUDE (y_reg100, icon), y_reg100 AS load, icon AS weather_category,
            CASE route_direction_name WHEN 'TO DOWNTOWN' THEN 1 WHEN 'FROM DOWNTOWN' THEN 0 END
              AS direction,
-           time_window // 4 AS slot, y_reg100 / 100 AS precipitation_intensity,
+           time_window // 4 AS slot, y_reg100 / 97 AS precipitation_intensity,
            CAST(30 + visit_id % 61 AS DOUBLE) AS temperature,
            (trip_id % 100) / 100 AS humidity,
            CASE WHEN visit_id % 11 <> 0 THEN CAST(visit_id % 23 - 8 AS DOUBLE) END AS delay,
            20 + stop_id * 0.3::DOUBLE AS average_speed, (visit_id % 7) / 8 AS extreme_congestion,
-           y_reg100 / 50 AS displacement,
+           y_reg100 / 47 AS displacement,
            30000.0::DOUBLE + stop_id * 100 AS median_income_last12months,
            stop_id / 100 AS white_pct, stop_id / 200 AS black_pct, stop_id / 300 AS hispanic_pct,
            stop_id / 400 AS public_transit_pct, stop_id / 500 AS pct_public_transit_for_work,
@@ -515,10 +545,8 @@ ROLE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
            CASE WHEN visit_id % 17 <> 0
                 THEN -86.899::DOUBLE + ((stop_id * 37) % 100) / 500 END AS map_longitude,
            time_window // 4 AS slot_cat
-    FROM visits WHERE user_direction_known
-""".replace(
-            "user_direction_known", "route_direction_name IN ('TO DOWNTOWN', 'FROM DOWNTOWN')"
-        ),
+    FROM visits WHERE route_direction_name IN ('TO DOWNTOWN', 'FROM DOWNTOWN')
+""",
     ),
     "ready": (
         ("prepared",),

@@ -132,15 +132,15 @@ def _(t: Tables):
 @query(
     "ordered_split",
     "outbound",
-    f"""SELECT {SNAP_SQL}, CASE WHEN at < train THEN 'train'
-               WHEN at < train + val THEN 'validation' ELSE 'test' END AS split
+    f"""SELECT {SNAP_SQL}, CASE WHEN pos < train THEN 'train'
+               WHEN pos < train + val THEN 'validation' ELSE 'test' END AS split
         FROM (SELECT *, n - CAST(floor(n * 0.2::DOUBLE) AS BIGINT)
                           - CAST(floor(n * 0.1::DOUBLE) AS BIGINT) AS train,
                      CAST(floor(n * 0.1::DOUBLE) AS BIGINT) AS val
-              FROM (SELECT *, row_number() OVER (ORDER BY {SNAP_SQL}) - 1 AS at,
+              FROM (SELECT *, row_number() OVER (ORDER BY {SNAP_SQL}) - 1 AS pos,
                            count(*) OVER () AS n
                     FROM (SELECT DISTINCT {SNAP_SQL} FROM outbound)))
-        WHERE at <> train AND at <> train + val""",
+        WHERE pos <> train AND pos <> train + val""",
 )
 def _(t: Tables):
     return ordered_split(t.outbound.select(*SNAPSHOT).distinct(), SNAPSHOT)
@@ -212,10 +212,10 @@ def _(t: Tables):
 @query(
     "union_all",
     "visits raw",
-    f"""SELECT {TRIP_SQL}, stop_sequence, departure_time AS at FROM visits
+    f"""SELECT {TRIP_SQL}, stop_sequence, departure_time AS event_time FROM visits
         UNION ALL SELECT {TRIP_SQL}, stop_sequence, arrival_time FROM raw""",
 )
 def _(t: Tables):
-    a = t.visits.select(*TRIP, "stop_sequence", F.col("departure_time").alias("at"))
-    b = t.raw.select(*TRIP, "stop_sequence", F.col("arrival_time").alias("at"))
+    a = t.visits.select(*TRIP, "stop_sequence", F.col("departure_time").alias("event_time"))
+    b = t.raw.select(*TRIP, "stop_sequence", F.col("arrival_time").alias("event_time"))
     return a.unionByName(b)

@@ -39,7 +39,7 @@ def enrich(visits: DataFrame, raw: DataFrame, keys: Sequence[str] = RAW_KEYS) ->
 
     Duplicate raw rows multiply the visit, as every match is kept.
     """
-    return keyed_join(visits, with_delay(raw), keys, "left", null_safe=True)
+    return keyed_join(visits, with_delay(raw), keys, "left", null_safe=True, lookup=False)
 
 
 def traffic_slots(readings: DataFrame, county: str = "davidson") -> DataFrame:
@@ -64,7 +64,7 @@ def join_traffic(visits: DataFrame, slots: DataFrame) -> DataFrame:
     """Left join traffic slots on day, slot and the visit's road segment."""
     keys = ["year", "month", "day", SLOT, "XDSegID"]
     keyed = slots.withColumn("XDSegID", F.col("xd_id"))
-    return keyed_join(visits, keyed, keys, "left")
+    return keyed_join(visits, keyed, keys, "left", lookup=False)
 
 
 def weather_hourly_mean(weather: DataFrame, offset: int | None = None) -> DataFrame:

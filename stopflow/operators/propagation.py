@@ -3,6 +3,9 @@
 With the scaled Laplacian ``L = -D^-1/2 A D^-1/2`` (largest eigenvalue taken as 2, self-loops
 ignored): ``T0 = X``, ``T1 = L X``, ``Tk = 2 L T(k-1) - T(k-2)``. ``D`` is the sum of outgoing
 edge weights and messages run from source to target. See Defferrard et al. 2016.
+
+Every join has one row per (snapshot, stop) on its node side. A hub with very many edges makes a
+large partition on the edge side only, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -12,12 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stopflow.operators.skew import keyed_join
 from stopflow.operators.snapshots import EDGE, FEATURES, NODE, SNAPSHOT
-from stopflow.session import shared_dir
+from stopflow.session import stored
 
-# Rounds after which the growing plan is cut by a checkpoint.
-CHECKPOINT_EVERY = 2
+# Rounds after which the growing plan is cut by a stored table.
+STORE_EVERY = 2
 
 
 def normalised_edges(edges: DataFrame, weight: str = "displacement") -> DataFrame:
@@ -31,7 +33,7 @@ def normalised_edges(edges: DataFrame, weight: str = "displacement") -> DataFram
         ends = degree.select(
             *SNAPSHOT, F.col("source").alias(end), F.col("_deg").alias(f"_deg_{end}")
         )
-        out = keyed_join(out, ends, [*SNAPSHOT, end], "left")
+        out = out.join(ends, [*SNAPSHOT, end], "left")
     both = F.col("_deg_source") * F.col("_deg_target")
     usable = (F.col("_deg_source") > 0) & (F.col("_deg_target") > 0)
     norm = F.when(usable, -F.col("_w") / F.sqrt(both)).otherwise(F.lit(0.0))
@@ -41,7 +43,7 @@ def normalised_edges(edges: DataFrame, weight: str = "displacement") -> DataFram
 def _spread(terms: DataFrame, edges: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One multiplication by the scaled Laplacian."""
     sources = terms.withColumnRenamed("stop_id", "source")
-    messages = keyed_join(edges, sources, [*SNAPSHOT, "source"], "inner")
+    messages = edges.join(sources, [*SNAPSHOT, "source"])
     return messages.groupBy(*SNAPSHOT, F.col("target").alias("stop_id")).agg(
         *[F.sum(F.col("_norm") * F.col(c)).alias(f"_m_{c}") for c in cols]
     )
@@ -57,7 +59,7 @@ def khop(
     """Columns ``t0_<feature>`` .. ``t<k-1>_<feature>`` per (snapshot, stop)."""
     table = nodes.select(*NODE, *[F.col(c).cast("double").alias(f"t0_{c}") for c in cols])
     if k > 1:
-        norm = normalised_edges(edges, weight)
+        norm = stored(normalised_edges(edges, weight), "laplacian")
     for step in range(1, k):
         last = [f"t{step - 1}_{c}" for c in cols]
         moved = _spread(table.select(*NODE, *last), norm, last)
@@ -70,7 +72,6 @@ def khop(
                 got = 2 * got - F.col(f"t{step - 2}_{c}")
             new[f"t{step}_{c}"] = got
         table = table.withColumns(new).drop(*[f"_m_{c}" for c in last])
-        if step % CHECKPOINT_EVERY == 0 and step < k - 1:
-            shared_dir(table.sparkSession)
-            table = table.checkpoint()
+        if step % STORE_EVERY == 0 and step < k - 1:
+            table = stored(table, "rounds")
     return table

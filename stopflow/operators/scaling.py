@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stopflow.operators.ordered import rank_in_group
 from stopflow.operators.skew import keyed_join
+from stopflow.session import stored
 
 SCALED_COLUMNS = (
     "precipitation_intensity",
@@ -62,7 +63,12 @@ def label_codes(df: DataFrame, col: str) -> DataFrame:
 
 
 def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Add ``<col>_cat`` for every column."""
+    """Add ``<col>_cat`` for every column.
+
+    The distinct combinations of the columns are stored once; every column's values are ranked
+    from them, so the rows are read one extra time, not once per column.
+    """
+    seen = stored(df.select(*cols).distinct(), "labels")
     for c in cols:
-        df = keyed_join(df, label_codes(df, c), [c], "left")
+        df = keyed_join(df, label_codes(seen, c), [c], "left")
     return df

@@ -2,8 +2,9 @@
 
 Plain aggregates need none of this: Spark combines them before the shuffle. What is left are
 joins on fact keys and ordered windows inside a group. Both start from the same small fact, the
-list of heavy groups, which costs one pre-aggregated count over the key columns. Where no group
-is heavy the plan is the ordinary one.
+list of heavy groups, which costs one scan of the key columns and a count over a sample of
+them. Where no group is heavy the plan is the ordinary one. The list only steers how the work is
+spread: a group missed by the sample gives the same result on one task.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ MAX_HOT_GROUPS = 10_000
 # Ranges the heavy groups are cut into, all together, and sampled rows per range.
 MAX_BLOCKS = 4_000
 SAMPLES_PER_BLOCK = 20
+# Sampled rows expected of a group right at the limit; enough to make a miss negligible.
+EXPECTED_SAMPLE = 1_000
+SEED = 17
 
 BLOCK = "_block"
 _ROWS = "_group_rows"
@@ -45,12 +49,15 @@ def heavy_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """Keys (renamed ``_hot_<key>``) and sizes of groups too large for one task, or None."""
     spark = df.sparkSession
     limit = setting(spark, HOT_GROUP_ROWS)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_ROWS))
+    share = min(1.0, EXPECTED_SAMPLE / limit)
+    rows = df.select(*keys) if share == 1.0 else df.select(*keys).sample(share, SEED)
+    size = F.ceil(F.count(F.lit(1)) / share).alias(_ROWS)
+    sizes = rows.groupBy(*keys).agg(size)
     heaviest = (
         sizes.where(F.col(_ROWS) > limit).orderBy(F.desc(_ROWS)).limit(MAX_HOT_GROUPS)
     ).withColumnsRenamed({k: f"_hot_{k}" for k in keys})
-    rows = heaviest.collect()
-    return spark.createDataFrame(rows, heaviest.schema) if rows else None
+    found = heaviest.collect()
+    return spark.createDataFrame(found, heaviest.schema) if found else None
 
 
 def _equi_join(
@@ -67,16 +74,23 @@ def keyed_join(
     on: Sequence[str],
     how: str = "left",
     null_safe: bool = False,
+    lookup: bool = True,
+    right_rows: int | None = None,
 ) -> DataFrame:
-    """Join a large left side to a lookup side (inner, left, left_semi or left_anti).
+    """Join a large left side to a smaller one (inner, left, left_semi or left_anti).
 
-    A right side within the checked bound is broadcast, so the left is not shuffled at all.
-    Otherwise left rows of heavy keys meet just the right rows of those keys, broadcast when
+    A right side within the checked bound is broadcast, so the left is not shuffled at all; a
+    caller may know the row count already, or that the right is a fact table (``lookup=False``)
+    that need not be checked. Otherwise left rows of heavy keys meet just the right rows of those keys, broadcast when
     within the same bound, and only the remaining keys are shuffled. A heavy key that is also
     too wide on the right stays with the shuffle join, whose skewed partitions adaptive
     execution splits on both sides.
     """
-    if fits_broadcast(right):
+    if right_rows is not None:
+        small = right_rows <= setting(left.sparkSession, BROADCAST_ROWS)
+    else:
+        small = lookup and fits_broadcast(right)
+    if small:
         return _equi_join(left, F.broadcast(right), on, how, null_safe)
     hot = heavy_groups(left, on)
     if hot is None:

@@ -1,6 +1,8 @@
 """Snapshot graphs: one directed stop graph per (date, direction, time window).
 
-A graph is two keyed tables, nodes and edges, instead of an object per snapshot.
+A graph is two keyed tables, nodes and edges, instead of an object per snapshot. Both are far
+smaller than the visits and hold each key once. Joins between them are plain: where one snapshot or
+stop outweighs the rest, adaptive execution splits its partition.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from stopflow.functions import load_bin
 from stopflow.operators.ordered import rank_in_group
 from stopflow.operators.skew import keyed_join
 from stopflow.operators.trips import TRIP, TRIP_ORDER
+from stopflow.session import stored
 
 SNAPSHOT = ("transit_date", "direction", "slot")
 NODE = (*SNAPSHOT, "stop_id")
@@ -137,10 +140,8 @@ def skeleton(snapshots: DataFrame, stops: DataFrame, parts: int = 64) -> DataFra
 
 def static_nodes(visits: DataFrame) -> DataFrame:
     """All stops of the visits in every snapshot; an unvisited stop has ones and label 4."""
-    grid = skeleton(
-        visits.select(*SNAPSHOT).distinct(),
-        visits.select(F.col("source").alias("stop_id")).distinct(),
-    )
+    stops = stored(visits.select(F.col("source").alias("stop_id")).distinct(), "stops")
+    grid = skeleton(visits.select(*SNAPSHOT).distinct(), stops)
     seen = visits.groupBy(*NODE).agg(
         *_feature_aggs(), _label().alias("y"), F.lit(True).alias("_own")
     )
@@ -150,13 +151,13 @@ def static_nodes(visits: DataFrame) -> DataFrame:
 
 def with_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Drop the nodes of snapshots without any edge."""
-    return keyed_join(nodes, edges.select(*SNAPSHOT).distinct(), SNAPSHOT, "left_semi")
+    return nodes.join(edges.select(*SNAPSHOT).distinct(), list(SNAPSHOT), "left_semi")
 
 
 def nonzero_snapshots(nodes: DataFrame) -> DataFrame:
     """Drop snapshots whose labels are all 0."""
     keep = nodes.groupBy(*SNAPSHOT).agg(F.max("y").alias("_top")).where("_top > 0")
-    return keyed_join(nodes, keep.drop("_top"), SNAPSHOT, "left_semi")
+    return nodes.join(keep.drop("_top"), list(SNAPSHOT), "left_semi")
 
 
 def edge_weight(edges: DataFrame, attr: str = "displacement") -> DataFrame:
@@ -166,7 +167,7 @@ def edge_weight(edges: DataFrame, attr: str = "displacement") -> DataFrame:
 
 def edge_lines(edges: DataFrame, positions: DataFrame) -> DataFrame:
     """Edges with longitude and latitude of both ends, the data behind a map."""
-    out = edges
+    out, positions = edges, stored(positions, "positions")
     for end, tag in (("source", "0"), ("target", "1")):
         place = positions.select(
             F.col("stop_id").alias(end),
@@ -271,7 +272,7 @@ def assemble(
         ids = indexed.select(
             *SNAPSHOT, F.col("stop_id").alias(end), F.col("idx").alias(f"{end}_idx")
         )
-        placed = keyed_join(placed, ids, [*SNAPSHOT, end], "inner")
+        placed = placed.join(ids, [*SNAPSHOT, end])
     numbered = rank_in_group(placed, SNAPSHOT, ["source_idx", "target_idx"], "_nth")
     values = F.array(*[F.col(a).cast("double") for a in attrs])
     edge_parts = (

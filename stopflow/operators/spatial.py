@@ -1,7 +1,7 @@
 """Spatial joins as equi-joins on grid cells followed by the exact test.
 
 Visits repeat the coordinates of their stop, so the geometry is tested once per distinct
-coordinate pair and the answer is joined back. Shapes are placed on a hierarchical grid: a
+coordinate pair; the answers are stored (one row per pair) and joined back. Shapes are placed on a hierarchical grid: a
 shape goes to the level whose cells are at least as wide as it, so it covers at most four cells
 however large it is, and a point looks up one cell on each level in use.
 """
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stopflow.functions.geometry import paths_distance, point_in_rings
 from stopflow.operators.skew import keyed_join
+from stopflow.session import stored
 
 # Width in degrees of the finest cell, and number of levels (each doubles the width).
 FINEST_CELL = 0.01
@@ -53,21 +54,22 @@ def cover(shapes: DataFrame, margin: float = 0.0) -> DataFrame:
     )
 
 
-def _spots(points: DataFrame, cells: DataFrame, lon: str, lat: str) -> DataFrame:
-    """Distinct coordinates with their cell on every level the shapes use."""
-    used = [r[0] for r in cells.select("_level").distinct().limit(LEVELS).collect()]
-    levels = F.array(*[F.lit(v) for v in sorted(used)]).cast("array<int>")
+def _spots(points: DataFrame, levels: list[int], lon: str, lat: str) -> DataFrame:
+    """Distinct coordinates with their cell on every given level."""
     spots = points.select(lon, lat).where(F.col(lon).isNotNull() & F.col(lat).isNotNull())
-    placed = spots.distinct().withColumn("_level", F.explode(levels))
+    used = F.array(*[F.lit(v) for v in levels]).cast("array<int>")
+    placed = spots.distinct().withColumn("_level", F.explode(used))
     lv = F.col("_level")
-    return placed.withColumn("_cx", _index(F.col(lon), lv)).withColumn(
-        "_cy", _index(F.col(lat), lv)
-    )
+    return placed.withColumns({"_cx": _index(F.col(lon), lv), "_cy": _index(F.col(lat), lv)})
 
 
 def _candidates(points: DataFrame, shapes: DataFrame, lon: str, lat: str, margin: float):
     cells = cover(shapes, margin)
-    pairs = keyed_join(_spots(points, cells, lon, lat), cells, CELL, "inner")
+    # At most one row per level: which levels are in use, and how many cells there are.
+    per_level = cells.groupBy("_level").count().collect()
+    spots = _spots(points, sorted(row["_level"] for row in per_level), lon, lat)
+    total = sum(row["count"] for row in per_level)
+    pairs = keyed_join(spots, cells, CELL, "inner", right_rows=total)
     return pairs.where(
         F.col(lon).between(F.col("xmin"), F.col("xmax"))
         & F.col(lat).between(F.col("ymin"), F.col("ymax"))
@@ -88,7 +90,8 @@ def within(
     """
     pairs = _candidates(points, polygons, lon, lat, 0.0)
     hits = pairs.where(point_in_rings(F.col(lon), F.col(lat), F.col("rings")))
-    return keyed_join(points, hits.select(lon, lat, *attrs), [lon, lat], "inner")
+    answers = stored(hits.select(lon, lat, *attrs), "within")
+    return keyed_join(points, answers, [lon, lat], "inner")
 
 
 def nearest_line(
@@ -106,4 +109,4 @@ def nearest_line(
     ).where(F.col("_away") < radius)
     best = away.groupBy(lon, lat).agg(F.min(F.struct("_away", id_col)).alias("_best"))
     found = best.select(lon, lat, F.col("_best")[id_col].alias(id_col))
-    return keyed_join(points, found, [lon, lat], "left")
+    return keyed_join(points, stored(found, "nearest"), [lon, lat], "left")

@@ -1,7 +1,9 @@
 """Visit enrichment: raw counts, displacement, tracts, road traffic, load bins, weather.
 
-One lazy plan over all routes and months. Heavy trips are looked for once, on the five key
-columns of the input, and the block column then serves every trip operator.
+One plan over all routes and months. Like the hand-over files between cleaning steps, tables are
+stored on the way: visits after the raw join, after the traffic fills, and complete ones. Several steps read
+each of them (heavy trips, distinct coordinates, the rows themselves), every time only the columns
+they need. Heavy trips are looked for once and the block column serves every trip operator.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from stopflow.operators.trips import (
     keep_loaded_trips,
     with_key,
 )
+from stopflow.session import stored
 
 TRACT_VALUES = [
     "pct_public_transit_for_work",
@@ -56,7 +59,7 @@ def enriched_visits(
     radius: float = 0.001,
 ) -> DataFrame:
     """Visits with delay, displacement, tract values and gap-filled traffic."""
-    rows = dedupe_rows(enrich(label_and_filter(visits), raw))
+    rows = stored(dedupe_rows(enrich(label_and_filter(visits), raw)), "counted")
     # Copies made by the raw join differ in delay and position only; they order the ties.
     order = [*TRIP_ORDER, "delay", "sched_hdwy", "actual_hdwy"]
     rows = tag_blocks(with_key(rows, TRIP), TRIP, order)
@@ -64,7 +67,7 @@ def enriched_visits(
     rows = within(with_slot(rows), tracts, TRACT_VALUES)
     rows = join_traffic(nearest_line(rows, segments, radius), traffic_slots(traffic))
     filled = fill_traffic(rows, keys=(*TRIP, "year", "month"), order=order, tagged=True)
-    return filled.drop(BLOCK)
+    return stored(filled.drop(BLOCK), "enriched")
 
 
 def prepared_visits(enriched: DataFrame, weather: DataFrame) -> DataFrame:
@@ -78,4 +81,5 @@ def prepared_visits(enriched: DataFrame, weather: DataFrame) -> DataFrame:
         }
     )
     loaded = keep_loaded_trips(binned)
-    return drop_nulls(join_weather(loaded, weather_hourly_mean(weather)))
+    complete = drop_nulls(join_weather(loaded, weather_hourly_mean(weather)))
+    return stored(complete, "prepared")

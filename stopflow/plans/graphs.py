@@ -28,6 +28,7 @@ from stopflow.operators.trips import (
     drop_trips_without_capacity,
     edge_target,
 )
+from stopflow.session import stored
 
 # Half hours per snapshot window.
 ONE_HOUR, TWO_HOURS = 2, 4
@@ -65,7 +66,7 @@ def graph_ready(
     rows = edge_target(rows, "slot", tagged=True)
     if repair_routes is not None:
         rows = drop_self_loop_trips(rows, repair_routes, tagged=True)
-    return label_encode(rows.drop(BLOCK), CODED)
+    return label_encode(stored(rows.drop(BLOCK), "targets"), CODED)
 
 
 def outbound(ready: DataFrame) -> DataFrame:
