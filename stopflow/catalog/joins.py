@@ -168,8 +168,8 @@ def _(t: Tables):
     return kept.select("visit_id", "load_bin_transit")
 
 
-_RECURRING_SQL = "block_abbr, route_id, route_direction_name, stop_id, dayofweek"
-_RECURRING = ["block_abbr", "route_id", "route_direction_name", "stop_id", "dayofweek"]
+_RECURRING_SQL = "stop_id, hour"
+_RECURRING = ["stop_id", "hour"]
 
 
 @query(
