@@ -11,21 +11,17 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopflow.functions import load_bin, map_values
-from stopflow.functions.scalars import DIRECTION_CODES
+from stopflow.functions import load_bin
 from stopflow.operators.snapshots import dynamic_nodes, snapshot_edges
 from stopflow.operators.trips import TRIP, edge_target
 
 TRIP_SQL = ", ".join(TRIP)
 ORDER_SQL = "stop_sequence, departure_time"
 SNAP_SQL = "transit_date, direction, slot"
-CAPACITIES = (15.0, 40.0, 45.0, 55.0)
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
-
-
-def pick(values, index):
-    """Element of a short list by a 0-based index column."""
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+CAPACITY = "element_at(array(15D, 40D, 45D, 55D), cast({key} % 4 as int) + 1)"
+LON = "(-86.899D + ((stop_id * 37) % 100) / 500)"
+LAT = "(36.001D + stop_id / 500)"
 
 
 class Tables:
@@ -41,37 +37,34 @@ class Tables:
     @cached_property
     def _events(self) -> DataFrame:
         """Events with the visit columns next to their own."""
-        ts, user = F.col("ts"), F.col("user_id")
-        day = F.to_date(ts)
-        week = F.date_sub(day, F.weekday(day))
-        since = F.timestamp_diff("SECOND", week.cast("timestamp_ntz"), ts)
-        direction = pick(["FROM DOWNTOWN", "TO DOWNTOWN", "CROSSTOWN"], user % 3)
-        capacity = F.when(user % 17 != 0, pick(CAPACITIES, user % 4))
-        return self.table("events").select(
+        week = "date_sub(date(ts), weekday(ts))"
+        direction = "array('FROM DOWNTOWN', 'TO DOWNTOWN', 'CROSSTOWN')"
+        return self.table("events").selectExpr(
             "ts",
             "user_id",
             "event_id",
             "value",
-            F.col("event_id").alias("visit_id"),
-            (user % 10).cast("int").alias("route_id"),
-            week.alias("transit_date"),
-            user.cast("int").alias("trip_id"),
-            (user % 7).cast("int").alias("block_abbr"),
-            (user % 5).cast("int").alias("pattern_num"),
-            direction.alias("route_direction_name"),
-            F.floor(since / 600).cast("int").alias("stop_sequence"),
-            F.get_json_object("props", "$.k").cast("int").alias("stop_id"),
-            ts.alias("departure_time"),
-            F.year(ts).alias("year"),
-            F.month(ts).alias("month"),
-            F.dayofmonth(ts).alias("day"),
-            F.hour(ts).alias("hour"),
-            F.dayofweek(ts).alias("dayofweek"),
-            (F.hour(ts) * 2 + F.floor(F.minute(ts) / 30)).cast("int").alias("time_window"),
-            (F.dayofmonth(ts) == 15).alias("is_holiday"),
-            capacity.alias("vehicle_capacity"),
-            (F.col("value") / 8).alias("y_reg100"),
-            F.col("event_type").alias("icon"),
+            "event_id as visit_id",
+            "cast(user_id % 10 as int) as route_id",
+            f"{week} as transit_date",
+            "cast(user_id as int) as trip_id",
+            "cast(user_id % 7 as int) as block_abbr",
+            "cast(user_id % 5 as int) as pattern_num",
+            f"element_at({direction}, cast(user_id % 3 as int) + 1) as route_direction_name",
+            f"cast(floor(timestampdiff(SECOND, cast({week} as timestamp_ntz), ts) / 600) as int)"
+            " as stop_sequence",
+            "cast(get_json_object(props, '$.k') as int) as stop_id",
+            "ts as departure_time",
+            "year(ts) as year",
+            "month(ts) as month",
+            "day(ts) as day",
+            "hour(ts) as hour",
+            "dayofweek(ts) as dayofweek",
+            "hour(ts) * 2 + cast(floor(minute(ts) / 30) as int) as time_window",
+            "day(ts) = 15 as is_holiday",
+            f"if(user_id % 17 <> 0, {CAPACITY.format(key='user_id')}, null) as vehicle_capacity",
+            "value / 8 as y_reg100",
+            "event_type as icon",
         )
 
     @cached_property
@@ -81,23 +74,16 @@ class Tables:
     @cached_property
     def located(self) -> DataFrame:
         """Visits with the coordinates of their stop and a road segment."""
-        stop = F.col("stop_id")
-        return self.visits.withColumns(
-            {
-                "map_latitude": F.lit(36.001) + stop / 500,
-                "map_longitude": F.lit(-86.899) + ((stop * 37) % 100) / 500,
-                "XDSegID": stop % 16,
-            }
+        return self.visits.selectExpr(
+            "*", f"{LAT} as map_latitude", f"{LON} as map_longitude", "stop_id % 16 as XDSegID"
         )
 
     @cached_property
     def raw(self) -> DataFrame:
         """Raw counts: every event but errors, with headways and some missing positions."""
-        ts, event = F.col("ts"), F.col("event_id")
-        early = F.round((F.col("value") - 100) * 1000).cast("long")
-        known = event % 101 != 0
-        stop = F.col("stop_id")
-        return self._events.where("icon <> 'error'").select(
+        early = "cast(round((value - 100) * 1000) as bigint)"
+        headway = "(10 + event_id % 20) + (value - 50) / 10"
+        return self._events.where("icon <> 'error'").selectExpr(
             "route_id",
             "transit_date",
             "route_direction_name",
@@ -105,184 +91,163 @@ class Tables:
             "block_abbr",
             "pattern_num",
             "stop_sequence",
-            ts.alias("arrival_time"),
-            F.timestamp_add("MILLISECOND", -early, ts).alias("scheduled_time"),
-            F.when(known, F.lit(36.001) + stop / 500).alias("map_latitude"),
-            F.when(known, F.lit(-86.899) + ((stop * 37) % 100) / 500).alias("map_longitude"),
-            (10 + event % 20).cast("double").alias("sched_hdwy"),
-            F.when(event % 11 != 0, (10 + event % 20) + (F.col("value") - 50) / 10).alias(
-                "actual_hdwy"
-            ),
+            "ts as arrival_time",
+            f"timestampadd(MILLISECOND, -{early}, ts) as scheduled_time",
+            f"if(event_id % 101 <> 0, {LAT}, null) as map_latitude",
+            f"if(event_id % 101 <> 0, {LON}, null) as map_longitude",
+            "cast(10 + event_id % 20 as double) as sched_hdwy",
+            f"if(event_id % 11 <> 0, {headway}, null) as actual_hdwy",
         )
 
     @cached_property
     def traffic(self) -> DataFrame:
         """Traffic readings: error events, by stop group."""
-        ts = F.col("ts")
-        stop = F.get_json_object("props", "$.k").cast("int")
-        return self.table("events").where("event_type = 'error'").select(
-            (stop % 16).alias("xd_id"),
-            F.col("value").alias("average_speed"),
-            (F.col("value") + 10).alias("reference_speed"),
-            (F.col("value") / 500).alias("congestion"),
-            ((F.col("event_id") % 100) / 100).alias("extreme_congestion"),
-            pick(["davidson"] * 9 + ["rutherford"], F.col("user_id") % 10).alias("county"),
-            ts.alias("measurement_tstamp"),
-            F.year(ts).alias("year"),
-            F.month(ts).alias("month"),
+        return self.table("events").where("event_type = 'error'").selectExpr(
+            "cast(get_json_object(props, '$.k') as int) % 16 as xd_id",
+            "value as average_speed",
+            "value + 10 as reference_speed",
+            "value / 500 as congestion",
+            "(event_id % 100) / 100 as extreme_congestion",
+            "if(user_id % 10 = 9, 'rutherford', 'davidson') as county",
+            "ts as measurement_tstamp",
+            "year(ts) as year",
+            "month(ts) as month",
         )
 
     @cached_property
     def shipments(self) -> DataFrame:
         """Traffic readings over several years, from line items."""
-        ts = F.col("l_shipdate")
-        return self.table("lineitem").select(
-            (F.col("l_partkey") % 1000).cast("int").alias("xd_id"),
-            F.col("l_quantity").alias("average_speed"),
-            (F.col("l_quantity") + 10).alias("reference_speed"),
-            F.col("l_discount").alias("congestion"),
-            F.col("l_tax").alias("extreme_congestion"),
-            pick(["davidson"] * 9 + ["rutherford"], F.col("l_suppkey") % 10).alias("county"),
-            ts.cast("timestamp_ntz").alias("measurement_tstamp"),
-            F.year(ts).alias("year"),
-            F.month(ts).alias("month"),
+        return self.table("lineitem").selectExpr(
+            "cast(l_partkey % 1000 as int) as xd_id",
+            "l_quantity as average_speed",
+            "l_quantity + 10 as reference_speed",
+            "l_discount as congestion",
+            "l_tax as extreme_congestion",
+            "if(l_suppkey % 10 = 9, 'rutherford', 'davidson') as county",
+            "cast(l_shipdate as timestamp_ntz) as measurement_tstamp",
+            "year(l_shipdate) as year",
+            "month(l_shipdate) as month",
         )
 
     @cached_property
     def weather(self) -> DataFrame:
-        return self.table("events").select(
-            F.timestamp_diff("SECOND", F.expr(EPOCH), F.col("ts")).alias("time"),
-            (F.col("value") / 970).alias("precipitation_intensity"),
-            (30 + F.col("event_id") % 61).cast("double").alias("temperature"),
-            ((F.col("user_id") % 100) / 100).alias("humidity"),
+        return self.table("events").selectExpr(
+            f"timestampdiff(SECOND, {EPOCH}, ts) as time",
+            "value / 970 as precipitation_intensity",
+            "cast(30 + event_id % 61 as double) as temperature",
+            "(user_id % 100) / 100 as humidity",
         )
 
     @cached_property
     def tracts(self) -> DataFrame:
         """One 0.04-degree square per nation, six to a row."""
-        k = F.col("n_nationkey")
         named = self.table("nation").join(
             self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")
         )
-        x = F.lit(-86.9) + (k % 6) * 0.04
-        y = F.lit(36.0) + F.floor(k / 6) * 0.04
-        return self._squares(named, k, "r_name", x, y, 0.04)
+        x, y = "-86.9D + (k % 6) * 0.04D", "36.0D + floor(k / 6) * 0.04D"
+        return self._squares(
+            named.selectExpr("n_nationkey as k", "r_name as county"), x, y, "0.04D"
+        )
 
     @cached_property
     def blocks(self) -> DataFrame:
         """One small square per customer."""
-        k = F.col("c_custkey")
-        x = F.lit(-86.9) + ((k * 61) % 199) / 1000
-        y = F.lit(36.0) + ((k * 83) % 199) / 1000
-        return self._squares(self.table("customer"), k, "c_mktsegment", x, y, 0.002)
-
-    def _squares(self, df, k, county, x, y, side) -> DataFrame:
-        boxed = df.select(
-            F.lpad(k.cast("string"), 8, "0").alias("GEOID"),
-            F.concat(
-                F.lit("Census Tract "), k.cast("string"), F.lit(", "), county, F.lit(" County, US")
-            ).alias("NAME"),
-            F.when(k % 7 != 0, (k % 40) * 1.0).alias("no_public_transport_for_work"),
-            ((k % 9) * 25).cast("double").alias("total_surveyed_public_transportation_for_work"),
-            F.when(k % 5 != 0, 30000.0 + k * 100).alias("median_income_last12months"),
-            (k % 90).cast("double").alias("white_pct"),
-            (k % 80).cast("double").alias("black_pct"),
-            (k % 70).cast("double").alias("hispanic_pct"),
-            (k % 60).cast("double").alias("public_transit_pct"),
-            x.alias("xmin"),
-            y.alias("ymin"),
-        ).withColumns({"xmax": F.col("xmin") + side, "ymax": F.col("ymin") + side})
-
-        def corner(a, b):
-            return F.struct(F.col(a).alias("lon"), F.col(b).alias("lat"))
-
-        ring = F.array(
-            corner("xmin", "ymin"),
-            corner("xmax", "ymin"),
-            corner("xmax", "ymax"),
-            corner("xmin", "ymax"),
-            corner("xmin", "ymin"),
+        customers = self.table("customer").selectExpr("c_custkey as k", "c_mktsegment as county")
+        x, y = "-86.9D + ((k * 61) % 199) / 1000", "36.0D + ((k * 83) % 199) / 1000"
+        return self._squares(customers, x, y, "0.002D")
+
+    def _squares(self, keyed: DataFrame, x: str, y: str, side: str) -> DataFrame:
+        boxed = keyed.selectExpr(
+            "lpad(cast(k as string), 8, '0') as GEOID",
+            "concat('Census Tract ', k, ', ', county, ' County, US') as NAME",
+            "if(k % 7 <> 0, cast(k % 40 as double), null) as no_public_transport_for_work",
+            "cast((k % 9) * 25 as double) as total_surveyed_public_transportation_for_work",
+            "if(k % 5 <> 0, 30000D + k * 100, null) as median_income_last12months",
+            "cast(k % 90 as double) as white_pct",
+            "cast(k % 80 as double) as black_pct",
+            "cast(k % 70 as double) as hispanic_pct",
+            "cast(k % 60 as double) as public_transit_pct",
+            f"{x} as xmin",
+            f"{y} as ymin",
+            f"{x} + {side} as xmax",
+            f"{y} + {side} as ymax",
         )
-        return boxed.withColumn("rings", F.array(ring))
+        corners = [("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax")]
+        ring = ", ".join(
+            f"named_struct('lon', {lon}, 'lat', {lat})" for lon, lat in [*corners, corners[0]]
+        )
+        return boxed.selectExpr("*", f"array(array({ring})) as rings")
 
     @cached_property
     def segments(self) -> DataFrame:
         """One straight road segment per supplier."""
-        k = F.col("s_suppkey")
-        ends = self.table("supplier").select(
-            k.cast("int").alias("XDSegID"),
-            (F.lit(36.0) + ((k * 83) % 199) / 1000).alias("StartLat"),
-            (F.lit(-86.9) + ((k * 61) % 199) / 1000).alias("StartLong"),
-            (F.lit(36.0) + ((k * 83) % 199 + k % 5) / 1000).alias("EndLat"),
-            (F.lit(-86.9) + ((k * 61) % 199 + 4) / 1000).alias("EndLong"),
+        ends = self.table("supplier").selectExpr(
+            "cast(s_suppkey as int) as XDSegID",
+            "36.0D + ((s_suppkey * 83) % 199) / 1000 as StartLat",
+            "-86.9D + ((s_suppkey * 61) % 199) / 1000 as StartLong",
+            "36.0D + ((s_suppkey * 83) % 199 + s_suppkey % 5) / 1000 as EndLat",
+            "-86.9D + ((s_suppkey * 61) % 199 + 4) / 1000 as EndLong",
         )
         return self._as_paths(ends)
 
     def _as_paths(self, ends: DataFrame) -> DataFrame:
         """Straight lines from start and end columns, with their bounding box."""
-        path = F.array(
-            F.struct(F.col("StartLong").alias("lon"), F.col("StartLat").alias("lat")),
-            F.struct(F.col("EndLong").alias("lon"), F.col("EndLat").alias("lat")),
+        points = (
+            "named_struct('lon', StartLong, 'lat', StartLat), "
+            "named_struct('lon', EndLong, 'lat', EndLat)"
         )
-        return ends.withColumns(
-            {
-                "paths": F.array(path),
-                "xmin": F.least("StartLong", "EndLong"),
-                "ymin": F.least("StartLat", "EndLat"),
-                "xmax": F.greatest("StartLong", "EndLong"),
-                "ymax": F.greatest("StartLat", "EndLat"),
-            }
+        return ends.selectExpr(
+            "*",
+            f"array(array({points})) as paths",
+            "least(StartLong, EndLong) as xmin",
+            "least(StartLat, EndLat) as ymin",
+            "greatest(StartLong, EndLong) as xmax",
+            "greatest(StartLat, EndLat) as ymax",
         )
 
     @cached_property
     def roads(self) -> DataFrame:
         """A short stretch of road by every stop; sixteen roads in all, some out of reach."""
-        stop = F.col("stop_id")
-        off = F.when(stop % 5 == 0, 0.003).otherwise(0.0003)
-        lon = F.lit(-86.899) + ((stop * 37) % 100) / 500
-        lines = self.visits.select("stop_id").distinct().select(
-            (stop % 16).alias("XDSegID"),
-            (F.lit(36.001) + stop / 500 + off).alias("StartLat"),
-            (lon - 0.0004).alias("StartLong"),
-            (F.lit(36.001) + stop / 500 + off).alias("EndLat"),
-            (lon + 0.0004).alias("EndLong"),
+        lat = f"{LAT} + if(stop_id % 5 = 0, 0.003D, 0.0003D)"
+        lines = self.visits.select("stop_id").distinct().selectExpr(
+            "stop_id % 16 as XDSegID",
+            f"{lat} as StartLat",
+            f"{LON} - 0.0004D as StartLong",
+            f"{lat} as EndLat",
+            f"{LON} + 0.0004D as EndLong",
         )
         return self._as_paths(lines)
 
     @cached_property
     def prepared(self) -> DataFrame:
         """Visits with features of their own, ready for targets and snapshots."""
-        v, stop = F.col("visit_id"), F.col("stop_id")
-        return (
-            self.visits.withColumnsRenamed({"y_reg100": "load", "icon": "weather_category"})
-            .withColumns(
-                {
-                    "direction": map_values("route_direction_name", DIRECTION_CODES),
-                    "slot": F.floor(F.col("time_window") / 4).cast("int"),
-                    "precipitation_intensity": F.col("load") / 97,
-                    "temperature": (30 + v % 61).cast("double"),
-                    "humidity": (F.col("trip_id") % 100) / 100,
-                    "delay": F.when(v % 11 != 0, (v % 23 - 8).cast("double")),
-                    "average_speed": 20 + stop * 0.3,
-                    "extreme_congestion": (v % 7) / 8,
-                    "displacement": F.col("load") / 47,
-                    "median_income_last12months": 30000.0 + stop * 100,
-                    "white_pct": stop / 100,
-                    "black_pct": stop / 200,
-                    "hispanic_pct": stop / 300,
-                    "public_transit_pct": stop / 400,
-                    "pct_public_transit_for_work": stop / 500,
-                    "dayofweek_cat": F.col("dayofweek") - 1,
-                    "month_cat": F.col("month") - 1,
-                    "year_cat": F.col("year") - 2024,
-                    "map_latitude": F.when(v % 13 != 0, F.lit(36.001) + stop / 500),
-                    "map_longitude": F.when(
-                        v % 17 != 0, F.lit(-86.899) + ((stop * 37) % 100) / 500
-                    ),
-                }
-            )
-            .withColumn("slot_cat", F.col("slot"))
-            .where(F.col("direction").isNotNull())
+        kept = [c for c in self.visits.columns if c not in ("y_reg100", "icon")]
+        known = self.visits.where("route_direction_name in ('TO DOWNTOWN', 'FROM DOWNTOWN')")
+        return known.selectExpr(
+            *kept,
+            "y_reg100 as load",
+            "icon as weather_category",
+            "if(route_direction_name = 'TO DOWNTOWN', 1, 0) as direction",
+            "cast(floor(time_window / 4) as int) as slot",
+            "y_reg100 / 97 as precipitation_intensity",
+            "cast(30 + visit_id % 61 as double) as temperature",
+            "(trip_id % 100) / 100 as humidity",
+            "if(visit_id % 11 <> 0, cast(visit_id % 23 - 8 as double), null) as delay",
+            "20 + stop_id * 0.3D as average_speed",
+            "(visit_id % 7) / 8 as extreme_congestion",
+            "y_reg100 / 47 as displacement",
+            "30000D + stop_id * 100 as median_income_last12months",
+            "stop_id / 100 as white_pct",
+            "stop_id / 200 as black_pct",
+            "stop_id / 300 as hispanic_pct",
+            "stop_id / 400 as public_transit_pct",
+            "stop_id / 500 as pct_public_transit_for_work",
+            "dayofweek - 1 as dayofweek_cat",
+            "month - 1 as month_cat",
+            "year - 2024 as year_cat",
+            f"if(visit_id % 13 <> 0, {LAT}, null) as map_latitude",
+            f"if(visit_id % 17 <> 0, {LON}, null) as map_longitude",
+            "cast(floor(time_window / 4) as int) as slot_cat",
         )
 
     @cached_property
@@ -304,36 +269,31 @@ class Tables:
     @cached_property
     def preds(self) -> DataFrame:
         """Load bin of a quantity as truth, line number as prediction."""
-        cap = pick(CAPACITIES, F.col("l_suppkey") % 4)
-        return self.table("lineitem").select(
-            load_bin("l_quantity", cap).alias("ytrue"),
-            (F.col("l_linenumber") % 4).alias("ypred"),
+        rows = self.table("lineitem").selectExpr(
+            "l_quantity",
+            f"{CAPACITY.format(key='l_suppkey')} as capacity",
+            "l_linenumber % 4 as ypred",
         )
+        return rows.select(load_bin("l_quantity", "capacity").alias("ytrue"), "ypred")
 
     @cached_property
     def scored(self) -> DataFrame:
         """Four class scores per line item."""
-        scores = F.array(
-            F.col("l_tax") * 10,
-            F.col("l_discount") * 10,
-            F.col("l_quantity") / 50,
-            F.col("l_linenumber") / 7,
-        )
-        return self.table("lineitem").select(
+        return self.table("lineitem").selectExpr(
             "l_orderkey",
             "l_linenumber",
             "l_partkey",
             "l_shipdate",
-            (F.col("l_suppkey") % 4).cast("int").alias("y"),
-            scores.alias("scores"),
+            "cast(l_suppkey % 4 as int) as y",
+            "array(l_tax * 10, l_discount * 10, l_quantity / 50, l_linenumber / 7) as scores",
         )
 
     @cached_property
     def history(self) -> DataFrame:
-        return self.table("orders").select(
-            F.col("o_custkey").alias("run"),
-            F.col("o_orderkey").alias("epoch"),
-            F.floor(F.col("o_totalprice") / 50000).cast("double").alias("validation_loss"),
+        return self.table("orders").selectExpr(
+            "o_custkey as run",
+            "o_orderkey as epoch",
+            "cast(floor(o_totalprice / 50000) as double) as validation_loss",
         )
 
 
