@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stopflow.functions import calendar_parts, delay_minutes, epoch_shift, window_n_min
 from stopflow.operators.cleaning import dedupe_first
-from stopflow.operators.skew import keyed_join
+from stopflow.operators.skew import fan_out_join, keyed_join
 
 RAW_KEYS = (
     "route_id",
@@ -39,7 +39,7 @@ def enrich(visits: DataFrame, raw: DataFrame, keys: Sequence[str] = RAW_KEYS) ->
 
     Duplicate raw rows multiply the visit, as every match is kept.
     """
-    return keyed_join(visits, with_delay(raw), keys, "left", null_safe=True, lookup=False)
+    return fan_out_join(visits, with_delay(raw), keys, null_safe=True)
 
 
 def traffic_slots(readings: DataFrame, county: str = "davidson") -> DataFrame:

@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from stopflow.operators.snapshots import EDGE, FEATURES, NODE, SNAPSHOT
 from stopflow.session import stored
 
-# Rounds after which the growing plan is cut by a stored table.
-STORE_EVERY = 2
-
 
 def normalised_edges(edges: DataFrame, weight: str = "displacement") -> DataFrame:
     """Edges with their entry of the scaled Laplacian; a node without weight gives 0."""
@@ -61,6 +58,8 @@ def khop(
     if k > 1:
         norm = stored(normalised_edges(edges, weight), "laplacian")
     for step in range(1, k):
+        # Each round reads the terms twice, as sources and as the table it extends.
+        table = stored(table, "terms")
         last = [f"t{step - 1}_{c}" for c in cols]
         moved = _spread(table.select(*NODE, *last), norm, last)
         # Both sides hold each (snapshot, stop) once.
@@ -72,6 +71,4 @@ def khop(
                 got = 2 * got - F.col(f"t{step - 2}_{c}")
             new[f"t{step}_{c}"] = got
         table = table.withColumns(new).drop(*[f"_m_{c}" for c in last])
-        if step % STORE_EVERY == 0 and step < k - 1:
-            table = stored(table, "rounds")
     return table

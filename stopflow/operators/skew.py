@@ -68,6 +68,13 @@ def _equi_join(
     return left.join(renamed, cond, how).drop(*[f"_right_{k}" for k in on])
 
 
+def _split_by(df: DataFrame, hot: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of the listed keys, and all others. The list is bounded (``MAX_HOT_GROUPS``)."""
+    listed = F.broadcast(hot.drop(_ROWS))
+    cond = same(df, listed, [(k, f"_hot_{k}") for k in on], True)
+    return df.join(listed, cond, "left_semi"), df.join(listed, cond, "left_anti")
+
+
 def keyed_join(
     left: DataFrame,
     right: DataFrame,
@@ -81,10 +88,10 @@ def keyed_join(
 
     A right side within the checked bound is broadcast, so the left is not shuffled at all; a
     caller may know the row count already, or that the right is a fact table (``lookup=False``)
-    that need not be checked. Otherwise left rows of heavy keys meet just the right rows of those keys, broadcast when
-    within the same bound, and only the remaining keys are shuffled. A heavy key that is also
-    too wide on the right stays with the shuffle join, whose skewed partitions adaptive
-    execution splits on both sides.
+    that need not be checked. Otherwise left rows of heavy keys meet just the right rows of
+    those keys, broadcast when within the same bound, and only the remaining keys are shuffled.
+    A heavy key that is also too wide on the right stays with the shuffle join, whose skewed
+    partitions adaptive execution splits.
     """
     if right_rows is not None:
         small = right_rows <= setting(left.sparkSession, BROADCAST_ROWS)
@@ -95,18 +102,39 @@ def keyed_join(
     hot = heavy_groups(left, on)
     if hot is None:
         return _equi_join(left, right, on, how, null_safe)
-    hot = F.broadcast(hot.drop(_ROWS))
-    pairs = [(k, f"_hot_{k}") for k in on]
-    right_hot = right.join(hot, same(right, hot, pairs, True), "left_semi")
+    right_hot, _ = _split_by(right, hot, on)
     if not fits_broadcast(right_hot):
         return _equi_join(left, right, on, how, null_safe)
-    left_hot = left.join(hot, same(left, hot, pairs, True), "left_semi")
-    left_rest = left.join(hot, same(left, hot, pairs, True), "left_anti")
+    left_hot, left_rest = _split_by(left, hot, on)
     return _equi_join(left_hot, F.broadcast(right_hot), on, how, null_safe).unionByName(
         _equi_join(left_rest, right, on, how, null_safe)
     )
 
 
+def fan_out_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], null_safe: bool = False
+) -> DataFrame:
+    """Left join of two fact tables where either side may repeat a key any number of times.
+
+    A left join cannot split a heavy key of its right side. Such a key does have right rows, so
+    for it the join is an inner one: its right rows stay where they are and meet the few left
+    rows by broadcast, or, where those are many too, in a join that can split both sides.
+    """
+    if not null_safe:
+        # A missing key matches nothing.
+        right = right.dropna(subset=list(on))
+    hot = heavy_groups(right, on)
+    if hot is None:
+        return keyed_join(left, right, on, "left", null_safe, lookup=False)
+    left_hot, left_rest = _split_by(left, hot, on)
+    right_hot, right_rest = _split_by(right, hot, on)
+    if fits_broadcast(left_hot):
+        left_hot = F.broadcast(left_hot)
+    matched = _equi_join(left_hot, right_hot, on, "inner", null_safe)
+    rest = keyed_join(left_rest, right_rest, on, "left", null_safe, lookup=False)
+    return matched.unionByName(rest)
+
+
 def _splits_at_or_below(splits: Column, position: Column) -> Column:
     """Number of sorted split points not above the position, by bisection."""
     rounds = F.ceil(F.log2(F.size(splits) + 1)).cast("int")

@@ -130,10 +130,12 @@ def skeleton(snapshots: DataFrame, stops: DataFrame, parts: int = 64) -> DataFra
     """Every snapshot with every stop of the fixed list.
 
     The result is the full grid by definition. It is laid out as an equi-join on a part of the
-    stop list, so a task handles one part of it for a share of the snapshots.
+    stop list: (snapshot, part) pairs are spread over all tasks, and each pair meets one part.
     """
+    tasks = int(snapshots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.pmod(F.xxhash64("stop_id"), F.lit(parts)).cast("int")
     spread = snapshots.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    spread = spread.repartition(tasks, *snapshots.columns, "_part")
     listed = stops.select("stop_id").withColumn("_part", part)
     return keyed_join(spread, listed, ["_part"], "inner").drop("_part")
 

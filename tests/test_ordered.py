@@ -6,7 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from stopflow.operators import ordered, trips
-from stopflow.operators.skew import BLOCK, heavy_groups, keyed_join, tag_blocks
+from stopflow.operators.skew import (
+    BLOCK,
+    fan_out_join,
+    heavy_groups,
+    keyed_join,
+    tag_blocks,
+)
 
 KEYS = ["trip"]
 ORDER = ["seq", "tie"]
@@ -181,6 +187,21 @@ def test_keyed_join_same_with_heavy_keys(spark, small_limits, how, null_safe):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+@pytest.mark.parametrize("null_safe", [False, True])
+@pytest.mark.parametrize("heavy_on", ["right", "both"])
+def test_fan_out_join_same_with_heavy_right_keys(spark, small_limits, heavy_on, null_safe):
+    few = [(1, "a"), (2, "b"), (2, "c"), (8, "d"), (None, "e")]
+    left_rows = few * (10 if heavy_on == "both" else 1)
+    right_rows = [(k, i) for k in (1, 3, None) for i in range(40)] + [(2, 7), (9, 9)]
+    left = spark.createDataFrame(left_rows, "trip int, name string")
+    right = spark.createDataFrame(right_rows, "trip int, v int")
+    got = fan_out_join(left, right, KEYS, null_safe)
+    other = right.withColumnRenamed("trip", "k")
+    cond = left["trip"].eqNullSafe(other["k"]) if null_safe else left["trip"] == other["k"]
+    want = left.join(other, cond, "left").drop("k")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_goldens_fill_and_target(spark):
     rows = [(1, i, 0, 0, 0, v) for i, v in enumerate([None, 5, None, 7, None])]
     df = spark.createDataFrame(rows, SCHEMA)

@@ -64,6 +64,13 @@ def test_dedupe_first_and_nulls(spark):
     assert drop_nulls(nan_to_null(df), ["v"]).count() == 1
 
 
+def test_dedupe_limits_copies_before_the_shuffle(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"))
+    plan = dedupe_first(df, ["k"], ["o"])._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange") :]
+    assert "WindowGroupLimit" in below and "Partial" in below
+
+
 def test_null_audit_only_lists_routes_with_gaps(spark):
     rows = [(1, 1.0, None, 3), (1, None, 1.0, None), (2, 1.0, 1.0, None)]
     df = spark.createDataFrame(
