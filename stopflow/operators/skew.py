@@ -22,7 +22,7 @@ from stopflow.session import BROADCAST_ROWS, HOT_GROUP_ROWS, setting, shared_dir
 MAX_HOT_GROUPS = 10_000
 # Ranges the heavy groups are cut into, all together, and sampled rows per range.
 MAX_BLOCKS = 4_000
-SAMPLES_PER_BLOCK = 20
+SAMPLES_PER_BLOCK = 50
 # Sampled rows expected of a group right at the limit; enough to make a miss negligible.
 EXPECTED_SAMPLE = 1_000
 SEED = 17
