@@ -47,7 +47,7 @@ query("occupancy_histogram", "visits", OCCUPANCY_SQL)(occupancy_histogram)
 
 ROAD_RADIUS = 0.001
 _TRAFFIC = ("xd_id", "average_speed", "reference_speed", "congestion", "extreme_congestion")
-_RAW_KEYS = (*TRIP, "route_id", "stop_sequence")
+_RAW_KEYS = (*TRIP, "stop_sequence")
 _FULL_ORDER = f"{ORDER_SQL}, delay NULLS FIRST, sched_hdwy NULLS FIRST, actual_hdwy NULLS FIRST"
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stopflow.catalog.joins import STATIC_SQL
 from stopflow.catalog.registry import query, r, rounded
 from stopflow.catalog.roles import FEATURE_NAMES, SNAP_SQL, Tables, bin_sql
-from stopflow.catalog.joins import STATIC_SQL
 from stopflow.operators import baselines
 from stopflow.operators.metrics import report
 from stopflow.operators.propagation import khop
@@ -24,7 +24,8 @@ from stopflow.operators.snapshots import (
     static_nodes,
     with_edges,
 )
-from stopflow.operators.splits import hash_split
+from stopflow.operators.splits import stratified_fold
+from stopflow.session import stored
 
 
 @query(
@@ -192,9 +193,10 @@ def _(t: Tables):
 
 
 def _split_examples(t: Tables):
-    rows = hash_split(snapshot_class_mean(t.nodes, "per_class"), SNAPSHOT)
-    stored = rows.select(*SNAPSHOT, "y", *FEATURES, "split")
-    return stored.where("split <> 'test'"), stored.where("split = 'test'")
+    """First of five stratified folds as test, as for the published baselines."""
+    rows = stored(snapshot_class_mean(t.nodes).select(*SNAPSHOT, "y", *FEATURES), "examples")
+    folds = stratified_fold(rows, "y", [*SNAPSHOT, "y"])
+    return folds.where("not is_test"), folds.where("is_test")
 
 
 def _fit_and_score(t: Tables, estimator):

@@ -21,7 +21,15 @@ from stopflow.operators.ordered import (
 )
 from stopflow.operators.skew import BLOCK, tag_blocks
 
-TRIP = ("transit_date", "trip_id", "route_direction_name", "block_abbr", "pattern_num")
+# Trips are told apart within a route; with the route in the key all routes go in one frame.
+TRIP = (
+    "route_id",
+    "transit_date",
+    "trip_id",
+    "route_direction_name",
+    "block_abbr",
+    "pattern_num",
+)
 TRIP_ORDER = ("stop_sequence", "departure_time")
 TRAFFIC_COLUMNS = (
     "xd_id",

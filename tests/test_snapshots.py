@@ -27,6 +27,7 @@ DAY = date(2024, 1, 1)
 def visit(stop, target, load=0.0, slot=1, minute=0, km=1.0, value=2.0):
     row = {
         "transit_date": DAY,
+        "route_id": 3,
         "trip_id": 1,
         "route_direction_name": "FROM DOWNTOWN",
         "block_abbr": 1,
@@ -47,7 +48,7 @@ def visit(stop, target, load=0.0, slot=1, minute=0, km=1.0, value=2.0):
 
 
 VISIT_SCHEMA = (
-    "transit_date date, trip_id int, route_direction_name string, block_abbr int, "
+    "transit_date date, route_id int, trip_id int, route_direction_name string, block_abbr int, "
     "pattern_num int, stop_sequence int, departure_time timestamp_ntz, direction int, slot int, "
     "stop_id int, source int, target int, load double, vehicle_capacity double, "
     + ", ".join(f"{c} double" for c in (*FEATURES, *EDGE_ATTRIBUTES))
