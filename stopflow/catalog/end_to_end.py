@@ -64,7 +64,8 @@ ENRICHED_SQL = f"""
       SELECT DISTINCT v.*, map_latitude, map_longitude, sched_hdwy, actual_hdwy,
              CAST(trunc((epoch_us(arrival_time) - epoch_us(scheduled_time)) / 60000000)
                   AS INTEGER) AS delay
-      FROM visits v LEFT JOIN raw r ON {" AND ".join(f"v.{k} = r.{k}" for k in _RAW_KEYS)}
+      FROM visits v LEFT JOIN raw r
+        ON {" AND ".join(f"v.{k} = r.{k}" for k in _RAW_KEYS)}
       WHERE v.route_direction_name IN ('TO DOWNTOWN', 'FROM DOWNTOWN')),
     moved AS (
       SELECT * EXCLUDE (nlat, nlon), coalesce({haversine_sql(

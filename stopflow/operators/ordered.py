@@ -169,10 +169,14 @@ def any_in_group(
 
 
 def rank_in_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    name: str = "position",
+    tagged: bool = False,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group (``keys`` may be empty)."""
-    source = tag_blocks(df, keys, order)
+    source = df if tagged else tag_blocks(df, keys, order)
     local = F.row_number().over(_window(source, keys, order)).cast("long")
     out = source.withColumn(name, local)
     if BLOCK in source.columns:

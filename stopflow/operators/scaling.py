@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stopflow.operators.ordered import rank_in_group
 from stopflow.operators.skew import keyed_join
-from stopflow.session import stored
+from stopflow.session import HOT_GROUP_ROWS, setting, stored
 
 SCALED_COLUMNS = (
     "precipitation_intensity",
@@ -55,20 +55,23 @@ def minmax(df: DataFrame, cols: Sequence[str] = SCALED_COLUMNS) -> DataFrame:
     return apply_minmax(df, fit_minmax(df, cols), cols)
 
 
-def label_codes(df: DataFrame, col: str) -> DataFrame:
-    """Distinct values of a column with their 0-based rank in natural order."""
-    values = df.select(col).where(F.col(col).isNotNull()).distinct()
-    ranked = rank_in_group(values, [], [col], "_rank")
+def label_codes(values: DataFrame, col: str, n_values: int) -> DataFrame:
+    """Distinct values of a column, ``n_values`` of them, with their 0-based natural rank."""
+    known = values.select(col).where(F.col(col).isNotNull()).distinct()
+    few = n_values <= setting(values.sparkSession, HOT_GROUP_ROWS)
+    ranked = rank_in_group(known, [], [col], "_rank", tagged=few)
     return ranked.select(col, (F.col("_rank") - 1).cast("int").alias(f"{col}_cat"))
 
 
 def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Add ``<col>_cat`` for every column.
 
-    The distinct combinations of the columns are stored once; every column's values are ranked
-    from them, so the rows are read one extra time, not once per column.
+    The distinct combinations of the columns are stored once. Their values are counted in one
+    job, which settles how to rank and join them, and ranked per column.
     """
     seen = stored(df.select(*cols).distinct(), "labels")
+    sizes = seen.agg(*[F.countDistinct(c).alias(c) for c in cols]).first()
     for c in cols:
-        df = keyed_join(df, label_codes(seen, c), [c], "left")
+        codes = label_codes(seen, c, sizes[c])
+        df = keyed_join(df, codes, [c], "left", right_rows=sizes[c])
     return df

@@ -1,9 +1,9 @@
 """Spatial joins as equi-joins on grid cells followed by the exact test.
 
 Visits repeat the coordinates of their stop, so the geometry is tested once per distinct
-coordinate pair; the answers are stored (one row per pair) and joined back. Shapes are placed on a hierarchical grid: a
-shape goes to the level whose cells are at least as wide as it, so it covers at most four cells
-however large it is, and a point looks up one cell on each level in use.
+coordinate pair; the answers are stored (one row per pair) and joined back. Shapes are placed on
+a hierarchical grid: a shape goes to the level whose cells are at least as wide as it, so it
+covers at most four cells however large it is, and a point looks up one cell per level in use.
 """
 
 from __future__ import annotations

@@ -1,9 +1,9 @@
 """Visit enrichment: raw counts, displacement, tracts, road traffic, load bins, weather.
 
 One plan over all routes and months. Like the hand-over files between cleaning steps, tables are
-stored on the way: visits after the raw join, after the traffic fills, and complete ones. Several steps read
-each of them (heavy trips, distinct coordinates, the rows themselves), every time only the columns
-they need. Heavy trips are looked for once and the block column serves every trip operator.
+stored on the way: visits after the raw join, after the traffic fills, and complete ones. Several
+steps read each of them (heavy trips, distinct coordinates, the rows themselves), every time only
+the columns they need. Heavy trips are looked for once; the block column serves all trip operators.
 """
 
 from __future__ import annotations

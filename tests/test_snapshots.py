@@ -129,8 +129,14 @@ def test_assemble_in_one_row_and_in_parts(visits):
 
 
 def chain(spark):
-    nodes = spark.createDataFrame([(DAY, 0, 1, 1, 1.0), (DAY, 0, 1, 2, 2.0)], "transit_date date, direction int, slot int, stop_id int, f double")
-    edges = spark.createDataFrame([(DAY, 0, 1, 1, 2, 1.0), (DAY, 0, 1, 2, 1, 1.0)], "transit_date date, direction int, slot int, source int, target int, displacement double")
+    snapshot = "transit_date date, direction int, slot int"
+    nodes = spark.createDataFrame(
+        [(DAY, 0, 1, 1, 1.0), (DAY, 0, 1, 2, 2.0)], f"{snapshot}, stop_id int, f double"
+    )
+    edges = spark.createDataFrame(
+        [(DAY, 0, 1, 1, 2, 1.0), (DAY, 0, 1, 2, 1, 1.0)],
+        f"{snapshot}, source int, target int, displacement double",
+    )
     return nodes, edges
 
 

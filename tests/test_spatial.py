@@ -11,6 +11,7 @@ from stopflow.sources.readers import read_lines, read_polygons
 
 SQUARE = [[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]]
 HOLE = [[1, 1], [2, 1], [2, 2], [1, 2], [1, 1]]
+WORLD = [[-100, -80], [100, -80], [100, 80], [-100, 80], [-100, -80]]
 FAR = [[10, 10], [11, 10], [10, 11], [10, 10]]
 
 
@@ -29,7 +30,7 @@ def polygons(spark, tmp_path):
         "features": [
             feature("Polygon", [SQUARE, HOLE], GEOID="1", white_pct=5),
             feature("MultiPolygon", [[SQUARE], [FAR]], GEOID="2", white_pct=None),
-            feature("Polygon", [[[-100, -80], [100, -80], [100, 80], [-100, 80], [-100, -80]]], GEOID="3"),
+            feature("Polygon", [WORLD], GEOID="3"),
             feature("Polygon", [[[4, 0], [8, 0], [8, 4], [4, 4], [4, 0]]], GEOID="4"),
         ],
     }
@@ -108,7 +109,11 @@ def test_nearest_line(spark, tmp_path):
         "type": "FeatureCollection",
         "features": [
             feature("LineString", [[0, 0], [0.01, 0]], XDSegID="7"),
-            feature("MultiLineString", [[[5, 5], [5, 6]], [[0, 0.0015], [0.01, 0.0015]]], XDSegID="3"),
+            feature(
+                "MultiLineString",
+                [[[5, 5], [5, 6]], [[0, 0.0015], [0.01, 0.0015]]],
+                XDSegID="3",
+            ),
             feature("LineString", [[0.02, 0], [0.02, 0]], XDSegID="9"),
         ],
     }

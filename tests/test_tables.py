@@ -97,7 +97,11 @@ def test_raw_join_matches_missing_keys_and_fans_out(spark):
         " map_longitude double, sched_hdwy double, actual_hdwy double",
     )
     out = enrich(visits, raw)
-    rows = sorted((r["stop_sequence"], r["map_latitude"], r["delay"]) for r in out.collect() if r["map_latitude"])
+    rows = sorted(
+        (r["stop_sequence"], r["map_latitude"], r["delay"])
+        for r in out.collect()
+        if r["map_latitude"]
+    )
     assert rows == [(1, 1.0, 0), (1, 2.0, None), (2, 3.0, 0)]
     assert out.count() == 4
 
@@ -173,7 +177,9 @@ def test_recall_equals_accuracy(spark):
 
 
 def test_focal_loss(spark):
-    scored = spark.createDataFrame([(1, 1, [-5.0, -0.6931471805599453])], "s int, y int, log_probs array<double>")
+    scored = spark.createDataFrame(
+        [(1, 1, [-5.0, -0.6931471805599453])], "s int, y int, log_probs array<double>"
+    )
     weights = spark.createDataFrame([(1, 2.0)], "y int, weight double")
     got = metrics.focal_loss(scored, weights, ["s"]).first()[0]
     assert got == pytest.approx(0.346574, abs=1e-6)
