@@ -1,7 +1,8 @@
 """The bench tables in the roles of the transit model.
 
 ``Tables`` derives every role with Spark; ``ROLE_SQL`` says the same in SQL. A trip is a user's
-week of events, ordered by time; a stop is the event's ``k`` property.
+week of events, ordered by time; a stop is the event's ``k`` property. Measures that get averaged
+have long decimals, so that no mean sits right between two values of its rounded form.
 """
 
 from __future__ import annotations
@@ -133,9 +134,9 @@ class Tables:
     def weather(self) -> DataFrame:
         return self.table("events").selectExpr(
             f"timestampdiff(SECOND, {EPOCH}, ts) as time",
-            "value / 970 as precipitation_intensity",
+            "value * 0.0010309278D as precipitation_intensity",
             "cast(30 + event_id % 61 as double) as temperature",
-            "(user_id % 100) / 100 as humidity",
+            "(user_id % 97) / 97 as humidity",
         )
 
     @cached_property
@@ -229,11 +230,11 @@ class Tables:
             "icon as weather_category",
             "if(route_direction_name = 'TO DOWNTOWN', 1, 0) as direction",
             "cast(floor(time_window / 4) as int) as slot",
-            "y_reg100 / 97 as precipitation_intensity",
+            "y_reg100 * 0.0103092783D as precipitation_intensity",
             "cast(30 + visit_id % 61 as double) as temperature",
-            "(trip_id % 100) / 100 as humidity",
+            "(trip_id % 97) / 97 as humidity",
             "if(visit_id % 11 <> 0, cast(visit_id % 23 - 8 as double), null) as delay",
-            "20 + stop_id * 0.3D as average_speed",
+            "20 + stop_id * 0.3070707D as average_speed",
             "(visit_id % 7) / 8 as extreme_congestion",
             "y_reg100 / 47 as displacement",
             "30000D + stop_id * 100 as median_income_last12months",
@@ -412,8 +413,8 @@ ROLE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """
     SELECT CAST(epoch_us(ts) // 1000000 AS BIGINT) AS time,
-           value / 970 AS precipitation_intensity,
-           CAST(30 + event_id % 61 AS DOUBLE) AS temperature, (user_id % 100) / 100 AS humidity
+           value * 0.0010309278::DOUBLE AS precipitation_intensity,
+           CAST(30 + event_id % 61 AS DOUBLE) AS temperature, (user_id % 97) / 97 AS humidity
     FROM events
 """,
     ),
@@ -490,11 +491,11 @@ ROLE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     SELECT * EXCLUDE (y_reg100, icon), y_reg100 AS load, icon AS weather_category,
            CASE route_direction_name WHEN 'TO DOWNTOWN' THEN 1 WHEN 'FROM DOWNTOWN' THEN 0 END
              AS direction,
-           time_window // 4 AS slot, y_reg100 / 97 AS precipitation_intensity,
+           time_window // 4 AS slot, y_reg100 * 0.0103092783::DOUBLE AS precipitation_intensity,
            CAST(30 + visit_id % 61 AS DOUBLE) AS temperature,
-           (trip_id % 100) / 100 AS humidity,
+           (trip_id % 97) / 97 AS humidity,
            CASE WHEN visit_id % 11 <> 0 THEN CAST(visit_id % 23 - 8 AS DOUBLE) END AS delay,
-           20 + stop_id * 0.3::DOUBLE AS average_speed, (visit_id % 7) / 8 AS extreme_congestion,
+           20 + stop_id * 0.3070707::DOUBLE AS average_speed, (visit_id % 7) / 8 AS extreme_congestion,
            y_reg100 / 47 AS displacement,
            30000.0::DOUBLE + stop_id * 100 AS median_income_last12months,
            stop_id / 100 AS white_pct, stop_id / 200 AS black_pct, stop_id / 300 AS hispanic_pct,
