@@ -234,7 +234,7 @@ class Tables:
             "cast(30 + visit_id % 61 as double) as temperature",
             "(trip_id % 97) / 97 as humidity",
             "if(visit_id % 11 <> 0, cast(visit_id % 23 - 8 as double), null) as delay",
-            "20 + stop_id * 0.3070707D as average_speed",
+            "20 + stop_id * 0.30707070707071D as average_speed",
             "(visit_id % 7) / 8 as extreme_congestion",
             "y_reg100 / 47 as displacement",
             "30000D + stop_id * 100 as median_income_last12months",
@@ -495,7 +495,7 @@ ROLE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
            CAST(30 + visit_id % 61 AS DOUBLE) AS temperature,
            (trip_id % 97) / 97 AS humidity,
            CASE WHEN visit_id % 11 <> 0 THEN CAST(visit_id % 23 - 8 AS DOUBLE) END AS delay,
-           20 + stop_id * 0.3070707::DOUBLE AS average_speed, (visit_id % 7) / 8 AS extreme_congestion,
+           20 + stop_id * 0.30707070707071::DOUBLE AS average_speed, (visit_id % 7) / 8 AS extreme_congestion,
            y_reg100 / 47 AS displacement,
            30000.0::DOUBLE + stop_id * 100 AS median_income_last12months,
            stop_id / 100 AS white_pct, stop_id / 200 AS black_pct, stop_id / 300 AS hispanic_pct,
