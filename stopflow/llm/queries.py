@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stopflow.llm import sketches
+from stopflow.llm import licenses, mixing, sketches, toxicity, wordbpe
+from stopflow.llm.shipping import ship
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
-    RUN[fn.__name__] = fn
-    return fn
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, sf_dir)
+
+    RUN[fn.__name__] = run
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,3 +33,132 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on four-word shingles at similarity 0.8."""
     return sketches.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str, learn) -> toxicity.Model:
+    """Fit on the labelled documents that the condition leaves for learning."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return toxicity.fit(docs.where(learn).join(labels, "doc_id"))
+
+
+@query
+def op6_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from the labelled two thirds of the ids."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = toxicity_model(spark, sf_dir, ~held_out)
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", held_out.alias("held_out"), "lang", "text"
+    )
+    return toxicity.with_scores(docs, model).select(
+        "doc_id",
+        "held_out",
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        toxicity.threshold(model).alias("lang_threshold"),
+    )
+
+
+@query
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document by a mix of 150 % of all words, at most two epochs."""
+    mix = mixing.plan(table(spark, sf_dir, "documents"))
+    rows = mixing.with_cuts(mix.counted, mix)
+    return rows.select(
+        "doc_id", "size", "source_size", "target", mixing.taken_words().alias("taken")
+    )
+
+
+SQL["op8_source_mix"] = """
+WITH counted AS (
+  SELECT doc_id, source,
+    substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 16) AS key,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+sizes AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM counted GROUP BY source),
+weighed AS (
+  SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS turn FROM sizes),
+capped AS (
+  SELECT *, CASE turn % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight,
+    2 * source_size AS cap FROM weighed),
+filled AS (
+  SELECT *,
+    row_number() OVER w AS place,
+    (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5
+      - CAST(coalesce(sum(cap) OVER before, 0) AS DOUBLE))
+      / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS DOUBLE) AS level
+  FROM capped
+  WINDOW w AS (ORDER BY CAST(cap AS DOUBLE) / weight, turn),
+    before AS (ORDER BY CAST(cap AS DOUBLE) / weight, turn
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+opened AS (
+  SELECT arg_min(level, place) AS open_level FROM filled WHERE NOT level * weight > cap),
+wanted AS (
+  SELECT source, source_size,
+    CASE WHEN level * weight > cap THEN CAST(cap AS DOUBLE) ELSE open_level * weight END AS target
+  FROM filled CROSS JOIN opened),
+budget AS (
+  SELECT *, CASE WHEN source_size > 0
+    THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM wanted),
+keyed AS (
+  SELECT c.*, source_size, target, whole,
+    CAST(floor(target - whole * source_size) AS BIGINT) AS rest
+  FROM counted c JOIN budget b ON c.source IS NOT DISTINCT FROM b.source),
+units AS (
+  SELECT source, key, sum(size) AS unit FROM counted GROUP BY source, key),
+placed AS (
+  SELECT *, sum(unit) OVER (PARTITION BY source ORDER BY key) - unit AS before FROM units)
+SELECT k.doc_id, k.size, source_size, target,
+  CAST(whole * size + CASE WHEN before + unit <= rest THEN size
+    WHEN before <= rest AND rest < before + unit
+      THEN CAST(floor(CAST((rest - before) * size AS DOUBLE) / unit) AS BIGINT)
+    ELSE 0 END AS BIGINT) AS taken
+FROM keyed k JOIN placed p ON k.source IS NOT DISTINCT FROM p.source AND k.key = p.key
+"""
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def encoded_digests(docs: DataFrame) -> DataFrame:
+    rows = wordbpe.encode_decode(docs, tokenizer_path("word_bpe_49k.json"))
+    return rows.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op9_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the word-level BPE and decoded again."""
+    return encoded_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License detections of all documents, with the places of the base phrases."""
+    rows = licenses.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("detections", lambda d: d["base"])
+    joined = {
+        "base_labels": F.transform("_base", lambda d: d["label"]),
+        "labels": F.transform("detections", lambda d: d["label"]),
+    }
+    start = F.transform("_base", lambda d: d["first_word"])
+    return rows.withColumn("_base", base).select(
+        "doc_id",
+        "n_words",
+        F.size("_base").cast("long").alias("n_base"),
+        F.array_min(start).alias("first_word"),
+        F.array_max(start).alias("last_word"),
+        *[F.array_join(F.array_sort(F.array_distinct(v)), ",").alias(k) for k, v in joined.items()],
+        F.coalesce(
+            F.array_max(F.transform("detections", lambda d: d["confidence"])), F.lit(0.0)
+        ).alias("score"),
+        F.size("detections").cast("long").alias("n_detections"),
+    )

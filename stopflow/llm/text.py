@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 # Closes each text in the token stream; the byte never occurs in UTF-8.
 END = b"\xff"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+# Every ASCII character but letters and digits becomes a space: words are then runs of
+# letters, digits and non-ASCII characters.
+PLAIN = bytes(
+    b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER
+)
 # Bytes of text handled at once inside a task; a longer text is handled alone.
 CHUNK_BYTES = 16 << 20
 
@@ -49,16 +54,17 @@ def chunks(
 
 
 def token_table(
-    texts: list[bytes], lower: bool = True
+    texts: list[bytes], table: bytes | None = LOWER
 ) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the texts, each text closed by ``END``.
 
+    ``table`` maps the bytes first: ``LOWER``, ``PLAIN``, or None to leave them.
     Returns the token codes of all texts in order, the distinct tokens by code, and the position
     of every text's first token (one more entry than texts).
     """
     joined = (b" " + END + b" ").join(texts) + b" " + END
-    if lower:
-        joined = joined.translate(LOWER)
+    if table is not None:
+        joined = joined.translate(table)
     raw = np.frombuffer(joined, dtype=np.uint8)
     inside = ~_SPACE[raw]
     edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
@@ -89,3 +95,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def spans(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of consecutive runs: begin[0] .. begin[0] + sizes[0] - 1, then the next run."""
+    out = np.ones(int(sizes.sum()), dtype=np.int64)
+    if not len(out):
+        return out
+    begin, sizes = begin[sizes > 0], sizes[sizes > 0]
+    heads = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    out[0] = begin[0]
+    out[heads[1:]] = begin[1:] - (begin[:-1] + sizes[:-1] - 1)
+    return np.cumsum(out)
