@@ -95,9 +95,11 @@ def _sampled_share(percent: int, k: int) -> float:
 
 
 def inverted_lists(classes: DataFrame, percent: int, k: int) -> DataFrame:
-    """value, node, n_shingles, weight: every node under its rarest shared values.
+    """value, node, n_shingles, weight, need, rest: every node under its rarest shared values.
 
-    ``weight`` sums the list lengths of the node's values and is high for the middle of a group.
+    ``weight`` sums the list lengths of the node's values and is high for the middle of a group;
+    ``need`` is the overlap it needs with any partner, and ``rest`` counts the values from this
+    one on, rarest first, which bounds the overlap of a pair whose first common value it is.
     """
     values = classes.select("node", F.explode("sketch").alias("value"))
     sizes = values.groupBy("value").agg(F.count("*").alias("f")).where("f > 1")
@@ -117,11 +119,26 @@ def inverted_lists(classes: DataFrame, percent: int, k: int) -> DataFrame:
     need = F.greatest(F.ceil(held * share - 1e-9), F.lit(1))
     per_node = per_node.withColumn("need", need.cast("int")).where("size(list) >= need")
     rarest = F.slice("list", F.lit(1), F.size("list") - F.col("need") + 1)
-    return per_node.select("node", "n_shingles", "weight", F.explode(rarest).alias("e")).select(
-        F.col("e.value").alias("value"), "node", "n_shingles", "weight"
+    return per_node.select(
+        "node", "n_shingles", "weight", "need", "list", F.posexplode(rarest).alias("at", "e")
+    ).select(
+        F.col("e.value").alias("value"),
+        "node",
+        "n_shingles",
+        "weight",
+        "need",
+        (F.size("list") - F.col("at")).alias("rest"),
     )
 
 
+def _reachable(percent: int, k: int):
+    """Whether the values left from a common one on can make up the overlap that a pair needs."""
+    whole = F.greatest("n_a", "n_b") * 100 <= k * percent
+    exact = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100.0 + percent) - 1e-9)
+    need = F.when(whole, exact).otherwise(F.greatest("need_a", "need_b"))
+    return F.least("rest_a", "rest_b") >= need
+
+
 def _comparable(percent: int):
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     return small * 100 >= large * percent
@@ -239,11 +256,12 @@ def near_duplicates(
     )
     long_lists = inverted_lists(longer, percent, LONG_SKETCH).join(doubtful, "node")
     long_lists = stored(long_lists.drop("weight"), "long_lists")
-    left = long_lists.toDF("a", "value", "n_a", "ca")
-    right = long_lists.toDF("b", "value", "n_b", "cb")
+    left = long_lists.toDF("a", "value", "n_a", "need_a", "rest_a", "ca")
+    right = long_lists.toDF("b", "value", "n_b", "need_b", "rest_b", "cb")
     crossing = (
         left.join(right, "value")
         .where((F.col("ca") < F.col("cb")) & _comparable(percent))
+        .where(_reachable(percent, LONG_SKETCH))
         .select("a", "b")
         .distinct()
     )
