@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopflow.llm import licenses, mixing, sketches, toxicity, wordbpe
+from stopflow.llm import histsort, licenses, mixing, sketches, toxicity, wordbpe
 from stopflow.llm.shipping import ship
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,18 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("score"),
         F.size("detections").cast("long").alias("n_detections"),
     )
+
+
+@query
+def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return histsort.sharded(docs, histsort.SHARDS).select(
+        "doc_id",
+        "size",
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
