@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopflow.llm import histsort, licenses, mixing, sketches, toxicity, wordbpe
+from stopflow.llm import histsort, licenses, mixing, sketches, toxicity, wavelet, wordbpe
 from stopflow.llm.shipping import ship
+from stopflow.session import stored
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -177,3 +178,16 @@ def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op4_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of all documents, written to wavelet matrix files and read back."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    files = stored(wavelet.write_files(table(spark, sf_dir, "documents"), path), "token-files")
+    return wavelet.read_ids(files).select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )

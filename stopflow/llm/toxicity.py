@@ -24,7 +24,7 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 PREFIXES = (4, 6)
 # Bounds of the fit: labelled rows of either class, and characters of a row's text.
-FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 2_500, 5_000, 20_000
+FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1_500, 3_000, 20_000
 EPOCHS, STEPS, BATCH, RATE = 8, 1_000, 64, 0.01  # passes, or as many steps if fewer rows
 # Share of words hidden in each step, against learning single documents by heart.
 WORD_DROP = 0.3

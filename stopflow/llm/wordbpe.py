@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stopflow.llm.packing import packed, unpacked, unzstd, zstd
 from stopflow.llm.text import END, chunks, spans, text_bytes, token_table
 from stopflow.session import stored
 
@@ -24,32 +25,6 @@ from stopflow.session import stored
 BLOCK_BYTES, OUT_BYTES = 32 << 20, 4 << 20
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Compressed integers: bytes of equal weight stand together."""
-    planes = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T
-    raw = np.ascontiguousarray(planes[: 4 if planes[3].any() else 3]).tobytes()
-    return len(values).to_bytes(8, "little") + zstd(raw)
-
-
-def unpacked(blob: bytes) -> np.ndarray:
-    n = int.from_bytes(blob[:8], "little")
-    if n == 0:
-        return np.empty(0, dtype=np.uint32)
-    planes = np.frombuffer(unzstd(blob[8:]), np.uint8).reshape(-1, n)
-    out = np.zeros((n, 4), dtype=np.uint8)
-    out[:, : len(planes)] = planes.T
-    return out.view("<u4").reshape(-1)
-
-
-def zstd(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def unzstd(blob: bytes) -> bytes:
-    size = int.from_bytes(blob[:8], "little")
-    return pa.decompress(blob[8:], decompressed_size=size, codec="zstd", asbytes=True)
-
-
 @functools.cache
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
