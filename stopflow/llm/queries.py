@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopflow.llm import histsort, licenses, mixing, sketches, toxicity, wavelet, wordbpe
+from stopflow.llm import histsort, licenses, lmscore, mixing, sketches, toxicity, wavelet, wordbpe
 from stopflow.llm.shipping import ship
 from stopflow.session import stored
 
@@ -191,3 +191,19 @@ def op4_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.crc32("ids").alias("ids_crc32"),
     )
+
+
+@query
+def op2_lm_trie_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a model of the documents not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = lmscore.train(docs.where(~lmscore.held_out()))
+    return lmscore.score(docs, model).select(
+        "doc_id",
+        lmscore.held_out().alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
