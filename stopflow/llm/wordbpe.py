@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import os
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,10 @@ from pyspark.sql import functions as F
 
 from stopflow.llm.packing import packed, unpacked, unzstd, zstd
 from stopflow.llm.text import END, chunks, spans, text_bytes, token_table
-from stopflow.session import stored
+from stopflow.session import scratch_path
 
 # Text bytes of a block, and of the documents that leave a task together.
-BLOCK_BYTES, OUT_BYTES = 32 << 20, 4 << 20
+BLOCK_BYTES, OUT_BYTES = 20 << 20, 4 << 20
 
 
 @functools.cache
@@ -58,9 +59,12 @@ def blocks(docs: DataFrame, shards: int) -> DataFrame:
             end = words.index(END)
             words.pop(end)
             codes = codes - (codes > end)
-            # Frequent words get small numbers, which compress well.
+            # Frequent words get small numbers; words about as frequent stand in their own
+            # order. Both compress well.
             counts = np.bincount(codes, minlength=len(words))
-            order = np.argsort(-counts, kind="stable")
+            group = -np.log2(np.maximum(counts, 1)).astype(np.int64)
+            order = np.array(sorted(range(len(words)), key=lambda i: (group[i], words[i])))
+            order = order.astype(np.int64)
             rank = np.empty(len(words), dtype=np.int64)
             rank[order] = np.arange(len(words))
             words = [words[i] for i in order]
@@ -133,6 +137,18 @@ def encoded_words(made: DataFrame, path: str) -> DataFrame:
     )
 
 
+def _bucketed(made: DataFrame, buckets: int) -> DataFrame:
+    """The blocks, written to the shared folder in buckets of ``block``: a join needs no exchange."""
+    spark = made.sparkSession
+    name = f"stopflow_blocks_{uuid.uuid4().hex}"
+    writer = made.write.bucketBy(buckets, "block").option("path", scratch_path(spark, "blocks"))
+    writer.saveAsTable(name)
+    rows = spark.table(name)
+    # The frame holds the files; only the name in the catalog goes.
+    spark.sql(f"DROP TABLE {name}")
+    return rows
+
+
 def encode_decode(docs: DataFrame, path: str, shards: int | None = None) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers) and the decoded text of each row.
 
@@ -143,7 +159,7 @@ def encode_decode(docs: DataFrame, path: str, shards: int | None = None) -> Data
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = stored(blocks(docs, shards), "blocks")
+    made = _bucketed(blocks(docs, shards), shards)
     words = encoded_words(made, path).groupBy("block").agg(
         F.collect_list(F.struct("shard", "counts", "ids")).alias("found")
     )
