@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopflow.llm import histsort, licenses, lmscore, mixing, mtree, sketches, toxicity, wavelet, wordbpe
+from stopflow.llm import annlinks, histsort, licenses, lmscore, mixing, mtree, sketches, toxicity, wavelet, wordbpe
 from stopflow.llm.shipping import ship
 from stopflow.session import stored
 
@@ -214,3 +214,9 @@ def op3_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every fiftieth vector among all others."""
     rows = table(spark, sf_dir, "embeddings")
     return mtree.top_k(rows, F.col("vec_id") % 50 == 0, k=5)
+
+
+@query
+def op5_pruned_graph_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings of a label at cosine 0.98."""
+    return annlinks.linked(table(spark, sf_dir, "embeddings"))
