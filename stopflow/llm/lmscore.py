@@ -32,7 +32,7 @@ from stopflow.session import stored
 
 MU = 4.0
 # Text bytes that a task turns into blocks at once.
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 24 << 20
 # One document in so many is looked at for words too frequent for one shard.
 SAMPLE = 64
 START = b"\xfe"
@@ -83,7 +83,7 @@ def blocks(docs: DataFrame, shards: int, frequent: list[int], postings: bool) ->
         codes, words, starts = token_table(texts)
         h = word_hashes([*words, START])
         many = len(h)
-        before = np.empty(len(codes), dtype=np.int64)
+        before = np.empty(len(codes), dtype=np.int32)
         before[1:] = codes[:-1]
         before[starts[:-1]] = many - 1
         order = np.argsort(codes.astype(np.int64) * many + before, kind="stable")

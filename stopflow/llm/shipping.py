@@ -1,4 +1,4 @@
-"""Gives executors this library's Python code, as ``--py-files`` would."""
+"""Prepares a session: this library's code on the executors, and small Arrow batches."""
 
 from __future__ import annotations
 
@@ -9,6 +9,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+# Rows that travel to Python together. Texts and sets are long: Spark's 10,000 rows of them
+# would stand in memory several times.
+BATCH_ROWS = 1_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -18,6 +21,7 @@ def ship(spark: SparkSession) -> None:
     package, its source travels from the driver with the session's files.
     """
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parents[1]

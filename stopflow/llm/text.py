@@ -19,7 +19,7 @@ PLAIN = bytes(
     b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER
 )
 # Bytes of text handled at once inside a task; a longer text is handled alone.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -221,10 +221,11 @@ def threshold(model: Model, lang: str = "lang"):
 
 
 def with_scores(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the score of its whole text.
+    """All columns of ``docs`` and the score of its whole text; a column of its name is replaced.
 
     A missing text scores as an empty one; every other column may hold NULLs and passes through.
     """
+    docs = docs.drop(into)
     width = len(docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
 
