@@ -11,7 +11,14 @@ from stopflow.functions.scalars import KNOWN_CAPACITIES
 from stopflow.operators import metrics, stats
 from stopflow.operators.cleaning import dedupe_first, dedupe_rows, null_audit
 from stopflow.operators.enrich import WEATHER_VALUES, enrich, weather_hourly_mean
-from stopflow.operators.scaling import apply_minmax, fit_minmax, label_encode
+from stopflow.operators.scaling import (
+    SCALED_COLUMNS,
+    apply_minmax,
+    fit_minmax,
+    label_encode,
+    read_bounds,
+    save_bounds,
+)
 from stopflow.operators.snapshots import (
     SNAPSHOT,
     node_features,
@@ -20,6 +27,7 @@ from stopflow.operators.snapshots import (
     snapshot_size_check,
 )
 from stopflow.operators.splits import hash_split
+from stopflow.session import scratch_path
 
 
 @query("distinct_values", "visits", "SELECT DISTINCT route_id, stop_id FROM visits")
@@ -72,18 +80,52 @@ def _(t: Tables):
     return stats.time_bounds(t.weather.select(epoch_shift("time").alias("datetime")))
 
 
+_HEADWAY = "if(visit_id % 11 <> 0, 10D + visit_id % 20 + (visit_id % 7) / 8, null)"
+_HEADWAY_SQL = (
+    "CASE WHEN visit_id % 11 <> 0 THEN 10.0::DOUBLE + visit_id % 20 + (visit_id % 7) / 8 END"
+)
+_GAPS = ("delay", "actual_hdwy")
+_SCALED_SQL = ", ".join(
+    f"round(({f'coalesce({c}, 0)' if c in _GAPS else c} - {c}_lo) / ({c}_hi - {c}_lo), 6) AS {c}"
+    for c in SCALED_COLUMNS
+)
+_BOUNDS_SQL = ", ".join(f"min({c}) AS {c}_lo, max({c}) AS {c}_hi" for c in SCALED_COLUMNS)
+
+
+def _with_headway(t: Tables):
+    rows = t.prepared.withColumn("actual_hdwy", F.expr(_HEADWAY))
+    return rows.select("visit_id", "direction", *SCALED_COLUMNS)
+
+
+def _filled(rows):
+    return rows.drop("direction").fillna(dict.fromkeys(_GAPS, 0))
+
+
 @query(
     "minmax_scale",
     "prepared",
-    """SELECT visit_id, round((load - lo) / (hi - lo), 6) AS load,
-              round((coalesce(delay, 0) - dlo) / (dhi - dlo), 6) AS delay
-       FROM prepared CROSS JOIN (SELECT min(load) AS lo, max(load) AS hi, min(delay) AS dlo,
-                                        max(delay) AS dhi FROM prepared)""",
+    f"""SELECT visit_id, {_SCALED_SQL}
+       FROM (SELECT *, {_HEADWAY_SQL} AS actual_hdwy FROM prepared)
+       CROSS JOIN (SELECT {_BOUNDS_SQL} FROM
+                   (SELECT *, {_HEADWAY_SQL} AS actual_hdwy FROM prepared))""",
+)
+def _(t: Tables):
+    return rounded(apply_minmax(_filled(_with_headway(t)), fit_minmax(_with_headway(t))))
+
+
+@query(
+    "minmax_saved",
+    "prepared",
+    f"""SELECT visit_id, {_SCALED_SQL}
+       FROM (SELECT *, {_HEADWAY_SQL} AS actual_hdwy FROM prepared)
+       CROSS JOIN (SELECT {_BOUNDS_SQL} FROM
+                   (SELECT *, {_HEADWAY_SQL} AS actual_hdwy FROM prepared WHERE direction = 0))""",
 )
 def _(t: Tables):
-    bounds = fit_minmax(t.prepared, ["load", "delay"])
-    filled = t.prepared.select("visit_id", "load", "delay").fillna({"delay": 0})
-    return rounded(apply_minmax(filled, bounds, ["load", "delay"]))
+    """Bounds fitted on the outbound direction, saved, read again and applied to all visits."""
+    path = scratch_path(t.spark, "bounds")
+    save_bounds(fit_minmax(_with_headway(t).where("direction = 0")), path)
+    return rounded(apply_minmax(_filled(_with_headway(t)), read_bounds(t.spark, path)))
 
 
 @query(

@@ -4,19 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stopflow.catalog.aggregates import HISTOGRAM_SQL
+from stopflow.catalog.aggregates import HISTOGRAM_SQL, prf_sql
 from stopflow.catalog.expressions import haversine_sql
 from stopflow.catalog.joins import IN_TRACT_SQL, nearest_sql
 from stopflow.catalog.registry import query, r, rounded
 from stopflow.catalog.roles import ORDER_SQL, TRIP_SQL, Tables, bin_sql
 from stopflow.functions import fold_window, map_values
 from stopflow.functions.scalars import DIRECTION_CODES
-from stopflow.operators.cleaning import dedupe_first
-from stopflow.operators.snapshots import node_labels
+from stopflow.operators.cleaning import PERCENT_COLUMNS, dedupe_first
+from stopflow.operators.scaling import SCALED_COLUMNS
+from stopflow.operators.snapshots import (
+    CODE_FEATURES,
+    EDGE_ATTRIBUTES,
+    FEATURES,
+    NUMERIC_FEATURES,
+    node_labels,
+)
 from stopflow.operators.stats import class_histogram
 from stopflow.operators.trips import TRIP
 from stopflow.plans.enrichment import TRACT_VALUES, enriched_visits, prepared_visits
-from stopflow.plans.evaluation import static_report
+from stopflow.plans.evaluation import dynamic_report, static_report
 from stopflow.plans.graphs import dynamic_snapshots, graph_ready, static_snapshots
 from stopflow.sources.readers import tract_profile
 
@@ -97,15 +104,25 @@ def _enriched(t: Tables):
     )
 
 
+_ENRICHED_VALUES = (
+    "displacement",
+    *TRACT_VALUES,
+    *_TRAFFIC[1:],
+    "sched_hdwy",
+    "actual_hdwy",
+    "map_latitude",
+    "map_longitude",
+)
+
+
 @query(
     "visit_enrichment",
     _INPUTS,
     f"""{ENRICHED_SQL}
-    SELECT visit_id, XDSegID, xd_id, delay,
-           {r("displacement", *TRACT_VALUES, "average_speed", "congestion")} FROM enriched""",
+    SELECT visit_id, XDSegID, xd_id, delay, {r(*_ENRICHED_VALUES)} FROM enriched""",
 )
 def _(t: Tables):
-    cols = ["displacement", *TRACT_VALUES, "average_speed", "congestion"]
+    cols = list(_ENRICHED_VALUES)
     return rounded(_enriched(t).select("visit_id", "XDSegID", "xd_id", "delay", *cols))
 
 
@@ -150,11 +167,28 @@ def _(t: Tables):
 TIES = ["departure_time", "delay", "sched_hdwy", "actual_hdwy"]
 
 
+_GAPS = ("delay", "actual_hdwy")
+_BOUNDS = ", ".join(f"min({c}) AS {c}_lo, max({c}) AS {c}_hi" for c in SCALED_COLUMNS)
+_SCALED = ", ".join(
+    f"({f'coalesce({c}, 0)' if c in _GAPS else c} - {c}_lo)"
+    f" / coalesce(nullif({c}_hi - {c}_lo, 0), 1) AS {c}"
+    for c in SCALED_COLUMNS
+)
+_FRACTIONS = ", ".join(f"{c} / 100 AS {c}" for c in PERCENT_COLUMNS)
+_CODES = ", ".join(
+    f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS INTEGER) AS {c}_cat"
+    for c in ("dayofweek", "month", "year", "slot")
+)
+_ATTRIBUTES = ", ".join(
+    f"arg_max({c}, ROW(departure_time, {TRIP_SQL}, stop_sequence)) AS {c}"
+    for c in EDGE_ATTRIBUTES
+)
+
+
 def _ready_sql(per: int) -> str:
-    """Visits of the outbound direction with scaled displacement and their edge target."""
+    """Scaled visits of the outbound direction with their codes and edge target."""
     return f"""{PREPARED_SQL},
-    bounds AS (SELECT min(displacement) AS dlo, max(displacement) AS dhi,
-                      min(temperature) AS tlo, max(temperature) AS thi FROM complete),
+    bounds AS (SELECT {_BOUNDS} FROM complete),
     firsts AS (
       SELECT * EXCLUDE (nth) FROM (
         SELECT *, row_number() OVER (PARTITION BY {TRIP_SQL}, stop_sequence
@@ -162,27 +196,26 @@ def _ready_sql(per: int) -> str:
                            actual_hdwy NULLS FIRST) AS nth
         FROM complete) WHERE nth = 1),
     scaled AS (
-      SELECT * REPLACE ((displacement - dlo) / (dhi - dlo) AS displacement,
-                        (temperature - tlo) / (thi - tlo) AS temperature),
-             time_window // {per} AS slot, 0 AS direction
-      FROM firsts CROSS JOIN bounds
-      WHERE ({TRIP_SQL}) NOT IN (SELECT ({TRIP_SQL}) FROM firsts
-                                 WHERE vehicle_capacity IS NULL)
-        AND route_direction_name = 'FROM DOWNTOWN'),
+      SELECT *, {_CODES} FROM (
+        SELECT * REPLACE ({_SCALED}, {_FRACTIONS}), time_window // {per} AS slot, 0 AS direction
+        FROM firsts CROSS JOIN bounds
+        WHERE ({TRIP_SQL}) NOT IN (SELECT ({TRIP_SQL}) FROM firsts
+                                   WHERE vehicle_capacity IS NULL))),
     outbound AS (
       SELECT * EXCLUDE (following, more), stop_id AS source,
              CASE WHEN more IS NOT NULL THEN following END AS target
       FROM (SELECT *, lead(stop_id) OVER (PARTITION BY {TRIP_SQL} ORDER BY {ORDER_SQL})
                         AS following,
                    lead(1) OVER (PARTITION BY {TRIP_SQL}, slot ORDER BY {ORDER_SQL}) AS more
-            FROM scaled)),
+            FROM scaled WHERE route_direction_name = 'FROM DOWNTOWN')),
     edges AS (
-      SELECT transit_date, slot, source, target,
-             arg_max(displacement, ROW(departure_time, {TRIP_SQL}, stop_sequence)) AS displacement
+      SELECT transit_date, slot, source, target, {_ATTRIBUTES}
       FROM outbound WHERE target IS NOT NULL GROUP BY 1, 2, 3, 4),
     seen AS (
       SELECT transit_date, slot, stop_id, max(y_reg100) AS top_load,
-             max(vehicle_capacity) AS top_capacity, avg(temperature) AS temperature
+             max(vehicle_capacity) AS top_capacity,
+             {", ".join(f"avg({c}) AS {c}" for c in NUMERIC_FEATURES)},
+             {", ".join(f"min({c}) AS {c}" for c in CODE_FEATURES)}
       FROM outbound GROUP BY 1, 2, 3)
     """
 
@@ -190,13 +223,22 @@ def _ready_sql(per: int) -> str:
 def _graph(t: Tables, per: int, build):
     ready = graph_ready(_prepared(t), per, tie_break=TIES)
     nodes, _ = build(ready)
-    return rounded(nodes.select("transit_date", "slot", "stop_id", "temperature", "y"))
+    codes = [F.col(c).cast("double").alias(c) for c in CODE_FEATURES]
+    keys = ("transit_date", "slot", "stop_id")
+    return rounded(nodes.select(*keys, *NUMERIC_FEATURES, *codes, "y"))
+
+
+def _imputed(value: int) -> str:
+    return ", ".join(
+        f"round(CAST(CASE WHEN s.stop_id IS NULL THEN {value} ELSE s.{c} END AS DOUBLE), 6) AS {c}"
+        for c in FEATURES
+    )
 
 
 def _dynamic_sql(per: int) -> str:
     return f"""{_ready_sql(per)}
     SELECT e.transit_date, e.slot, e.stop_id,
-           round(CASE WHEN s.stop_id IS NULL THEN 0 ELSE s.temperature END, 6) AS temperature,
+           {_imputed(0)},
            CASE WHEN s.stop_id IS NULL THEN 0
                 ELSE {bin_sql("s.top_load", "s.top_capacity")} END AS y
     FROM (SELECT transit_date, slot, source AS stop_id FROM outbound
@@ -222,7 +264,7 @@ def _(t: Tables):
     f"{_INPUTS} hourly",
     f"""{_ready_sql(2)}
     SELECT g.transit_date, g.slot, l.stop_id,
-           round(CASE WHEN s.stop_id IS NULL THEN 1 ELSE s.temperature END, 6) AS temperature,
+           {_imputed(1)},
            CASE WHEN s.stop_id IS NULL THEN 4
                 ELSE {bin_sql("s.top_load", "s.top_capacity")} END AS y
     FROM (SELECT DISTINCT transit_date, slot FROM edges) g
@@ -238,25 +280,34 @@ def _(t: Tables):
     "graph_edges_2hr",
     f"{_INPUTS} hourly",
     f"""{_ready_sql(4)}
-    SELECT transit_date, slot, source, target, {r("displacement")} FROM edges""",
+    SELECT transit_date, slot, source, target, {r(*EDGE_ATTRIBUTES)} FROM edges""",
 )
 def _(t: Tables):
     _, edges = dynamic_snapshots(graph_ready(_prepared(t), 4, tie_break=TIES))
-    cols = ["transit_date", "slot", "source", "target", "displacement"]
+    cols = ["transit_date", "slot", "source", "target", *EDGE_ATTRIBUTES]
     return rounded(edges.select(*cols))
 
 
+def _report_sql(rows: str, where: str, k: int, shift: str = "(ypred + 1) % 5") -> str:
+    source = f"(SELECT ytrue, {shift} AS ypred FROM preds {where})"
+    name = f"'{rows}' AS rows, " if rows else ""
+    return f"""
+    SELECT {name}accuracy, precision, recall, f1, ordinal_accuracy
+    FROM ({prf_sql(source)}) CROSS JOIN (
+      SELECT round(avg(CASE WHEN ytrue = ypred THEN 1 ELSE 0 END), 6) AS accuracy,
+             round(avg(1 - abs(ytrue - ypred) / {k}), 6) AS ordinal_accuracy FROM {source})
+    """
+
+
 @query(
     "evaluation_report",
     "preds",
-    """
-    SELECT rows, round(avg(CASE WHEN ytrue = ypred THEN 1 ELSE 0 END), 6) AS accuracy,
-           round(avg(1 - abs(ytrue - ypred) / 5), 6) AS ordinal_accuracy
-    FROM (SELECT 'all' AS rows, ytrue, (ypred + 1) % 5 AS ypred FROM preds
-          UNION ALL SELECT 'served', ytrue, (ypred + 1) % 5 FROM preds WHERE ytrue <> 4)
-    GROUP BY rows
-    """,
+    f"{_report_sql('all', '', 5)} UNION ALL {_report_sql('served', 'WHERE ytrue <> 4', 5)}",
 )
 def _(t: Tables):
-    shifted = t.preds.withColumn("ypred", (F.col("ypred") + 1) % 5)
-    return rounded(static_report(shifted).select("rows", "accuracy", "ordinal_accuracy"))
+    return rounded(static_report(t.preds.withColumn("ypred", (F.col("ypred") + 1) % 5)))
+
+
+@query("evaluation_report_dynamic", "preds", _report_sql("", "", 4, shift="ypred"))
+def _(t: Tables):
+    return rounded(dynamic_report(t.preds))

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stopflow.catalog.joins import STATIC_SQL
 from stopflow.catalog.registry import query, r, rounded
 from stopflow.catalog.roles import FEATURE_NAMES, SNAP_SQL, Tables, bin_sql
 from stopflow.operators import baselines
-from stopflow.operators.metrics import report
 from stopflow.operators.propagation import khop
+from stopflow.operators.scaling import minmax
 from stopflow.operators.snapshots import (
     EDGE,
     EDGE_ATTRIBUTES,
     FEATURES,
     NODE,
+    PART_ROWS,
     SNAPSHOT,
     assemble,
     drop_sentinel,
@@ -117,9 +119,57 @@ def _(t: Tables):
     return rounded(graph_stats(t.nodes, t.edges))
 
 
-@query("assemble_snapshots")
+_INDEX_SQL = f"""
+    , placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY {SNAP_SQL} ORDER BY stop_id) - 1
+                             AS INTEGER) AS idx FROM nodes)
+"""
+
+
+def _place(part: str = "part") -> Column:
+    """Position in the snapshot of an exploded block entry."""
+    return (F.col(part) * PART_ROWS + F.col("_at")).cast("int")
+
+
+@query(
+    "assemble_snapshots",
+    "nodes",
+    f"""{_INDEX_SQL}
+    SELECT {SNAP_SQL}, idx, y,
+           {", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in FEATURE_NAMES)}
+    FROM placed""",
+)
 def _(t: Tables):
-    return assemble(t.nodes, t.edges, EDGE_ATTRIBUTES)
+    blocks, _ = assemble(t.nodes, t.edges, EDGE_ATTRIBUTES)
+    rows = blocks.select(
+        *SNAPSHOT, "part", F.posexplode(F.arrays_zip("x", "y")).alias("_at", "_row")
+    )
+    values = [F.get(F.col("_row.x"), i).alias(c) for i, c in enumerate(FEATURES)]
+    return rounded(rows.select(*SNAPSHOT, _place().alias("idx"), F.col("_row.y").alias("y"), *values))
+
+
+@query(
+    "assemble_snapshot_edges",
+    "nodes edges",
+    f"""{_INDEX_SQL}
+    SELECT {SNAP_SQL}, CAST(row_number() OVER (PARTITION BY {SNAP_SQL}
+               ORDER BY source_idx, target_idx) - 1 AS INTEGER) AS nth,
+           source_idx, target_idx, {r(*EDGE_ATTRIBUTES)}
+    FROM (SELECT e.*, s.idx AS source_idx, g.idx AS target_idx FROM edges e
+          JOIN placed s ON s.transit_date = e.transit_date AND s.direction = e.direction
+            AND s.slot = e.slot AND s.stop_id = e.source
+          JOIN placed g ON g.transit_date = e.transit_date AND g.direction = e.direction
+            AND g.slot = e.slot AND g.stop_id = e.target)""",
+)
+def _(t: Tables):
+    _, blocks = assemble(t.nodes, t.edges, EDGE_ATTRIBUTES)
+    rows = blocks.select(
+        *SNAPSHOT,
+        "part",
+        F.posexplode(F.arrays_zip("edge_index", "edge_attr")).alias("_at", "_row"),
+    )
+    values = [F.get(F.col("_row.edge_attr"), i).alias(c) for i, c in enumerate(EDGE_ATTRIBUTES)]
+    ends = [F.col(f"_row.edge_index.{c}").alias(c) for c in ("source_idx", "target_idx")]
+    return rounded(rows.select(*SNAPSHOT, _place().alias("nth"), *ends, *values))
 
 
 @query(
@@ -132,14 +182,15 @@ def _(t: Tables):
         USING ({SNAP_SQL})""",
 )
 def _(t: Tables):
-    graphs = assemble(t.nodes, t.edges)
+    node_blocks, edge_blocks = assemble(t.nodes, t.edges)
     labels = F.aggregate("y", F.lit(0), lambda a, y: a + y)
-    return graphs.groupBy(*SNAPSHOT).agg(
+    shapes = node_blocks.groupBy(*SNAPSHOT).agg(
         F.max(F.size(F.get(F.col("x"), 0))).alias("n_features"),
-        F.sum(F.greatest(F.size("x"), F.lit(0))).alias("n_nodes"),
+        F.sum(F.size("x")).alias("n_nodes"),
         F.sum(labels).alias("sum_y"),
-        F.sum(F.greatest(F.size("edge_index"), F.lit(0))).alias("n_edges"),
     )
+    counts = edge_blocks.groupBy(*SNAPSHOT).agg(F.sum(F.size("edge_index")).alias("n_edges"))
+    return shapes.join(counts, list(SNAPSHOT), "left").fillna({"n_edges": 0})
 
 
 @query(
@@ -153,11 +204,18 @@ def _(t: Tables):
     return rounded(edge_weight(t.edges).select(*EDGE, "weight"))
 
 
-_KHOP = ("temperature", "average_speed")
+def _khop_sql() -> str:
+    """Three Chebyshev terms of all features, the recurrence written out."""
+
+    def each(template: str) -> str:
+        return ", ".join(template.format(c=c) for c in FEATURE_NAMES)
 
+    def step(name: str, terms: str, term: str) -> str:
+        return f"""{name} AS (
+            SELECT {SNAP_SQL}, target AS stop_id, {each("sum(w * " + term + ") AS m_{c}")}
+            FROM norm JOIN (SELECT * RENAME (stop_id AS source) FROM {terms})
+            USING ({SNAP_SQL}, source) GROUP BY {SNAP_SQL}, target)"""
 
-def _khop_sql() -> str:
-    on = "a.transit_date = b.transit_date AND a.direction = b.direction AND a.slot = b.slot"
     return f"""
     , plain AS (SELECT {SNAP_SQL}, source, target, displacement AS w FROM edges
                 WHERE source <> target),
@@ -169,56 +227,82 @@ def _khop_sql() -> str:
                   AND a.slot = p.slot AND a.source = p.source
              LEFT JOIN degree b ON b.transit_date = p.transit_date AND b.direction = p.direction
                   AND b.slot = p.slot AND b.source = p.target),
-    t0 AS (SELECT {SNAP_SQL}, stop_id, temperature AS a0, average_speed AS b0 FROM nodes),
-    m1 AS (SELECT {SNAP_SQL}, target AS stop_id, sum(w * a0) AS a, sum(w * b0) AS b
-           FROM norm JOIN (SELECT * RENAME (stop_id AS source) FROM t0)
-           USING ({SNAP_SQL}, source) GROUP BY {SNAP_SQL}, target),
-    t1 AS (SELECT t0.*, coalesce(a, 0) AS a1, coalesce(b, 0) AS b1
+    t0 AS (SELECT {SNAP_SQL}, stop_id, {each("CAST({c} AS DOUBLE) AS t0_{c}")} FROM nodes),
+    {step("m1", "t0", "t0_{c}")},
+    t1 AS (SELECT t0.*, {each("coalesce(m_{c}, 0) AS t1_{c}")}
            FROM t0 LEFT JOIN m1 USING ({SNAP_SQL}, stop_id)),
-    m2 AS (SELECT {SNAP_SQL}, target AS stop_id, sum(w * a1) AS a, sum(w * b1) AS b
-           FROM norm JOIN (SELECT * RENAME (stop_id AS source) FROM t1)
-           USING ({SNAP_SQL}, source) GROUP BY {SNAP_SQL}, target)
-    SELECT {SNAP_SQL}, stop_id, round(a0, 6) AS t0_temperature,
-           round(b0, 6) AS t0_average_speed, round(a1, 6) AS t1_temperature,
-           round(b1, 6) AS t1_average_speed,
-           round(2 * coalesce(a, 0) - a0, 6) AS t2_temperature,
-           round(2 * coalesce(b, 0) - b0, 6) AS t2_average_speed
+    {step("m2", "t1", "t1_{c}")}
+    SELECT {SNAP_SQL}, stop_id, {each("round(t0_{c}, 6) AS t0_{c}")},
+           {each("round(t1_{c}, 6) AS t1_{c}")},
+           {each("round(2 * coalesce(m_{c}, 0) - t0_{c}, 6) AS t2_{c}")}
     FROM t1 LEFT JOIN m2 USING ({SNAP_SQL}, stop_id)
     """
 
 
 @query("khop_features", "nodes edges", _khop_sql())
 def _(t: Tables):
-    return rounded(khop(t.nodes, t.edges, 3, _KHOP))
+    return rounded(khop(t.nodes, t.edges, 3))
 
 
-def _split_examples(t: Tables):
+# The first of five stratified folds of the snapshot classes, which the models are tested on.
+_FOLD_SQL = f"""
+    , examples AS (SELECT DISTINCT {SNAP_SQL}, y FROM nodes),
+    fold AS (
+      SELECT {SNAP_SQL}, CAST(y AS INTEGER) AS ytrue
+      FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {SNAP_SQL}) AS nth
+            FROM examples)
+      JOIN (SELECT y, size, sum(size) OVER (ORDER BY seen) AS total
+            FROM (SELECT y, count(*) AS size, min(ROW({SNAP_SQL}, y)) AS seen
+                  FROM examples GROUP BY y)) USING (y)
+      WHERE nth <= ceil(total / 5) - ceil((total - size) / 5))
+"""
+_TESTED_SQL = f"{_FOLD_SQL} SELECT {SNAP_SQL}, ytrue, TRUE AS known_class FROM fold"
+
+
+def _split_examples(t: Tables, scale: bool = False):
     """First of five stratified folds as test, as for the published baselines."""
     rows = stored(snapshot_class_mean(t.nodes).select(*SNAPSHOT, "y", *FEATURES), "examples")
+    if scale:
+        rows = minmax(rows, FEATURES)
     folds = stratified_fold(rows, "y", [*SNAPSHOT, "y"])
     return folds.where("not is_test"), folds.where("is_test")
 
 
-def _fit_and_score(t: Tables, estimator):
-    train, test = _split_examples(t)
+def _fit_and_score(t: Tables, estimator, scale: bool = False):
+    train, test = _split_examples(t, scale)
     return baselines.batch_score(baselines.train(estimator, train), test, *SNAPSHOT)
 
 
-@query("ml_random_forest")
+def _tested(scored):
+    """What of a prediction does not depend on the learner: its row, and that it is a class."""
+    return scored.select(
+        *SNAPSHOT, "ytrue", F.col("ypred").between(0, baselines.CLASSES - 1).alias("known_class")
+    )
+
+
+@query("ml_random_forest", "nodes", _TESTED_SQL)
 def _(t: Tables):
-    return _fit_and_score(t, baselines.random_forest(trees=20))
+    return _tested(_fit_and_score(t, baselines.random_forest()))
 
 
-@query("ml_mlp")
+@query("ml_mlp", "nodes", _TESTED_SQL)
 def _(t: Tables):
-    return _fit_and_score(t, baselines.perceptron(iterations=50))
+    return _tested(_fit_and_score(t, baselines.perceptron(), scale=True))
 
 
-@query("ml_boosted_trees")
+@query("ml_boosted_trees", "nodes", _TESTED_SQL)
 def _(t: Tables):
-    return _fit_and_score(t, baselines.boosted_trees(rounds=5, depth=4))
+    return _tested(_fit_and_score(t, baselines.boosted_trees()))
 
 
-@query("ml_batch_score")
+@query(
+    "ml_batch_score",
+    "nodes",
+    f"""{_FOLD_SQL}
+    SELECT ytrue, count(*) AS rows, TRUE AS known_class FROM fold GROUP BY ytrue""",
+)
 def _(t: Tables):
-    return report(_fit_and_score(t, baselines.random_forest(trees=10)))
+    scored = _tested(_fit_and_score(t, baselines.random_forest()))
+    return scored.groupBy("ytrue").agg(
+        F.count("*").alias("rows"), F.min("known_class").alias("known_class")
+    )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from stopflow.functions import load_bin
 from stopflow.operators.snapshots import dynamic_nodes, snapshot_edges
 from stopflow.operators.trips import TRIP, edge_target
+from stopflow.session import stored
 
 TRIP_SQL = ", ".join(TRIP)
 ORDER_SQL = "stop_sequence, departure_time"
@@ -81,10 +82,10 @@ class Tables:
 
     @cached_property
     def raw(self) -> DataFrame:
-        """Raw counts: every event but errors, with headways and some missing positions."""
+        """Raw counts of every event, with headways and some missing positions."""
         early = "cast(round((value - 100) * 1000) as bigint)"
         headway = "(10 + event_id % 20) + (value - 50) / 10"
-        return self._events.where("icon <> 'error'").selectExpr(
+        return self._events.selectExpr(
             "route_id",
             "transit_date",
             "route_direction_name",
@@ -102,8 +103,8 @@ class Tables:
 
     @cached_property
     def traffic(self) -> DataFrame:
-        """Traffic readings: error events, by stop group."""
-        return self.table("events").where("event_type = 'error'").selectExpr(
+        """Traffic readings: every event, by stop group."""
+        return self.table("events").selectExpr(
             "cast(get_json_object(props, '$.k') as int) % 16 as xd_id",
             "value as average_speed",
             "value + 10 as reference_speed",
@@ -253,7 +254,7 @@ class Tables:
 
     @cached_property
     def ready(self) -> DataFrame:
-        return edge_target(self.prepared, "slot")
+        return stored(edge_target(self.prepared, "slot"), "ready")
 
     @cached_property
     def outbound(self) -> DataFrame:
@@ -365,7 +366,7 @@ ROLE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
            CAST(10 + event_id % 20 AS DOUBLE) AS sched_hdwy,
            CASE WHEN event_id % 11 <> 0 THEN (10 + event_id % 20) + (value - 50) / 10 END
              AS actual_hdwy
-    FROM visits JOIN events ON event_id = visit_id WHERE event_type <> 'error'
+    FROM visits JOIN events ON event_id = visit_id
 """,
     ),
     "traffic": (
@@ -377,7 +378,7 @@ ROLE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
            CASE WHEN user_id % 10 = 9 THEN 'rutherford' ELSE 'davidson' END AS county,
            ts AS measurement_tstamp, CAST(year(ts) AS INTEGER) AS year,
            CAST(month(ts) AS INTEGER) AS month
-    FROM events WHERE event_type = 'error'
+    FROM events
 """,
     ),
     "shipments": (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stopflow.catalog.aggregates import prf_sql
 from stopflow.catalog.registry import query, r, rounded
 from stopflow.catalog.roles import SNAP_SQL, Tables
 from stopflow.operators.metrics import report
@@ -212,13 +213,16 @@ def sink_csv(t: Tables):
 @query(
     "sink_metrics",
     "preds",
-    """
-    SELECT round(avg(CASE WHEN ytrue = ypred THEN 1 ELSE 0 END), 6) AS accuracy,
-           round(avg(1 - abs(ytrue - ypred) / 4), 6) AS ordinal_accuracy FROM preds
+    f"""
+    SELECT accuracy, precision, recall, f1, ordinal_accuracy
+    FROM ({prf_sql("preds")}) CROSS JOIN (
+      SELECT round(avg(CASE WHEN ytrue = ypred THEN 1 ELSE 0 END), 6) AS accuracy,
+             round(avg(1 - abs(ytrue - ypred) / 4), 6) AS ordinal_accuracy FROM preds)
     """,
 )
 def sink_metrics(t: Tables):
     path = scratch_path(t.spark, "metrics")
     writers.write_metrics(report(t.preds), path)
-    stored = t.spark.read.schema("accuracy DOUBLE, ordinal_accuracy DOUBLE").json(path)
+    names = ("accuracy", "precision", "recall", "f1", "ordinal_accuracy")
+    stored = t.spark.read.schema(", ".join(f"{n} DOUBLE" for n in names)).json(path)
     return rounded(stored)

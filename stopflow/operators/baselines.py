@@ -38,8 +38,10 @@ def perceptron(iterations: int = 1000, seed: int = 1, classes: int = CLASSES) ->
     )
 
 
-def boosted_trees(rounds: int = 100, depth: int = 6, seed: int = 42) -> Estimator:
-    binary = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed)
+def boosted_trees(
+    rounds: int = 100, depth: int = 6, step: float = 0.3, seed: int = 42
+) -> Estimator:
+    binary = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed)
     return OneVsRest(
         classifier=binary, labelCol="y", featuresCol="features", parallelism=CLASSES
     )

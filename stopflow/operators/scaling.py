@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopflow.operators.ordered import rank_in_group
@@ -50,6 +50,15 @@ def apply_minmax(
     return df.withColumns({c: scaled(c) for c in cols})
 
 
+def save_bounds(bounds: DataFrame, path: str) -> None:
+    """Keep fitted bounds, one row, for use on other tables."""
+    bounds.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_bounds(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def minmax(df: DataFrame, cols: Sequence[str] = SCALED_COLUMNS) -> DataFrame:
     """Fit and apply on the same rows."""
     return apply_minmax(df, fit_minmax(df, cols), cols)

@@ -45,7 +45,7 @@ EDGE_ATTRIBUTES = (
 NO_BUS = 4
 OUTBOUND = 0
 
-# Nodes or edges per row of an assembled snapshot.
+# Nodes or edges of one block of an assembled snapshot.
 PART_ROWS = 4096
 
 
@@ -256,15 +256,16 @@ def assemble(
     edges: DataFrame,
     attrs: Sequence[str] = ("displacement",),
     part_rows: int = PART_ROWS,
-) -> DataFrame:
-    """Matrices per snapshot: ``x``, ``y``, ``edge_index`` pairs and ``edge_attr``.
+) -> tuple[DataFrame, DataFrame]:
+    """Matrices of every snapshot in two tables of blocks, keyed by (snapshot, ``part``).
 
-    Rows of all arrays follow the node index. A snapshot with more than ``part_rows`` nodes or
-    edges is laid out over several rows, numbered by ``part``, so no array grows without bound.
+    Node blocks hold ``x`` and ``y`` of the nodes ``part * part_rows`` and following, by node
+    index; edge blocks hold ``edge_index`` pairs and ``edge_attr`` of as many edges in the order
+    of their ends. Every snapshot has parts, whatever its size, so no array grows without bound.
     """
-    indexed = node_index(nodes)
+    indexed = stored(node_index(nodes), "indexed")
     vector = F.array(*[F.col(c).cast("double") for c in FEATURES])
-    x_parts = (
+    node_blocks = (
         indexed.groupBy(*SNAPSHOT, F.floor(F.col("idx") / part_rows).alias("part"))
         .agg(F.array_sort(F.collect_list(F.struct("idx", vector.alias("x"), "y"))).alias("_n"))
         .select(*SNAPSHOT, "part", F.col("_n.x").alias("x"), F.col("_n.y").alias("y"))
@@ -277,7 +278,7 @@ def assemble(
         placed = placed.join(ids, [*SNAPSHOT, end])
     numbered = rank_in_group(placed, SNAPSHOT, ["source_idx", "target_idx"], "_nth")
     values = F.array(*[F.col(a).cast("double") for a in attrs])
-    edge_parts = (
+    edge_blocks = (
         numbered.groupBy(*SNAPSHOT, F.floor((F.col("_nth") - 1) / part_rows).alias("part"))
         .agg(
             F.array_sort(
@@ -291,7 +292,7 @@ def assemble(
             F.col("_e.attr").alias("edge_attr"),
         )
     )
-    return x_parts.join(edge_parts, [*SNAPSHOT, "part"], "full")
+    return node_blocks, edge_blocks
 
 
 def snapshot_class_mean(nodes: DataFrame, mode: str = "reference") -> DataFrame:

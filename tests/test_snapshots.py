@@ -114,18 +114,21 @@ def test_graph_stats(visits):
     assert graph_stats(nodes, uneven, attrs=()).where("slot = 1").first()["is_undirected"]
 
 
-def test_assemble_in_one_row_and_in_parts(visits):
+def test_assemble_in_blocks(visits):
     nodes, edges = dynamic_nodes(visits), snapshot_edges(visits)
-    whole = {r["slot"]: r for r in assemble(nodes, edges).collect()}
-    first = whole[1]
+    node_blocks, edge_blocks = assemble(nodes, edges)
+    first = node_blocks.where("slot = 1").first()
     assert first["part"] == 0 and first["y"] == [1, 3, 0, 0]
     assert [len(x) for x in first["x"]] == [10] * 4
-    assert [tuple(e) for e in first["edge_index"]] == [(0, 1), (1, 0), (1, 3)]
-    assert first["edge_attr"] == [[2.0], [2.0], [7.0]]
-    assert whole[2]["edge_index"] is None
-    parts = assemble(nodes, edges, part_rows=2).where("slot = 1").orderBy("part").collect()
-    assert [r["y"] for r in parts] == [[1, 3], [0, 0]]
-    assert [len(r["edge_index"]) for r in parts] == [2, 1]
+    lines = {r["slot"]: r for r in edge_blocks.collect()}
+    assert [tuple(e) for e in lines[1]["edge_index"]] == [(0, 1), (1, 0), (1, 3)]
+    assert lines[1]["edge_attr"] == [[2.0], [2.0], [7.0]]
+    assert 2 not in lines
+    node_parts, edge_parts = assemble(nodes, edges, part_rows=2)
+    labels = node_parts.where("slot = 1").orderBy("part").collect()
+    ends = edge_parts.where("slot = 1").orderBy("part").collect()
+    assert [r["y"] for r in labels] == [[1, 3], [0, 0]]
+    assert [len(r["edge_index"]) for r in ends] == [2, 1]
 
 
 def chain(spark):
