@@ -7,6 +7,8 @@ place of its k-th occurrence without being unpacked, and all tokens when read in
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,6 +23,8 @@ from stopflow.session import stored
 
 # Text bytes encoded together, and tokens of a file; a longer document has a file of its own.
 TEXT_BYTES, FILE_TOKENS = 8 << 20, 1 << 22
+# Pieces whose ids a worker process remembers from task to task.
+KNOWN_PIECES = 800_000
 END_ID = 0
 NO_ID = -(1 << 63)
 
@@ -134,12 +138,51 @@ def _cuts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.union1d(at[~wide], starts)
 
 
+class _Known:
+    """Ids of pieces encoded before in this worker process, up to ``KNOWN_PIECES`` of them."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.ends = array("q", [0])
+        self.ids = array("I")
+
+
+_KNOWN: dict[str, _Known] = {}
+
+
+def _piece_ids(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and size of each piece's ids in a flat array."""
+    known = _KNOWN.setdefault(path, _Known())
+    encode = tokenizer(path)
+    at = np.array([known.number.get(w, -1) for w in words], dtype=np.int64)
+    new = np.flatnonzero(at < 0).tolist()
+    fresh: list[list[int]] = []
+    for i in range(0, len(new), 10_000):
+        part = [words[k].decode() for k in new[i : i + 10_000]]
+        fresh += [e.ids for e in encode.encode_batch_fast(part, add_special_tokens=False)]
+    old_ends = np.array(known.ends, dtype=np.int64)
+    old_ids = np.array(known.ids, dtype=np.uint32)
+    new_sizes = np.array([len(x) for x in fresh], dtype=np.int64)
+    sizes = np.empty(len(words), dtype=np.int64)
+    begin = np.empty(len(words), dtype=np.int64)
+    seen = at >= 0
+    begin[seen] = old_ends[at[seen]]
+    sizes[seen] = old_ends[at[seen] + 1] - begin[seen]
+    sizes[new] = new_sizes
+    begin[new] = len(old_ids) + np.cumsum(new_sizes) - new_sizes
+    flat = np.concatenate([old_ids, np.array([i for x in fresh for i in x], dtype=np.uint32)])
+    for k, ids in zip(new[: max(KNOWN_PIECES - len(known.number), 0)], fresh, strict=False):
+        known.number[words[k]] = len(known.number)
+        known.ids.extend(ids)
+        known.ends.append(len(known.ids))
+    return begin, sizes, flat
+
+
 def encoded(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in order, each text closed by ``END_ID``, and the ids per text.
 
     Equal to encoding each whole text; every distinct piece of them is encoded once.
     """
-    encode = tokenizer(path)
     ends = np.cumsum([len(t) for t in texts])
     starts = ends - [len(t) for t in texts]
     raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -151,14 +194,7 @@ def encoded(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     buffers = [None, pa.py_buffer(offsets.astype(width)), pa.py_buffer(raw)]
     table = pa.Array.from_buffers(kind, len(cuts), buffers).dictionary_encode()
     codes = table.indices.to_numpy().astype(np.int64)
-    words = [w.decode() for w in table.dictionary.to_pylist()]
-    lists = []
-    for at in range(0, len(words), 10_000):
-        part = encode.encode_batch_fast(words[at : at + 10_000], add_special_tokens=False)
-        lists += [np.array(e.ids, dtype=np.uint32) for e in part]
-    sizes = np.array([len(x) for x in lists], dtype=np.int64)
-    flat = np.concatenate(lists)
-    begin = np.cumsum(sizes) - sizes
+    begin, sizes, flat = _piece_ids(table.dictionary.to_pylist(), path)
     ids = flat[spans(begin[codes], sizes[codes])]
     upto = np.concatenate([[0], np.cumsum(sizes[codes])])
     doc_end = upto[np.searchsorted(cuts, ends, "left")]
