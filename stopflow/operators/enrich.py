@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stopflow.functions import calendar_parts, delay_minutes, epoch_shift, window_n_min
 from stopflow.operators.cleaning import dedupe_first
-from stopflow.operators.skew import fan_out_join, keyed_join
+from stopflow.operators.skew import adaptive_join, fan_out_join, keyed_join
 
 RAW_KEYS = (
     "route_id",
@@ -64,7 +64,7 @@ def join_traffic(visits: DataFrame, slots: DataFrame) -> DataFrame:
     """Left join traffic slots on day, slot and the visit's road segment."""
     keys = ["year", "month", "day", SLOT, "XDSegID"]
     keyed = slots.withColumn("XDSegID", F.col("xd_id"))
-    return keyed_join(visits, keyed, keys, "left", lookup=False)
+    return keyed_join(visits, keyed, keys, "left")
 
 
 def weather_hourly_mean(weather: DataFrame, offset: int | None = None) -> DataFrame:
@@ -76,5 +76,5 @@ def weather_hourly_mean(weather: DataFrame, offset: int | None = None) -> DataFr
 
 
 def join_weather(visits: DataFrame, hourly: DataFrame) -> DataFrame:
-    """Left join hourly weather; one row per calendar hour, broadcast when checked small."""
-    return keyed_join(visits, hourly, HOUR, "left")
+    """Left join hourly weather, one row per calendar hour."""
+    return adaptive_join(visits, hourly, HOUR)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stopflow.operators.skew import keyed_join
+from stopflow.operators.skew import adaptive_join
 
 NO_BUS = 4
 
@@ -127,7 +127,7 @@ def focal_loss(
     ``log_probs`` holds the log probability of every class; ``weights`` one row per class.
     """
     chosen = F.get(F.col(log_probs), F.col("y"))
-    weighted = keyed_join(scored, weights.select("y", "weight"), ["y"], "inner")
+    weighted = adaptive_join(scored, weights.select("y", "weight"), ["y"], "inner")
     term = F.col("weight") * F.pow(1 - F.exp(chosen), F.lit(gamma)) * -chosen
     per_snapshot = weighted.groupBy(*snapshot).agg(F.avg(term).alias("_loss"))
     return per_snapshot.agg(F.avg("_loss").alias("focal_loss"))

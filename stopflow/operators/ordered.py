@@ -2,7 +2,7 @@
 
 Ordinary groups use a plain window. A heavy group is cut into consecutive blocks
 (``skew.tag_blocks``); each block is windowed on its own task and what crosses a block border
-travels in a carry table with one row per block, which is bounded by the block count.
+travels in a stored carry table with one row per group and block.
 
 Every function looks for heavy groups itself. A caller that chains several of them tags once
 (``tag_blocks`` on the same keys, or on a subset of them) and passes ``tagged=True``; the block
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stopflow.operators.skew import BLOCK, same, tag_blocks
+from stopflow.session import stored
 
 
 def _window(df: DataFrame, keys: Sequence[str], order: Sequence[str]):
@@ -25,10 +26,10 @@ def _window(df: DataFrame, keys: Sequence[str], order: Sequence[str]):
 
 
 def _attach(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join a per-block carry table back on (keys, block)."""
-    renamed = carry.withColumnsRenamed({k: f"_c_{k}" for k in [*keys, BLOCK]})
+    """Join a per-block carry table back on (keys, block); its stored size settles how."""
+    renamed = stored(carry, "carry").withColumnsRenamed({k: f"_c_{k}" for k in [*keys, BLOCK]})
     cond = same(df, renamed, [(k, f"_c_{k}") for k in [*keys, BLOCK]], True)
-    return df.join(F.broadcast(renamed), cond, "left").drop(
+    return df.join(renamed, cond, "left").drop(
         *[f"_c_{k}" for k in [*keys, BLOCK]]
     )
 

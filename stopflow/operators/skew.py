@@ -1,10 +1,10 @@
 """Joins and range splits that hold when a few keys own a large share of the rows.
 
 Plain aggregates need none of this: Spark combines them before the shuffle. What is left are
-joins on fact keys and ordered windows inside a group. Both start from the same small fact, the
-list of heavy groups, which costs one scan of the key columns and a count over a sample of
-them. Where no group is heavy the plan is the ordinary one. The list only steers how the work is
-spread: a group missed by the sample gives the same result on one task.
+joins on fact keys and ordered windows inside a group. Both start from the heavy groups, found
+by counting keys. Where no group is heavy the plan is the ordinary one. The list only steers how
+the work is spread: a group missed by the sample gives the same result on one task. It is a stored
+table of any length; whether it is broadcast follows from the size of its files.
 """
 
 from __future__ import annotations
@@ -15,14 +15,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stopflow.session import BROADCAST_ROWS, HOT_GROUP_ROWS, setting, shared_dir
+from stopflow.session import BROADCAST_ROWS, HOT_GROUP_ROWS, setting, stored
 
-# The k-th largest group cannot exceed 1/k of the rows, so groups beyond this many are
-# each below 1/10,000 of the data and need no care; it also bounds what is broadcast.
-MAX_HOT_GROUPS = 10_000
-# Ranges the heavy groups are cut into, all together, and sampled rows per range.
-MAX_BLOCKS = 4_000
-SAMPLES_PER_BLOCK = 50
+# Sampled rows per range that a heavy group is cut into.
+SAMPLES_PER_BLOCK = 20
 # Sampled rows expected of a group right at the limit; enough to make a miss negligible.
 EXPECTED_SAMPLE = 1_000
 SEED = 17
@@ -39,12 +35,6 @@ def same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], nu
     return reduce(lambda x, y: x & y, tests)
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """True when the row count is within the broadcast bound; counts no further than that."""
-    limit = setting(df.sparkSession, BROADCAST_ROWS)
-    return df.select(F.lit(1)).limit(limit + 1).count() <= limit
-
-
 def heavy_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """Keys (renamed ``_hot_<key>``) and sizes of groups too large for one task, or None."""
     spark = df.sparkSession
@@ -53,11 +43,9 @@ def heavy_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     rows = df.select(*keys) if share == 1.0 else df.select(*keys).sample(share, SEED)
     size = F.ceil(F.count(F.lit(1)) / share).alias(_ROWS)
     sizes = rows.groupBy(*keys).agg(size)
-    heaviest = (
-        sizes.where(F.col(_ROWS) > limit).orderBy(F.desc(_ROWS)).limit(MAX_HOT_GROUPS)
-    ).withColumnsRenamed({k: f"_hot_{k}" for k in keys})
-    found = heaviest.collect()
-    return spark.createDataFrame(found, heaviest.schema) if found else None
+    heavy = sizes.where(F.col(_ROWS) > limit)
+    found = stored(heavy.withColumnsRenamed({k: f"_hot_{k}" for k in keys}), "heavy")
+    return None if found.isEmpty() else found
 
 
 def _equi_join(
@@ -68,11 +56,53 @@ def _equi_join(
     return left.join(renamed, cond, how).drop(*[f"_right_{k}" for k in on])
 
 
-def _split_by(df: DataFrame, hot: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows of the listed keys, and all others. The list is bounded (``MAX_HOT_GROUPS``)."""
-    listed = F.broadcast(hot.drop(_ROWS))
-    cond = same(df, listed, [(k, f"_hot_{k}") for k in on], True)
-    return df.join(listed, cond, "left_semi"), df.join(listed, cond, "left_anti")
+def _salted_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    how: str,
+    null_safe: bool,
+    hot: DataFrame,
+) -> DataFrame:
+    """Join in which a heavy key's rows form a grid of cells, each a key of its own.
+
+    ``hot`` has the key (``_hot_<key>``) and the cells ``_left`` and ``_right`` into which either
+    side is dealt by a hash of the row. A left row goes to its part of every right part and the
+    reverse, so each pair meets once and either side is read once. Where a left row is copied its
+    key has right rows, so copies that meet none of them are dropped.
+    """
+    pairs = [(k, f"_hot_{k}") for k in on]
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        found = df.join(hot, same(df, hot, pairs, True), "left")
+        n_own, n_other = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
+        mine = F.pmod(F.xxhash64(*df.columns), n_own).cast("int")
+        each = F.explode(F.sequence(F.lit(0), n_other.cast("int") - 1))
+        copied = (n_other > 1).alias("_copied")
+        return found.select(*df.columns, mine.alias(own), each.alias(other), copied)
+
+    a = dealt(left, "_left", "_right")
+    b = dealt(right, "_right", "_left").drop("_copied").withColumn("_met", F.lit(True))
+    renamed = b.withColumnsRenamed({k: f"_right_{k}" for k in [*on, "_left", "_right"]})
+    cond = same(a, renamed, [(k, f"_right_{k}") for k in on], null_safe)
+    for c in ("_left", "_right"):
+        cond = cond & (a[c] == renamed[f"_right_{c}"])
+    joined = a.join(renamed, cond, how)
+    if how == "left":
+        joined = joined.where(~F.col("_copied") | F.col("_met"))
+    names = [*on, "_left", "_right"]
+    return joined.drop(*[f"_right_{k}" for k in names], "_left", "_right", "_copied", "_met")
+
+
+def adaptive_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", null_safe: bool = False
+) -> DataFrame:
+    """Join to a lookup of unknown but usually small size, each side computed once.
+
+    Adaptive execution takes the strategy from the sizes it sees: a small right side is
+    broadcast, a skewed left partition is split.
+    """
+    return _equi_join(left, right, on, how, null_safe)
 
 
 def keyed_join(
@@ -81,58 +111,50 @@ def keyed_join(
     on: Sequence[str],
     how: str = "left",
     null_safe: bool = False,
-    lookup: bool = True,
     right_rows: int | None = None,
 ) -> DataFrame:
-    """Join a large left side to a smaller one (inner, left, left_semi or left_anti).
-
-    A right side within the checked bound is broadcast, so the left is not shuffled at all; a
-    caller may know the row count already, or that the right is a fact table (``lookup=False``)
-    that need not be checked. Otherwise left rows of heavy keys meet just the right rows of
-    those keys, broadcast when within the same bound, and only the remaining keys are shuffled.
-    A heavy key that is also too wide on the right stays with the shuffle join, whose skewed
-    partitions adaptive execution splits.
+    """Join a large left side to another table (inner, left, left_semi or left_anti).
+
+    A right side known to be within the bound is broadcast, so the left is not shuffled at all.
+    Otherwise the left rows of heavy keys are dealt to several parts, each of which meets a copy
+    of those keys' right rows.
     """
-    if right_rows is not None:
-        small = right_rows <= setting(left.sparkSession, BROADCAST_ROWS)
-    else:
-        small = lookup and fits_broadcast(right)
-    if small:
+    if right_rows is not None and right_rows <= setting(left.sparkSession, BROADCAST_ROWS):
         return _equi_join(left, F.broadcast(right), on, how, null_safe)
     hot = heavy_groups(left, on)
     if hot is None:
         return _equi_join(left, right, on, how, null_safe)
-    right_hot, _ = _split_by(right, hot, on)
-    if not fits_broadcast(right_hot):
-        return _equi_join(left, right, on, how, null_safe)
-    left_hot, left_rest = _split_by(left, hot, on)
-    return _equi_join(left_hot, F.broadcast(right_hot), on, how, null_safe).unionByName(
-        _equi_join(left_rest, right, on, how, null_safe)
-    )
+    limit = setting(left.sparkSession, HOT_GROUP_ROWS)
+    parts = F.ceil(F.col(_ROWS) / limit).cast("int")
+    hot = hot.select(*[f"_hot_{k}" for k in on], parts.alias("_left"), F.lit(1).alias("_right"))
+    return _salted_join(left, right, on, how, null_safe, hot)
 
 
 def fan_out_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], null_safe: bool = False
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    null_safe: bool = False,
+    how: str = "left",
 ) -> DataFrame:
-    """Left join of two fact tables where either side may repeat a key any number of times.
+    """Left or inner join of two fact tables where either side may repeat a key at will.
 
-    A left join cannot split a heavy key of its right side. Such a key does have right rows, so
-    for it the join is an inner one: its right rows stay where they are and meet the few left
-    rows by broadcast, or, where those are many too, in a join that can split both sides.
+    What a key costs is the product of its rows on both sides. A key whose product passes the
+    limit is dealt on both sides, into cells below the limit.
     """
     if not null_safe:
         # A missing key matches nothing.
         right = right.dropna(subset=list(on))
-    hot = heavy_groups(right, on)
-    if hot is None:
-        return keyed_join(left, right, on, "left", null_safe, lookup=False)
-    left_hot, left_rest = _split_by(left, hot, on)
-    right_hot, right_rest = _split_by(right, hot, on)
-    if fits_broadcast(left_hot):
-        left_hot = F.broadcast(left_hot)
-    matched = _equi_join(left_hot, right_hot, on, "inner", null_safe)
-    rest = keyed_join(left_rest, right_rest, on, "left", null_safe, lookup=False)
-    return matched.unionByName(rest)
+    limit = setting(left.sparkSession, HOT_GROUP_ROWS)
+    side = max(int(limit**0.5), 1)
+    n_left = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_l"))
+    n_right = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_r"))
+    heavy = _equi_join(n_left, n_right, on, "inner", True).where(F.col("_l") * F.col("_r") > limit)
+    parts = [F.ceil(F.col(n) / side).cast("int").alias(c) for n, c in (("_l", "_left"), ("_r", "_right"))]
+    hot = stored(heavy.select(*[F.col(k).alias(f"_hot_{k}") for k in on], *parts), "products")
+    if hot.isEmpty():
+        return _equi_join(left, right, on, how, null_safe)
+    return _salted_join(left, right, on, how, null_safe, hot)
 
 
 def _splits_at_or_below(splits: Column, position: Column) -> Column:
@@ -157,7 +179,7 @@ def tag_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
 
     Adds ``_block``: 0, 1, 2 … inside a heavy group, NULL elsewhere. Where no group is heavy,
     or the column is there already, the frame comes back unchanged. ``order`` must be total.
-    The split points are data, so they are written out (checkpoint) before use: every later
+    The split points are data, so they are written out before use: every later
     evaluation of the plan, including a retry, sees the same ones.
     """
     if BLOCK in df.columns:
@@ -165,18 +187,15 @@ def tag_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     hot = heavy_groups(df, keys)
     if hot is None:
         return df
-    shared_dir(df.sparkSession)
     limit = setting(df.sparkSession, HOT_GROUP_ROWS)
-    total = hot.agg(F.sum(_ROWS)).first()[0]
-    block_rows = max(limit, -(-total // MAX_BLOCKS))
     pairs = [(k, f"_hot_{k}") for k in keys]
     cond = same(df, hot, pairs, True) if keys else F.lit(True)
-    blocks = F.ceil(F.col(_ROWS) / block_rows)
+    blocks = F.ceil(F.col(_ROWS) / limit)
     share = F.least(F.lit(1.0), blocks * SAMPLES_PER_BLOCK / F.col(_ROWS))
     bucket = F.pmod(F.xxhash64(*order), F.lit(1_000_000_007)) / 1_000_000_007.0
     sample = (
         df.select(*keys, *[c for c in order if c not in keys])
-        .join(F.broadcast(hot), cond)
+        .join(hot, cond)
         .where(bucket < share)
     )
     every = F.size("_sample") / F.col("_blocks")
@@ -187,7 +206,7 @@ def tag_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
             lambda i: F.get(F.col("_sample"), F.floor(i * every).cast("int")),
         ),
     )
-    splits = (
+    splits = stored(
         sample.groupBy(*[f"_hot_{k}" for k in keys])
         .agg(
             F.array_sort(F.collect_set(F.struct(*order))).alias("_sample"),
@@ -196,12 +215,12 @@ def tag_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
         .select(
             *[f"_hot_{k}" for k in keys],
             F.array_distinct(F.filter(cuts, lambda s: s.isNotNull())).alias("_splits"),
-        )
-        .checkpoint()
+        ),
+        "splits",
     )
     cond = same(df, splits, pairs, True) if keys else F.lit(True)
     block = F.when(
         F.col("_splits").isNotNull(), _splits_at_or_below(F.col("_splits"), F.struct(*order))
     )
-    tagged = df.join(F.broadcast(splits), cond, "left").withColumn(BLOCK, block)
+    tagged = df.join(splits, cond, "left").withColumn(BLOCK, block)
     return tagged.drop("_splits", *[f"_hot_{k}" for k in keys])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stopflow.functions import load_bin
 from stopflow.operators.ordered import rank_in_group
-from stopflow.operators.skew import keyed_join
+from stopflow.operators.skew import adaptive_join, keyed_join
 from stopflow.operators.trips import TRIP, TRIP_ORDER
 from stopflow.session import stored
 
@@ -47,6 +47,8 @@ OUTBOUND = 0
 
 # Nodes or edges of one block of an assembled snapshot.
 PART_ROWS = 4096
+# Stops of a list that is joined as one row.
+STOP_LIST = 1_000
 
 
 def _feature_aggs() -> list[Column]:
@@ -126,18 +128,19 @@ def _impute(nodes: DataFrame, feature: float, label: int) -> DataFrame:
     )
 
 
-def skeleton(snapshots: DataFrame, stops: DataFrame, parts: int = 64) -> DataFrame:
+def skeleton(snapshots: DataFrame, stops: DataFrame, part_stops: int = STOP_LIST) -> DataFrame:
     """Every snapshot with every stop of the fixed list.
 
-    The result is the full grid by definition. It is laid out as an equi-join on a part of the
-    stop list: (snapshot, part) pairs are spread over all tasks, and each pair meets one part.
+    The result is the full grid by definition. Stops are gathered in lists of about
+    ``part_stops``; what is joined are (snapshot, part) pairs with the lists, an equi-join on the
+    part, and only its result is expanded to stops.
     """
-    tasks = int(snapshots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(-(-stops.count() // part_stops), 1)
     part = F.pmod(F.xxhash64("stop_id"), F.lit(parts)).cast("int")
+    lists = stops.groupBy(part.alias("_part")).agg(F.collect_list("stop_id").alias("_stops"))
     spread = snapshots.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    spread = spread.repartition(tasks, *snapshots.columns, "_part")
-    listed = stops.select("stop_id").withColumn("_part", part)
-    return keyed_join(spread, listed, ["_part"], "inner").drop("_part")
+    pairs = adaptive_join(spread, lists, ["_part"], "inner")
+    return pairs.select(*snapshots.columns, F.explode("_stops").alias("stop_id"))
 
 
 def static_nodes(visits: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 Visits repeat the coordinates of their stop, so the geometry is tested once per distinct
 coordinate pair; the answers are stored (one row per pair) and joined back. Shapes are placed on
 a hierarchical grid: a shape goes to the level whose cells are at least as wide as it, so it
-covers at most four cells however large it is, and a point looks up one cell per level in use.
+covers at most four cells however large it is, and a point looks up one cell per level in use. The
+finest cells are as wide as the median shape. What meets in a cell are ids and bounding boxes; the
+geometry itself, however long, is fetched by id for the pairs whose box holds the point.
 """
 
 from __future__ import annotations
@@ -12,68 +14,74 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopflow.functions.geometry import paths_distance, point_in_rings
-from stopflow.operators.skew import keyed_join
+from stopflow.operators.skew import adaptive_join, fan_out_join, keyed_join
 from stopflow.session import stored
 
-# Width in degrees of the finest cell, and number of levels (each doubles the width).
-FINEST_CELL = 0.01
-LEVELS = 17
+# Number of grid levels (each doubles the width), and the least width of the finest, in degrees.
+LEVELS = 24
+LEAST_CELL = 1e-5
 CELL = ("_level", "_cx", "_cy")
+SHAPE = "_shape"
 
 
-def _cell_width(level: Column) -> Column:
-    return F.lit(FINEST_CELL) * F.pow(F.lit(2.0), level)
+def _index(value: Column, level: Column, finest: float) -> Column:
+    return F.floor(value / (F.lit(finest) * F.pow(F.lit(2.0), level))).cast("long")
 
 
-def _index(value: Column, level: Column) -> Column:
-    return F.floor(value / _cell_width(level)).cast("long")
+def _boxes(shapes: DataFrame, margin: float) -> DataFrame:
+    """Ids and (widened) bounding boxes, with the wider side."""
+    boxed = shapes.select(
+        SHAPE,
+        (F.col("xmin") - margin).alias("xmin"),
+        (F.col("ymin") - margin).alias("ymin"),
+        (F.col("xmax") + margin).alias("xmax"),
+        (F.col("ymax") + margin).alias("ymax"),
+    )
+    wide = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    return boxed.withColumn("_wide", wide)
 
 
-def cover(shapes: DataFrame, margin: float = 0.0) -> DataFrame:
-    """One row per shape and grid cell its (widened) bounding box touches."""
-    box = {
-        "xmin": F.col("xmin") - margin,
-        "ymin": F.col("ymin") - margin,
-        "xmax": F.col("xmax") + margin,
-        "ymax": F.col("ymax") + margin,
-    }
-    boxed = shapes.withColumns(box)
-    width = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+def cover(boxes: DataFrame, finest: float) -> DataFrame:
+    """One row per shape and grid cell its box touches."""
     level = F.greatest(
-        F.lit(0), F.ceil(F.log2(F.greatest(width, F.lit(FINEST_CELL)) / FINEST_CELL))
+        F.lit(0), F.ceil(F.log2(F.greatest("_wide", F.lit(finest)) / finest))
     ).cast("int")
-    placed = boxed.withColumn("_level", F.least(level, F.lit(LEVELS - 1)))
+    placed = boxes.withColumn("_level", F.least(level, F.lit(LEVELS - 1)))
     lv = F.col("_level")
-    return (
-        placed.withColumn(
-            "_cx", F.explode(F.sequence(_index(F.col("xmin"), lv), _index(F.col("xmax"), lv)))
-        )
-        .withColumn(
-            "_cy", F.explode(F.sequence(_index(F.col("ymin"), lv), _index(F.col("ymax"), lv)))
-        )
-    )
+    for low, high, cell in (("xmin", "xmax", "_cx"), ("ymin", "ymax", "_cy")):
+        first, last = _index(F.col(low), lv, finest), _index(F.col(high), lv, finest)
+        placed = placed.withColumn(cell, F.explode(F.sequence(first, last)))
+    return placed.drop("_wide")
 
 
-def _spots(points: DataFrame, levels: list[int], lon: str, lat: str) -> DataFrame:
+def _spots(
+    points: DataFrame, levels: list[int], finest: float, lon: str, lat: str
+) -> DataFrame:
     """Distinct coordinates with their cell on every given level."""
     spots = points.select(lon, lat).where(F.col(lon).isNotNull() & F.col(lat).isNotNull())
     used = F.array(*[F.lit(v) for v in levels]).cast("array<int>")
     placed = spots.distinct().withColumn("_level", F.explode(used))
     lv = F.col("_level")
-    return placed.withColumns({"_cx": _index(F.col(lon), lv), "_cy": _index(F.col(lat), lv)})
+    return placed.withColumns(
+        {"_cx": _index(F.col(lon), lv, finest), "_cy": _index(F.col(lat), lv, finest)}
+    )
 
 
 def _candidates(points: DataFrame, shapes: DataFrame, lon: str, lat: str, margin: float):
-    cells = cover(shapes, margin)
-    # At most one row per level: which levels are in use, and how many cells there are.
-    per_level = cells.groupBy("_level").count().collect()
-    spots = _spots(points, sorted(row["_level"] for row in per_level), lon, lat)
-    total = sum(row["count"] for row in per_level)
-    pairs = keyed_join(spots, cells, CELL, "inner", right_rows=total)
-    return pairs.where(
-        F.col(lon).between(F.col("xmin"), F.col("xmax"))
-        & F.col(lat).between(F.col("ymin"), F.col("ymax"))
+    """Points and whole shapes whose widened box holds the point."""
+    numbered = stored(shapes.withColumn(SHAPE, F.monotonically_increasing_id()), "shapes")
+    boxes = _boxes(numbered, margin)
+    median = boxes.agg(F.percentile_approx("_wide", 0.5)).first()[0]
+    finest = max(median or 0.0, LEAST_CELL)
+    cells = stored(cover(boxes, finest), "cells")
+    levels = [r["_level"] for r in cells.select("_level").distinct().collect()]
+    spots = _spots(points, sorted(levels), finest, lon, lat)
+    inside = F.col(lon).between(F.col("xmin"), F.col("xmax")) & F.col(lat).between(
+        F.col("ymin"), F.col("ymax")
     )
+    near = fan_out_join(spots, cells, CELL, how="inner").where(inside).select(lon, lat, SHAPE)
+    box = ("xmin", "ymin", "xmax", "ymax")
+    return adaptive_join(near, numbered.drop(*box), [SHAPE], "inner").drop(SHAPE)
 
 
 def within(

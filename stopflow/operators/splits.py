@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stopflow.operators.ordered import rank_in_group
-from stopflow.operators.skew import keyed_join
+from stopflow.operators.skew import adaptive_join
 
 HASH_STEPS = 10_000
 
@@ -79,7 +79,7 @@ def stratified_fold(
     end = F.sum("_size").over(line)
     quota = F.ceil(end / n) - F.ceil((end - F.col("_size")) / n)
     quotas = classes.select(y, quota.alias("_quota"))
-    ranked = keyed_join(rank_in_group(df, [y], order, "_nth"), quotas, [y], "left", True)
+    ranked = adaptive_join(rank_in_group(df, [y], order, "_nth"), quotas, [y], null_safe=True)
     return ranked.withColumn(name, F.col("_nth") <= F.col("_quota")).drop("_nth", "_quota")
 
 

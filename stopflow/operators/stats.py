@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stopflow.operators.skew import keyed_join
+from stopflow.operators.skew import adaptive_join
 from stopflow.operators.trips import with_key
 
 # Past and future visits a group must hold to be usable.
@@ -44,7 +44,7 @@ def flag_small_groups(
     Only the small groups are joined back, never the large ones.
     """
     small = _small_groups(df, keys, n).select(*keys, F.lit(True).alias("_small"))
-    out = keyed_join(with_key(df, keys), small, keys, "left")
+    out = adaptive_join(with_key(df, keys), small, keys)
     flag = F.coalesce("_small", F.lit(False)).alias("remove_trip_condn")
     return out.select(*[c for c in out.columns if c != "_small"], flag)
 

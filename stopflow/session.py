@@ -27,7 +27,11 @@ def setting(spark: SparkSession, option: tuple[str, int]) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares for checkpoints; a local one only where none is set."""
+    """The folder the cluster shares for checkpoints.
+
+    ``spark.checkpoint.dir`` must name it on a cluster. Only a local master, whose tasks all run
+    on this machine, may do without: it gets a temporary folder.
+    """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -41,9 +45,28 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SCRATCH: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the stage tables this application wrote so far; returns how many.
+
+    For callers that have read their results: frames that still refer to a stage cannot be
+    evaluated afterwards.
+    """
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/stopflow/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/stopflow/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

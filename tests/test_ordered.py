@@ -202,6 +202,19 @@ def test_fan_out_join_same_with_heavy_right_keys(spark, small_limits, heavy_on,
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_fan_out_join_where_only_the_product_is_heavy(spark, small_limits, how):
+    """Ten rows a side are far below the limit of 20, their hundred pairs are not."""
+    left = spark.createDataFrame([(k % 3, i) for k in range(3) for i in range(10)], "trip int, a int")
+    right = spark.createDataFrame([(k, i) for k in (0, 1) for i in range(10)], "trip int, b int")
+    got = fan_out_join(left, right, KEYS, how=how)
+    want = left.join(right, "trip", how)
+    assert "explode" in got._jdf.queryExecution().toString().lower()
+    assert sorted(map(str, got.select("trip", "a", "b").collect())) == sorted(
+        map(str, want.select("trip", "a", "b").collect())
+    )
+
+
 def test_goldens_fill_and_target(spark):
     rows = [(1, i, 0, 0, 0, v) for i, v in enumerate([None, 5, None, 7, None])]
     df = spark.createDataFrame(rows, SCHEMA)

@@ -125,3 +125,29 @@ def test_nearest_line(spark, tmp_path):
     got = {r["id"]: r["XDSegID"] for r in nearest_line(pts, lines).collect()}
     # The third point is equally far from both lines: the smaller id wins.
     assert got == {0: 7, 1: None, 2: 3, 3: 3, 4: 9, 99: None}
+
+
+def test_dense_cell_and_huge_polygon(spark, small_limits):
+    """Many points and shapes in one spot, next to a shape of 20,000 corners over all of them."""
+    turn = [2 * math.pi * k / 20_000 for k in range(20_000)]
+    ring = [(math.cos(t), math.sin(t)) for t in turn]
+    shapes = [("huge", [[*ring, ring[0]]], -1.0, -1.0, 1.0, 1.0)]
+    for k in range(60):
+        x0, y0, side = 0.1 + k * 1e-5, 0.1, 1e-3
+        box = [(x0, y0), (x0 + side, y0), (x0 + side, y0 + side), (x0, y0 + side), (x0, y0)]
+        shapes.append((f"s{k}", [box], x0, y0, x0 + side, y0 + side))
+    schema = (
+        "GEOID string, rings array<array<struct<lon: double, lat: double>>>, "
+        "xmin double, ymin double, xmax double, ymax double"
+    )
+    polygons = spark.createDataFrame(shapes, schema)
+    spots = [(i, 0.1 + (i % 40) * 3e-5 + 1e-6, 0.1 + (i // 40) * 7e-5 + 1e-6) for i in range(400)]
+    points = spark.createDataFrame(spots, "id int, map_longitude double, map_latitude double")
+    got = {(r.id, r.GEOID) for r in within(points, polygons, ["GEOID"]).collect()}
+    want = {
+        (i, name)
+        for i, x, y in spots
+        for name, _, x0, y0, x1, y1 in shapes
+        if name == "huge" or (x0 <= x < x1 and y0 <= y < y1)
+    }
+    assert got == want
