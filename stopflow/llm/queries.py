@@ -38,9 +38,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(spark: SparkSession, sf_dir: str, learn) -> toxicity.Model:
     """Fit on the labelled documents that the condition leaves for learning."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").distinct()
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return toxicity.fit(docs.where(learn).join(labels, "doc_id"))
+    labels = table(spark, sf_dir, "labels").where(learn)
+    return toxicity.fit(table(spark, sf_dir, "documents"), labels)
 
 
 @query

@@ -183,24 +183,28 @@ def calibrated_thresholds(
     return found
 
 
-def fit(rows: DataFrame, seed: int = 5) -> Model:
-    """Train on labelled rows (doc_id, text, lang, toxic), with one threshold per language.
+def fit(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Model:
+    """Train on the texts of ``docs`` (doc_id, text, lang) that ``labels`` (doc_id, toxic) marks.
 
-    A bounded sample is used: of either class the first rows by a hash of the id, up to
-    ``FIT_TOXIC`` and ``FIT_CLEAN``, of texts up to ``FIT_CHARS`` characters. Rows without a
-    label or text are left out. With no rows the model gives a constant score.
+    A bounded sample is used: of either class the first labels by a hash of the id, up to
+    ``FIT_TOXIC`` and ``FIT_CLEAN``, whose texts have up to ``FIT_CHARS`` characters. Labels
+    other than 0 and 1 and documents without a text are left out. With no rows the model gives a
+    constant score.
     """
-    usable = rows.where("toxic IN (0, 1) AND text IS NOT NULL").where(
-        F.length("text") <= FIT_CHARS
+    known = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)")
+    parts = [
+        known.where(F.col("toxic") == value)
+        .distinct()
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(bound)
+        for value, bound in ((1, FIT_TOXIC), (0, FIT_CLEAN))
+    ]
+    # At most FIT_TOXIC + FIT_CLEAN ids: the texts of all others stay where they are.
+    ids = F.broadcast(parts[0].union(parts[1]))
+    texts = docs.select("doc_id", "text", "lang").where(F.length("text") <= FIT_CHARS)
+    chosen = texts.join(ids, "doc_id").select(
+        F.xxhash64("doc_id").alias("h"), text_bytes().alias("text"), "lang", "toxic"
     )
-    chosen = None
-    for value, bound in ((1, FIT_TOXIC), (0, FIT_CLEAN)):
-        part = usable.where(F.col("toxic") == value)
-        part = part.select(
-            F.xxhash64("doc_id").alias("h"), text_bytes().alias("text"), "lang", "toxic"
-        )
-        part = part.orderBy("h", "text").limit(bound)
-        chosen = part if chosen is None else chosen.union(part)
     sample = chosen.orderBy("h", "text").collect()
     texts = [bytes(r.text) for r in sample]
     toxic = np.array([r.toxic for r in sample], dtype=np.float64)

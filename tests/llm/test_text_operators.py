@@ -146,7 +146,7 @@ def test_toxicity_learns_and_scores_every_row(spark, corpus, nothing):
         rows.append((k, " ".join(words), ["en", "de"][k % 2], int(k % 3 == 0)))
     schema = "doc_id long, text string, lang string, toxic int"
     labelled = spark.createDataFrame(rows, schema)
-    model = toxicity.fit(labelled.where("doc_id < 200"))
+    model = toxicity.fit(labelled, labelled.where("doc_id < 200"))
     new = labelled.where("doc_id >= 200")
     scored = toxicity.with_scores(new, model).collect()
     right = sum((r.score >= toxicity.THRESHOLD) == bool(r.toxic) for r in scored)
@@ -155,7 +155,7 @@ def test_toxicity_learns_and_scores_every_row(spark, corpus, nothing):
     all_rows = toxicity.with_scores(corpus, model)
     assert all_rows.columns.count("score") == 1
     assert all(0 <= r.score <= 1 for r in all_rows.collect())
-    empty_model = toxicity.fit(labelled.where("false"))
+    empty_model = toxicity.fit(labelled, labelled.where("false"))
     assert len({r.score for r in toxicity.with_scores(corpus, empty_model).collect()}) >= 1
     assert toxicity.with_scores(nothing, model).count() == 0
 
