@@ -27,7 +27,15 @@ from pyspark.sql import functions as F
 
 from stopflow.llm.packing import from_file, packed, to_file, unpacked
 from stopflow.llm.succinct import EliasFano
-from stopflow.llm.text import END, chunks, spans, text_bytes, token_table, word_hashes
+from stopflow.llm.text import (
+    END,
+    chunks,
+    spans,
+    text_bytes,
+    token_table,
+    trim,
+    word_hashes,
+)
 from stopflow.session import stored
 
 MU = 4.0
@@ -148,6 +156,7 @@ _BLOCK = pa.schema(
 
 def _merged(table: pa.Table, frequent: list[int]) -> pa.Table:
     """One shard's counts from its blocks."""
+    trim()
     rows = table.to_pylist()
     words = np.unique(np.concatenate([unpacked(r["words"]) for r in rows]))
     contexts = np.unique(np.concatenate([unpacked(r["contexts"]) for r in rows]))
@@ -332,8 +341,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(tries: pa.Table, rows: pa.Table) -> pa.Table:
         trie = mapped(tries["file"][0].as_py()) if tries.num_rows else None
-        out = [_partial(r, trie, total) for r in rows.to_pylist()]
-        return pa.Table.from_pylist(out, schema=_PARTIAL)
+        # One block at a time: a shard's blocks together are many times one block.
+        blocks_of = (rows.slice(i, 1).to_pylist()[0] for i in range(rows.num_rows))
+        out = pa.Table.from_pylist([_partial(r, trie, total) for r in blocks_of], schema=_PARTIAL)
+        trim()
+        return out
 
     tokens = blocks(docs, model.shards, model.frequent, postings=True)
     partial = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,12 +16,21 @@ END = b"\xff"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 # Every ASCII character but letters and digits becomes a space: words are then runs of
 # letters, digits and non-ASCII characters.
-PLAIN = bytes(
-    b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER
-)
+PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER)
 # Bytes of text handled at once inside a task; a longer text is handled alone.
 CHUNK_BYTES = 8 << 20
 
+# Freed memory goes back to the system: a Python worker lives through many tasks beside the JVM.
+pa.set_memory_pool(pa.system_memory_pool())
+_LIBC = ctypes.CDLL(None)
+
+
+def trim() -> None:
+    """Hand pages that numpy has freed back to the system, where the C library can."""
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -49,8 +59,11 @@ def chunks(
             if size >= limit:
                 yield rest, texts
                 rest, texts, size = {}, [], 0
+                trim()
     if texts:
         yield rest, texts
+        del rest, texts
+        trim()
 
 
 def token_table(
@@ -67,19 +80,20 @@ def token_table(
         joined = joined.translate(table)
     raw = np.frombuffer(joined, dtype=np.uint8)
     inside = ~_SPACE[raw]
+    letters = raw[inside]
+    # Word borders; of arrays as long as the text no more are kept than needed.
+    wide = len(letters) >= 2**31
     edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
-    offsets = np.zeros(len(edges) // 2 + 1, dtype=np.int64)
+    del joined, raw, inside
+    offsets = np.zeros(len(edges) // 2 + 1, dtype=np.int64 if wide else np.int32)
     np.cumsum(edges[1::2] - edges[0::2], out=offsets[1:])
-    wide = offsets[-1] >= 2**31
+    del edges
     values = pa.Array.from_buffers(
         pa.large_binary() if wide else pa.binary(),
         len(offsets) - 1,
-        [
-            None,
-            pa.py_buffer(offsets if wide else offsets.astype(np.int32)),
-            pa.py_buffer(raw[inside]),
-        ],
+        [None, pa.py_buffer(offsets), pa.py_buffer(letters)],
     ).dictionary_encode()
+    del offsets, letters
     codes = values.indices.to_numpy()
     words = values.dictionary.to_pylist()
     ends = np.flatnonzero(codes == words.index(END)) if texts else np.empty(0, np.int64)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stopflow.llm.packing import packed, unpacked, unzstd, zstd
-from stopflow.llm.text import END, chunks, spans, text_bytes, token_table
+from stopflow.llm.text import END, chunks, spans, text_bytes, token_table, trim
 from stopflow.session import scratch_path
 
 # Text bytes of a block, and of the documents that leave a task together.
@@ -185,6 +185,8 @@ def encode_decode(docs: DataFrame, path: str, shards: int | None = None) -> Data
                     for b, n in zip(begin.tolist(), sizes.tolist(), strict=True)
                 ]
                 yield from _documents(row, sizes, begin, flat, text_of)
+                del row, shard, sizes, order, found, flat, begin, text_of
+                trim()
 
     joined = made.drop("words").join(words, "block", "left")
     return joined.mapInArrow(run, "doc_id long, ids binary, decoded string")
