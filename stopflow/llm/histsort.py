@@ -24,7 +24,7 @@ TOLERANCE = 0.005
 # Probe keys per open range and round.
 PROBES = 32
 # Rows of a range that one task numbers.
-RANGE_ROWS = 100_000
+RANGE_ROWS = 20_000
 
 _LOW = -(1 << 63)
 _MASK = (1 << 64) - 1
