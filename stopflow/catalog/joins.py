@@ -8,6 +8,7 @@ from stopflow.catalog.registry import query, r, rounded
 from stopflow.catalog.roles import SNAP_SQL, TRIP_SQL, Tables, bin_sql
 from stopflow.functions import load_bin
 from stopflow.functions.scalars import KNOWN_CAPACITIES
+from stopflow.operators.cleaning import null_rows
 from stopflow.operators.enrich import (
     TRAFFIC_VALUES,
     WEATHER_VALUES,
@@ -85,6 +86,19 @@ def _(t: Tables):
     return rounded(traffic_joined(t).select("visit_id", "xd_id", *TRAFFIC_VALUES))
 
 
+@query(
+    "null_congestion",
+    "located slots",
+    f"""SELECT visit_id, {r("average_speed", "reference_speed", "extreme_congestion")}
+        FROM ({TRAFFIC_JOIN_SQL}) WHERE congestion IS NULL""",
+)
+def _(t: Tables):
+    """The second half of the null audit: visits that found no congestion value."""
+    missing = null_rows(traffic_joined(t), "congestion")
+    cols = ("average_speed", "reference_speed", "extreme_congestion")
+    return rounded(missing.select("visit_id", *cols))
+
+
 @query(
     "join_weather",
     "visits hourly",

@@ -146,6 +146,20 @@ def _(t: Tables):
     return ordered_split(t.outbound.select(*SNAPSHOT).distinct(), SNAPSHOT)
 
 
+@query(
+    "ordered_split_plain",
+    "outbound",
+    f"""SELECT {SNAP_SQL}, CASE WHEN pos < n - CAST(floor(n * 0.2::DOUBLE) AS BIGINT) THEN 'train'
+               ELSE 'test' END AS split
+        FROM (SELECT *, row_number() OVER (ORDER BY {SNAP_SQL}) - 1 AS pos, count(*) OVER () AS n
+              FROM (SELECT DISTINCT {SNAP_SQL} FROM outbound))""",
+)
+def _(t: Tables):
+    """First four fifths and last fifth by position, with no validation part and no gap."""
+    snapshots = t.outbound.select(*SNAPSHOT).distinct()
+    return ordered_split(snapshots, SNAPSHOT, validation=0.0, seam_gap=0)
+
+
 @query(
     "random_split",
     "outbound",
