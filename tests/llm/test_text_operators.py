@@ -139,15 +139,16 @@ def test_token_files(corpus, nothing):
 def test_toxicity_learns_and_scores_every_row(spark, corpus, nothing):
     rng = np.random.default_rng(1)
     rows = []
-    for k in range(300):
+    for k in range(900):
         words = [f"w{x}" for x in rng.integers(0, 200, 60)]
         if k % 3 == 0:
-            words[int(rng.integers(60))] = f"vile{'abc'[k % 2]}x"
+            for at in rng.integers(0, 60, 3):
+                words[int(at)] = f"vile{'abc'[int(at) % 3]}x"
         rows.append((k, " ".join(words), ["en", "de"][k % 2], int(k % 3 == 0)))
     schema = "doc_id long, text string, lang string, toxic int"
     labelled = spark.createDataFrame(rows, schema)
-    model = toxicity.fit(labelled, labelled.where("doc_id < 200"))
-    new = labelled.where("doc_id >= 200")
+    model = toxicity.fit(labelled, labelled.where("doc_id < 600"))
+    new = labelled.where("doc_id >= 600")
     scored = toxicity.with_scores(new, model).collect()
     right = sum((r.score >= toxicity.THRESHOLD) == bool(r.toxic) for r in scored)
     assert right >= 0.9 * len(scored)
