@@ -19,12 +19,14 @@ from stopflow.llm.mtree import matrix, valid
 from stopflow.session import stored
 
 THRESHOLD = 0.98
-# Rows a cell should have, cells over all labels at most, cells a vector may lie in, and the
-# rows above which a cell is dealt to several shards.
+# Rows a cell should have, cells over all labels at most, cells a vector should lie in on average,
+# and the rows above which a cell is dealt to several shards.
 CELL_ROWS, MAX_CELLS, OVERLAP, SHARD_ROWS = 1_500, 1_024, 4, 4_000
 # Candidates and neighbours of a node, pruning factor, medoids, and width of the search.
 POOL, DEGREE, ALPHA, MEDOIDS, BEAM = 40, 20, 1.2, 16, 16
 QUERY_BLOCK = 256
+# Vectors that try the centroids of a label, and slack of the border test for rounded products.
+TRIAL_ROWS, ROUNDING = 1_000, 1e-7
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -34,22 +36,38 @@ def unit(x: np.ndarray) -> np.ndarray:
 def memberships(x: np.ndarray, centroids: np.ndarray, threshold: float):
     """(row, cell, is_home) of every cell of each unit vector.
 
-    A vector belongs to its nearest centroid and to those whose border it is close to: a vector
-    within the threshold may lie beyond. Of these, the ``OVERLAP`` nearest count.
+    A vector belongs to its nearest centroid and to all those whose border it is close to: a
+    vector within the threshold may lie beyond. So of two linked vectors each lies in the home
+    cell of the other.
     """
     near = x @ centroids.T
-    order = np.argsort(-near, axis=1, kind="stable")[:, :OVERLAP]
-    home = centroids[order[:, 0]]
+    home = near.argmax(axis=1)
+    width = np.sqrt(np.maximum(2 - 2 * (centroids @ centroids.T), 0))
     margin = np.sqrt(max(1 - threshold**2, 0.0))
-    rows, cells, homes = [np.arange(len(x))], [order[:, 0]], [np.ones(len(x), dtype=bool)]
-    for j in range(1, order.shape[1]):
-        gap = home - centroids[order[:, j]]
-        width = np.sqrt((gap * gap).sum(axis=1))
-        close = (x * gap).sum(axis=1) <= margin * width
-        rows.append(np.flatnonzero(close))
-        cells.append(order[close, j])
-        homes.append(np.zeros(len(rows[-1]), dtype=bool))
-    return np.concatenate(rows), np.concatenate(cells), np.concatenate(homes)
+    every = np.arange(len(x))
+    close = near[every, home][:, None] - near <= margin * width[home] + ROUNDING
+    close[every, home] = True
+    row, cell = np.nonzero(close)
+    return row, cell, cell == home[row]
+
+
+def spread(sample: np.ndarray, others: np.ndarray, threshold: float) -> np.ndarray:
+    """Centroids out of a sample of unit vectors.
+
+    Within twice the link radius of each other only the first is taken: a dense group is one
+    cell. Fewer are taken where the ``others`` would lie in more than ``OVERLAP`` cells on
+    average; their larger cells are dealt to more shards, and no vector loses a cell.
+    """
+    reach = 2 * threshold**2 - 1
+    taken: list[int] = []
+    for i, v in enumerate(sample):
+        if not taken or (sample[taken] @ v).max() < reach:
+            taken.append(i)
+    while len(taken) > 1 and len(others):
+        if len(memberships(others, sample[taken], threshold)[0]) <= OVERLAP * len(others):
+            break
+        taken = taken[: len(taken) * 3 // 4]
+    return sample[taken]
 
 
 def pruned_lists(x: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +199,7 @@ def _joined(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _MEMBER = "node long, copies long, label long, cell int, home boolean, vec array<double>"
 
 
-def _centroids(rows: DataFrame) -> dict[int, np.ndarray]:
+def _centroids(rows: DataFrame, threshold: float) -> dict[int, np.ndarray]:
     """Sampled centroids of labels with several cells; at most ``MAX_CELLS`` in all."""
     total = rows.count()
     cells = F.least(
@@ -192,10 +210,9 @@ def _centroids(rows: DataFrame) -> dict[int, np.ndarray]:
     out = {}
     for label, k in sorted(counts.items()):
         own = rows.where(F.col("label") == label).orderBy(F.xxhash64("node"), "node")
-        x = unit(matrix(pa.array([r["vec"] for r in own.limit(int(k)).collect()])))
-        # Centroids in one direction have no border between them.
-        _, first = np.unique(np.round(x, 9), axis=0, return_index=True)
-        out[label] = x[np.sort(first)]
+        first = own.limit(int(k) + TRIAL_ROWS).collect()
+        x = unit(matrix(pa.array([r["vec"] for r in first])))
+        out[label] = spread(x[: int(k)], x[int(k) :], threshold)
     return out
 
 
@@ -222,7 +239,7 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         ),
         "vector-classes",
     )
-    centroids = _centroids(classes)
+    centroids = _centroids(classes, threshold)
 
     def deal(batches):
         for batch in batches:
@@ -269,7 +286,7 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return pa.table({"node": node[a], "to": node[b]})
 
     edges = sharded.groupBy(*key).applyInArrow(build, "node long, to long")
-    # A node has at most two pruned lists from each of its few cells.
+    # A node has at most two pruned lists from each of its cells.
     lists = edges.groupBy("node").agg(F.collect_set("to").alias("near"))
     placed = sharded.join(lists, "node", "left").withColumn("asks", F.lit(False))
     # A vector asks every shard of its home cell, its own and the others.

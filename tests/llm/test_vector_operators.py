@@ -112,6 +112,32 @@ def test_links(vectors, monkeypatch):
     assert annlinks.linked(plain.limit(0)).count() == 0
 
 
+def test_linked_vectors_share_their_home_cells():
+    rng = np.random.default_rng(8)
+    x = annlinks.unit(rng.normal(0, 1, (1, 8)) + rng.normal(0, 0.05, (2000, 8)))
+    row, cell, home = annlinks.memberships(x, x[:60], annlinks.THRESHOLD)
+    member = np.zeros((len(x), 60), dtype=bool)
+    member[row, cell] = True
+    of = np.full(len(x), -1)
+    of[row[home]] = cell[home]
+    assert home.sum() == len(x)
+    a, b = np.nonzero(x @ x.T >= annlinks.THRESHOLD)
+    assert member[b, of[a]].all()
+
+
+def test_links_of_a_near_copy_group_above_the_cell_size(spark, corpus, monkeypatch):
+    monkeypatch.setattr(annlinks, "CELL_ROWS", 60)
+    monkeypatch.setattr(annlinks, "SHARD_ROWS", 300)
+    rng = np.random.default_rng(9)
+    copies = rng.normal(0, 0.3, 16) + rng.normal(0, 0.01, (1200, 16))
+    x = np.vstack([copies, rng.normal(0, 0.3, (600, 16))])
+    rows = [(k, v.tolist(), 1, "x") for k, v in enumerate(x)]
+    many = spark.createDataFrame(rows, SCHEMA)
+    found, there = annlinks.audit(many, annlinks.linked(many))
+    assert there > 60 * 1000
+    assert 0.9 * there <= found <= there
+
+
 def test_components(spark, corpus):
     rng = np.random.default_rng(4)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(k, k + 1) for k in range(400, 460)]
