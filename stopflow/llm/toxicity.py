@@ -66,12 +66,20 @@ def _new_model(seed: int) -> Model:
 
 
 def _padded(codes: np.ndarray, starts: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
-    """Token codes with ``max(WIDTHS)`` paddings after each text, and the text starts."""
+    """Token codes with ``max(WIDTHS)`` paddings after each text, END first, and the text starts."""
     room = max(WIDTHS) - 1
     spread = np.insert(codes, np.repeat(starts[1:], room), pad)
     return spread, starts[:-1] + room * np.arange(len(starts) - 1)
 
 
+def _products(x: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """``x @ f``, summed in one order whatever rows stand beside a row."""
+    out = x[:, :1] * f[0]
+    for k in range(1, len(f)):
+        out += x[:, k : k + 1] * f[k]
+    return out
+
+
 def predict(model: Model, texts: list[bytes]) -> np.ndarray:
     """Scores of texts, over every word of each."""
     if not texts:
@@ -79,16 +87,19 @@ def predict(model: Model, texts: list[bytes]) -> np.ndarray:
     codes, words, starts = token_table(texts, PLAIN)
     vectors = model.embed[_word_buckets(words)].sum(axis=1)
     codes, starts = _padded(codes, starts, words.index(END))
+    ends = np.append(starts[1:], len(codes))
     pooled = np.empty((len(texts), len(model.bias)), dtype=np.float32)
     for k, (w, f) in enumerate(model.filters.items()):
         span = slice(k * FILTERS, (k + 1) * FILTERS)
         n = len(codes) - w + 1
         # Each word is multiplied with each filter row once; a window adds up its words.
-        response = (vectors @ f[0])[codes[:n]]
+        response = _products(vectors, f[0])[codes[:n]]
         for j in range(1, w):
-            response += (vectors @ f[j])[codes[j : j + n]]
-        pooled[:, span] = np.maximum.reduceat(response, starts, axis=0) + model.bias[span]
-    z = np.maximum(pooled, 0) @ model.out + model.out_bias
+            response += _products(vectors, f[j])[codes[j : j + n]]
+        # Windows that start on the last paddings would reach into the next text.
+        borders = np.stack([starts, ends - w + 1], axis=1).reshape(-1)[:-1]
+        pooled[:, span] = np.maximum.reduceat(response, borders, axis=0)[::2] + model.bias[span]
+    z = _products(np.maximum(pooled, 0), model.out[:, None])[:, 0] + model.out_bias
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 

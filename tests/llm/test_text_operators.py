@@ -169,6 +169,18 @@ def test_toxicity_sees_the_end_of_a_long_text(spark):
     assert low < 0.5 < high
 
 
+def test_toxicity_of_a_text_is_its_own():
+    rng = np.random.default_rng(6)
+    texts = [b"calm day", b"vile words stand first", b"", b"x", b"vile", b"so it ends"]
+    texts += [b" ".join(b"w%d" % x for x in rng.integers(0, 90, n)) for n in range(1, 60)]
+    model = toxicity._new_model(2)
+    model.embed[1:] = rng.normal(0, 1, model.embed[1:].shape)
+    alone = [toxicity.predict(model, [t])[0] for t in texts]
+    assert toxicity.predict(model, texts).tolist() == alone
+    assert toxicity.predict(model, texts[::-1]).tolist() == alone[::-1]
+    assert toxicity.predict(model, texts[:2]).tolist() == alone[:2]
+
+
 def test_shards(spark, corpus, nothing):
     hot = spark.createDataFrame([(k, "same text again") for k in range(100, 700)], "doc_id long, text string")
     docs = corpus.select("doc_id", "text").union(hot)
