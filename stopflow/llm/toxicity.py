@@ -23,8 +23,8 @@ DIM = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 PREFIXES = (4, 6)
-# Bounds of the fit: labelled rows of either class, and characters of a row's text.
-FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1_500, 3_000, 20_000
+# Bounds of the fit: labelled rows of either class, and bytes of all their texts.
+FIT_TOXIC, FIT_CLEAN, FIT_BYTES = 1_500, 3_000, 32 << 20
 EPOCHS, STEPS, BATCH, RATE = 8, 1_000, 64, 0.01  # passes, or as many steps if fewer rows
 # Share of words hidden in each step, against learning single documents by heart.
 WORD_DROP = 0.3
@@ -198,9 +198,10 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Model:
     """Train on the texts of ``docs`` (doc_id, text, lang) that ``labels`` (doc_id, toxic) marks.
 
     A bounded sample is used: of either class the first labels by a hash of the id, up to
-    ``FIT_TOXIC`` and ``FIT_CLEAN``, whose texts have up to ``FIT_CHARS`` characters. Labels
-    other than 0 and 1 and documents without a text are left out. With no rows the model gives a
-    constant score.
+    ``FIT_TOXIC`` and ``FIT_CLEAN``; of these, in the order of another hash, as many as
+    ``FIT_BYTES`` hold, whatever the length of each. The last of that order, of both classes, set
+    the thresholds. Labels other than 0 and 1 and documents without a text are left out. With no
+    rows the model gives a constant score.
     """
     known = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     parts = [
@@ -212,11 +213,17 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Model:
     ]
     # At most FIT_TOXIC + FIT_CLEAN ids: the texts of all others stay where they are.
     ids = F.broadcast(parts[0].union(parts[1]))
-    texts = docs.select("doc_id", "text", "lang").where(F.length("text") <= FIT_CHARS)
+    texts = docs.select("doc_id", "text", "lang").where("text IS NOT NULL")
+    # A hash apart from the one that chose: by that one, the rarer class alone would come last.
     chosen = texts.join(ids, "doc_id").select(
-        F.xxhash64("doc_id").alias("h"), text_bytes().alias("text"), "lang", "toxic"
+        F.xxhash64(F.lit("fit"), "doc_id").alias("h"), text_bytes().alias("text"), "lang", "toxic"
     )
-    sample = chosen.orderBy("h", "text").collect()
+    sample, size = [], 0
+    for row in chosen.orderBy("h", "text").toLocalIterator():
+        size += len(row.text)
+        if sample and size > FIT_BYTES:
+            break
+        sample.append(row)
     texts = [bytes(r.text) for r in sample]
     toxic = np.array([r.toxic for r in sample], dtype=np.float64)
     held = int(len(sample) * (1 - CHECK_SHARE))

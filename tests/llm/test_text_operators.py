@@ -181,6 +181,46 @@ def test_toxicity_of_a_text_is_its_own():
     assert toxicity.predict(model, texts[:2]).tolist() == alone[:2]
 
 
+@pytest.fixture
+def fitted_rows(monkeypatch):
+    """What a fit learns from and what sets its thresholds."""
+    seen = {}
+
+    def train(texts, toxic, seed):
+        seen["learnt"] = (texts, toxic)
+        return toxicity._new_model(seed)
+
+    def calibrated(scores, toxic, langs):
+        seen["held"] = toxic
+        return {}
+
+    monkeypatch.setattr(toxicity, "train", train)
+    monkeypatch.setattr(toxicity, "calibrated_thresholds", calibrated)
+    return seen
+
+
+def test_toxicity_fits_long_texts(spark, fitted_rows, monkeypatch):
+    rows = [(k, ("x" * 500 + " ") * (60 if k % 2 else 1), "en", k // 2 % 2) for k in range(40)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    toxicity.fit(labelled, labelled)
+    learnt = fitted_rows["learnt"][0]
+    assert len(learnt) == 32 and any(len(t) > 20_000 for t in learnt)
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 200_000)
+    toxicity.fit(labelled, labelled)
+    learnt = fitted_rows["learnt"][0]
+    assert any(len(t) > 20_000 for t in learnt) and sum(map(len, learnt)) <= 200_000
+
+
+def test_toxicity_thresholds_see_both_classes(spark, fitted_rows, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_TOXIC", 100)
+    monkeypatch.setattr(toxicity, "FIT_CLEAN", 100)
+    rows = [(k, f"text {k}", "en", int(k % 10 == 0)) for k in range(1000)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    toxicity.fit(labelled, labelled)
+    assert len(fitted_rows["held"]) == 40
+    assert 0.2 < fitted_rows["held"].mean() < 0.8
+
+
 def test_shards(spark, corpus, nothing):
     hot = spark.createDataFrame([(k, "same text again") for k in range(100, 700)], "doc_id long, text string")
     docs = corpus.select("doc_id", "text").union(hot)
