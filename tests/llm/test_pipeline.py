@@ -6,7 +6,10 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 import corpus_pipeline  # noqa: E402
+from stopflow.llm import toxicity  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +31,18 @@ def test_stages(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert Counter(r.doc_id for r in last.collect()) == Counter(r.doc_id for r in kept.collect())
     assert seen[1] <= seen[0] <= len(everyone)
+
+
+def test_toxic_documents_go_by_the_threshold_of_their_language(spark, monkeypatch):
+    model = toxicity._new_model(1)
+    model.thresholds = {"en": 0.9, "de": 0.5}
+    monkeypatch.setattr(corpus_pipeline.queries, "toxicity_model", lambda *_: model)
+    monkeypatch.setattr(
+        toxicity, "with_scores", lambda docs, _, into: docs.withColumn(into, F.col("given"))
+    )
+    rows = [(1, "en", 0.8), (2, "en", 0.9), (3, "de", 0.4), (4, "de", 0.6), (5, "fr", 0.6)]
+    rows += [(6, "fr", 0.7), (7, None, 0.6), (8, None, 0.8)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, given double")
+    kept = corpus_pipeline.drop_toxic(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {1, 3, 5, 7}
