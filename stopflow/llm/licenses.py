@@ -12,7 +12,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -96,9 +96,9 @@ FORMS = (
     ("tag", r"spdx license identifier {id}", 10, 1.0, "spdx"),
     ("granted", r"(?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms of (?:the )?)?{name}(?: license)?", 20, 0.95, "under"),
     ("subject", r"subject to (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}(?: license)?", 30, 0.9, "subject"),
-    ("see", r"(?:see|read|copy of) the {name} license", 40, 0.85, "license"),
-    ("field", r"license (?:is )?{name}", 50, 0.8, "license"),
-    ("named", r"{name} license(?! (?:agreement|key|plate)\b)", 60, 0.7, "license"),
+    ("see", r"(?:see|read|copy of) the {name} license", 40, 0.85, "licen"),
+    ("field", r"license (?:is )?{name}", 50, 0.8, "licen"),
+    ("named", r"{name} license(?! (?:agreement|key|plate)\b)", 60, 0.7, "licen"),
 )
 
 # Texts and notices that belong to one license or to none.
@@ -118,6 +118,29 @@ NOTICES = (
     ("cc", r"creativecommons org licenses", 85, 0.5, "creativecommons"),
 )
 
+# Abbreviations with their versions, and families named without one; a version wins.
+SHORT = (
+    ("gpl-2", r"(?:gnu )?gpl ?v? ?2(?: 0)?", 65, 0.7, "gpl"),
+    ("gpl-3", r"(?:gnu )?gpl ?v? ?3(?: 0)?", 65, 0.7, "gpl"),
+    ("lgpl-2", r"(?:gnu )?lgpl ?v? ?2(?: [01])?", 65, 0.7, "lgpl"),
+    ("lgpl-3", r"(?:gnu )?lgpl ?v? ?3(?: 0)?", 65, 0.7, "lgpl"),
+    ("agpl-3", r"(?:gnu )?agpl ?v? ?3(?: 0)?", 65, 0.7, "agpl"),
+    ("mpl-1", r"mpl ?v? ?1(?: [01])?", 65, 0.7, "mpl"),
+    ("mpl-2", r"mpl ?v? ?2(?: 0)?", 65, 0.7, "mpl"),
+    ("epl-1", r"epl ?v? ?1(?: 0)?", 65, 0.7, "epl"),
+    ("epl-2", r"epl ?v? ?2(?: 0)?", 65, 0.7, "epl"),
+    ("cddl-1", r"cddl ?v? ?1(?: [01])?", 65, 0.7, "cddl"),
+    ("eupl", r"eupl ?v? ?1(?: [012])?", 65, 0.7, "eupl"),
+    ("gpl", r"(?:gnu )?gpl(?: license)?", 82, 0.5, "gpl"),
+    ("lgpl", r"(?:gnu )?lgpl(?: license)?", 82, 0.5, "lgpl"),
+    ("agpl", r"(?:gnu )?agpl(?: license)?", 82, 0.5, "agpl"),
+    ("bsd", r"bsd (?:style |type )?license", 82, 0.5, "bsd"),
+    ("apache", r"apache (?:software )?license", 82, 0.5, "apache"),
+    ("mpl", r"(?:mpl|mozilla public) license", 82, 0.5, "licen"),
+    ("epl", r"(?:epl|eclipse public) license", 82, 0.5, "licen"),
+    ("cc", r"creative commons license", 82, 0.5, "creative commons"),
+)
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -132,7 +155,10 @@ class Rule:
 
 @functools.cache
 def rules() -> tuple[Rule, ...]:
-    """All rules in order: base phrases, notices, then every form of every license."""
+    """All rules in order: base phrases, notices, every form of every license, short names.
+
+    All but the base phrases take the British spelling too.
+    """
     made = [Rule(f"base:{b}", b, p, 15, 0.95, p, True) for p, b in BASE]
     made += [
         Rule(f"notice:{n}:{b}", b, p, pr, c, k) for n, (b, p, pr, c, k) in enumerate(NOTICES)
@@ -141,7 +167,10 @@ def rules() -> tuple[Rule, ...]:
         for form, around, priority, confidence, keyword in FORMS:
             pattern = around.replace("{id}", f"(?:{tag})").replace("{name}", f"(?:{name})")
             made.append(Rule(f"{form}:{label}", label, pattern, priority, confidence, keyword))
-    return tuple(made)
+    made += [Rule(f"short:{n}:{b}", b, p, pr, c, k) for n, (b, p, pr, c, k) in enumerate(SHORT)]
+    return tuple(
+        r if r.base else replace(r, pattern=r.pattern.replace("license", "licen[cs]e")) for r in made
+    )
 
 
 @functools.cache

@@ -181,6 +181,40 @@ def test_toxicity_of_a_text_is_its_own():
     assert toxicity.predict(model, texts[:2]).tolist() == alone[:2]
 
 
+@pytest.mark.parametrize(
+    "sentence,label",
+    [
+        ("This is GPLv2 code.", "gpl-2"),
+        ("Use it by the GPLv3+.", "gpl-3"),
+        ("Our library, LGPLv2.1, is small.", "lgpl-2"),
+        ("It is LGPL 3 from now on.", "lgpl-3"),
+        ("Served as AGPLv3.", "agpl-3"),
+        ("Old parts: MPL 1.1.", "mpl-1"),
+        ("New parts: MPL 2.0.", "mpl-2"),
+        ("Plugins: EPL 1.0", "epl-1"),
+        ("Plugins (EPL 2.0)", "epl-2"),
+        ("CDDLv1.0 files", "cddl-1"),
+        ("EUPL v1.2 text", "eupl"),
+        ("a GPL program", "gpl"),
+        ("an LGPL library", "lgpl"),
+        ("an AGPL server", "agpl"),
+        ("It has a BSD license.", "bsd"),
+        ("with an Apache licence", "apache"),
+        ("the Mozilla Public License", "mpl"),
+        ("the Eclipse Public Licence", "epl"),
+        ("a Creative Commons licence", "cc"),
+        ("Released under the Boost Software Licence", "boost"),
+        ("See the zlib licence", "zlib"),
+        ("Licence: ISC", "isc"),
+    ],
+)
+def test_short_names_and_british_spelling(sentence, label):
+    plain = b" ".join(licenses.words_of(sentence.encode()))
+    given = licenses.rules()
+    found = licenses.resolved(list(licenses.raw_detections(plain, given)), given)
+    assert [given[i].label for i, _, _ in found] == [label]
+
+
 @pytest.fixture
 def fitted_rows(monkeypatch):
     """What a fit learns from and what sets its thresholds."""
