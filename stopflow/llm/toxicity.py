@@ -216,7 +216,11 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Model:
     texts = docs.select("doc_id", "text", "lang").where("text IS NOT NULL")
     # A hash apart from the one that chose: by that one, the rarer class alone would come last.
     chosen = texts.join(ids, "doc_id").select(
-        F.xxhash64(F.lit("fit"), "doc_id").alias("h"), text_bytes().alias("text"), "lang", "toxic"
+        F.xxhash64(F.lit("fit"), "doc_id").alias("h"),
+        F.xxhash64("doc_id").alias("by_id"),
+        text_bytes().alias("text"),
+        "lang",
+        "toxic",
     )
     sample, size = [], 0
     for row in chosen.orderBy("h", "text").toLocalIterator():
@@ -224,6 +228,10 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Model:
         if sample and size > FIT_BYTES:
             break
         sample.append(row)
+    n_toxic = sum(r.toxic for r in sample)
+    if n_toxic < FIT_TOXIC and len(sample) - n_toxic < FIT_CLEAN:
+        # All labels are here, so the first hash has chosen nothing.
+        sample.sort(key=lambda r: (r.by_id, r.text))
     texts = [bytes(r.text) for r in sample]
     toxic = np.array([r.toxic for r in sample], dtype=np.float64)
     held = int(len(sample) * (1 - CHECK_SHARE))
