@@ -1,4 +1,4 @@
-"""The ten operators as queries over the bench tables."""
+"""The numbered operators as queries over the bench tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopflow.llm import annlinks, histsort, licenses, lmscore, mixing, mtree, sketches, toxicity, wavelet, wordbpe
+from stopflow.llm import (
+    annlinks,
+    histsort,
+    licenses,
+    lmscore,
+    mixing,
+    mtree,
+    periodic,
+    sketches,
+    toxicity,
+    wavelet,
+    wordbpe,
+)
 from stopflow.llm.shipping import ship
 from stopflow.session import stored
 
@@ -219,3 +231,56 @@ def op3_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pruned_graph_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings of a label at cosine 0.98."""
     return annlinks.linked(table(spark, sf_dir, "embeddings"))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the documents the words from some place on are periodic.
+
+    Such a text is its words joined by spaces. Rows without doc_id or words stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    n = F.size("_words").cast("long")
+    a, p = F.expr("_g % size(_words)"), F.col("_p")
+    period = F.slice("_words", (F.col("_a") + 1).cast("int"), p.cast("int"))
+    rest = (n - F.col("_a")).cast("int")
+    times = F.ceil((n - F.col("_a")) / p).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(period, times)), F.lit(1), rest)
+    head = F.slice("_words", F.lit(1), F.col("_a").cast("int"))
+    planted = (h % 10 == 0) & (n > 0)
+    return (
+        docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("_words"), g.alias("_g"))
+        .withColumn("_a", F.when(planted, a))
+        .withColumn("_p", F.when(planted, 1 + F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8))))
+        .select(
+            "doc_id",
+            F.when(planted, F.array_join(F.concat(head, tail), " "))
+            .otherwise(F.col("text"))
+            .alias("text"),
+        )
+    )
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least three periods and 24 words in all documents, a tenth made periodic."""
+    rows = periodic.detected(with_planted_periods(table(spark, sf_dir, "documents")))
+    best = F.aggregate(
+        "runs",
+        F.get("runs", F.lit(0)),
+        lambda m, r: F.when(r["length"] * m["period"] > m["length"] * r["period"], r).otherwise(m),
+    )
+    lines = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    )
+    found = rows.withColumn("_best", best)
+    top = F.col("_best")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[top[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
