@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stopflow.llm import (
     annlinks,
+    dialogue,
     histsort,
     licenses,
     lmscore,
@@ -284,3 +285,136 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Messages of which a twentieth each is dropped, emptied, unpunctuated, doubled or the user's."""
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    conv_id, turn = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn"))
+    by = F.crc32(F.concat(conv_id, F.lit(":"), turn).cast("binary")) % 20
+    code = F.col("_code")
+    return (
+        rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), by.alias("_code"))
+        .where(code != 0)
+        .select(
+            "conv_id",
+            "turn",
+            F.when(code == 4, F.lit("user")).otherwise(F.col("role")).alias("role"),
+            F.when(code == 1, F.lit(""))
+            .when(code == 2, F.regexp_replace("text", "[.!?]", ""))
+            .otherwise(F.col("text"))
+            .alias("text"),
+            F.explode(F.sequence(F.lit(1), F.when(code == 3, 2).otherwise(1))).alias("copy"),
+        )
+    )
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage to a quarter of its messages."""
+    rows = table(spark, sf_dir, "conversations")
+    found = dialogue.summary(damaged(rows))
+    every = rows.select(F.col("conv_id").alias("_id")).distinct()
+    numbers = ("gaps", *dialogue.COUNTS, "cost")
+    return every.join(found, F.col("_id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("_id").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+SQL["op12_conversation_repair"] = r"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+  FROM conversations),
+coded AS (
+  -- CRC-32: a code enters the register, then eight shifts.
+  SELECT *, xor(list_reduce(list_concat([4294967295], flatten(list_transform(
+      regexp_extract_all(name, '.'), lambda c: [ord(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) ELSE xor(r >> 1, 3988292384 * (r & 1)) END),
+    4294967295) % 20 AS code
+  FROM named),
+hurt AS (
+  SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM coded, range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+placed AS (
+  SELECT *, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS pos FROM hurt),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS nth,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY pos) AS prior FROM placed),
+judged AS (
+  SELECT conv_id, turn, pos, role, text,
+    CASE WHEN role = '' THEN ' ' ELSE substr(role, 1, 1) END AS initial,
+    prior IS NOT NULL AND substr(prior, 1, 1) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au')
+      AS illegal,
+    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault
+  FROM seen),
+counted AS (
+  SELECT conv_id,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (illegal) AS illegal, count(*) AS n
+  FROM judged GROUP BY conv_id),
+steps AS (
+  -- States: nothing yet, after the system message, after a user, after an assistant.
+  SELECT conv_id, n, CAST(0 AS BIGINT) AS pos, {'c': 0, 'a': ''} AS s0, {'c': 1000000, 'a': ''} AS s1,
+    {'c': 1000000, 'a': ''} AS s2, {'c': 1000000, 'a': ''} AS s3 FROM counted
+  UNION ALL
+  SELECT x.conv_id, x.n, x.pos + 1,
+    {'c': s0.c + 2, 'a': s0.a || 'D'},
+    list_min([{'c': s1.c + 2, 'a': s1.a || 'D'},
+      {'c': CASE WHEN ok AND initial = 's' THEN s0.c + more ELSE 1000000 END, 'a': s0.a || 'K'}]),
+    list_min([{'c': i2.c + 2, 'a': i2.a || 'D'},
+      {'c': CASE WHEN ok THEN s0.c + 1 + more ELSE 1000000 END, 'a': s0.a || 'R'},
+      {'c': CASE WHEN ok THEN s1.c + 1 + more ELSE 1000000 END, 'a': s1.a || 'R'},
+      {'c': CASE WHEN ok THEN i3.c + 1 + more ELSE 1000000 END, 'a': i3.a || 'R'},
+      {'c': CASE WHEN ok AND initial = 'u' THEN s0.c + more ELSE 1000000 END, 'a': s0.a || 'K'},
+      {'c': CASE WHEN ok AND initial = 'u' THEN s1.c + more ELSE 1000000 END, 'a': s1.a || 'K'},
+      {'c': CASE WHEN ok AND initial = 'u' THEN i3.c + more ELSE 1000000 END, 'a': i3.a || 'K'}]),
+    list_min([{'c': i3.c + 2, 'a': i3.a || 'D'},
+      {'c': CASE WHEN ok THEN i2.c + 1 + more ELSE 1000000 END, 'a': i2.a || 'R'},
+      {'c': CASE WHEN ok AND initial = 'a' THEN i2.c + more ELSE 1000000 END, 'a': i2.a || 'K'}])
+  FROM (
+    SELECT *, list_min([s3, {'c': i2.c + 5, 'a': i2.a || 'I'}]) AS i3 FROM (
+      SELECT *, list_min([s2, {'c': s0.c + 5, 'a': s0.a || 'I'}, {'c': s1.c + 5, 'a': s1.a || 'I'},
+        {'c': s3.c + 5, 'a': s3.a || 'I'}]) AS i2 FROM steps WHERE pos < n)) x
+  JOIN (
+    SELECT conv_id, pos, initial, fault IN ('', 'truncated') AS ok,
+      CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS more FROM judged) j
+  ON x.conv_id IS NOT DISTINCT FROM j.conv_id AND j.pos = x.pos + 1),
+ended AS (
+  SELECT conv_id, list_min([s0, s3, {'c': s2.c + 5, 'a': s2.a || 'I'},
+    {'c': s1.c + 10, 'a': s1.a || 'II'}]) AS best FROM steps WHERE pos = n),
+letters AS (
+  SELECT conv_id, j, substr(best.a, j, 1) AS letter
+  FROM ended, range(1, CAST(length(best.a) + 1 AS BIGINT)) AS t(j)),
+numbered AS (
+  SELECT *, sum(CAST(letter <> 'I' AS INT)) OVER w AS pos, sum(CAST(letter <> 'D' AS INT)) OVER w AS place
+  FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+edited AS (
+  SELECT m.conv_id, m.j, m.letter, m.place, r.role, r.text,
+    max(CAST(m.place = 1 AND m.letter = 'K' AND r.initial = 's' AS INT))
+      OVER (PARTITION BY m.conv_id) AS opened
+  FROM numbered m LEFT JOIN judged r
+    ON m.conv_id IS NOT DISTINCT FROM r.conv_id AND m.pos = r.pos AND m.letter <> 'I'),
+lines AS (
+  SELECT conv_id, string_agg(
+    CASE WHEN letter = 'K' THEN role WHEN (place - opened) % 2 = 1 THEN 'user' ELSE 'assistant' END
+      || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS repaired
+  FROM edited WHERE letter <> 'D' GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+  coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit,
+  sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted k ON o.conv_id IS NOT DISTINCT FROM k.conv_id
+LEFT JOIN ended e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
+LEFT JOIN lines l ON o.conv_id IS NOT DISTINCT FROM l.conv_id
+"""
