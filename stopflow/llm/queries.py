@@ -17,6 +17,7 @@ from stopflow.llm import (
     mixing,
     mtree,
     periodic,
+    permindex,
     sketches,
     toxicity,
     wavelet,
@@ -351,8 +352,10 @@ judged AS (
     CASE WHEN role = '' THEN ' ' ELSE substr(role, 1, 1) END AS initial,
     prior IS NOT NULL AND substr(prior, 1, 1) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au')
       AS illegal,
-    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
-      WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault
+    CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault
   FROM seen),
 counted AS (
   SELECT conv_id,
@@ -418,3 +421,10 @@ LEFT JOIN counted k ON o.conv_id IS NOT DISTINCT FROM k.conv_id
 LEFT JOIN ended e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
 LEFT JOIN lines l ON o.conv_id IS NOT DISTINCT FROM l.conv_id
 """
+
+
+@query
+def op13_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest of every twentieth vector by inner product, found by a permutation index."""
+    rows = table(spark, sf_dir, "embeddings")
+    return permindex.nearest(rows, F.col("vec_id") % 20 == 0, k=20)
