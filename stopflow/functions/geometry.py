@@ -19,14 +19,36 @@ def _steps(points: Column) -> Column:
     )
 
 
+def legs(parts: Column) -> Column:
+    """All edges ``ax, ay, bx, by`` of a ring list or path list, side by side."""
+
+    def of(part: Column) -> Column:
+        def leg(i: Column) -> Column:
+            a, b = F.get(part, i - 1), F.get(part, i)
+            ends = (a["lon"], "ax"), (a["lat"], "ay"), (b["lon"], "bx"), (b["lat"], "by")
+            return F.struct(*[value.alias(name) for value, name in ends])
+
+        return F.transform(_steps(part), leg)
+
+    return F.flatten(F.transform(parts, of))
+
+
+def crossed(lon: Column, lat: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Whether a ray from the point towards greater longitude crosses the edge a-b.
+
+    A point on a border is in on low edges, out on high ones; odd counts are inside.
+    """
+    spans = (ay > lat) != (by > lat)
+    at = F.try_divide(lat - ay, by - ay)
+    return spans & (lon < ax + at * (bx - ax))
+
+
 def ring_crossings(lon: Column, lat: Column, ring: Column) -> Column:
     """How many ring edges a ray from the point towards greater longitude crosses."""
 
     def crosses(i: Column) -> Column:
         a, b = F.get(ring, i - 1), F.get(ring, i)
-        spans = (a["lat"] > lat) != (b["lat"] > lat)
-        at = F.try_divide(lat - a["lat"], b["lat"] - a["lat"])
-        return spans & (lon < a["lon"] + at * (b["lon"] - a["lon"]))
+        return crossed(lon, lat, a["lon"], a["lat"], b["lon"], b["lat"])
 
     return F.aggregate(
         _steps(ring),
@@ -56,21 +78,6 @@ def segment_distance(
     return F.sqrt(ex * ex + ey * ey)
 
 
-def path_distance(lon: Column, lat: Column, path: Column) -> Column:
-    """Distance from a point to the nearest leg of one path."""
-
-    def leg(i: Column) -> Column:
-        a, b = F.get(path, i - 1), F.get(path, i)
-        return segment_distance(lon, lat, a["lon"], a["lat"], b["lon"], b["lat"])
-
-    return F.array_min(F.transform(_steps(path), leg))
-
-
-def paths_distance(lon: Column, lat: Column, paths: Column) -> Column:
-    """Distance from a point to the nearest of several paths."""
-    return F.array_min(F.transform(paths, lambda path: path_distance(lon, lat, path)))
-
-
 def bounds(parts: Column) -> dict[str, Column]:
     """Bounding box columns ``xmin, ymin, xmax, ymax`` of a ring list or path list."""
     points = F.flatten(parts)

@@ -151,3 +151,112 @@ def test_dense_cell_and_huge_polygon(spark, small_limits):
         if name == "huge" or (x0 <= x < x1 and y0 <= y < y1)
     }
     assert got == want
+
+
+RINGS = (
+    "GEOID string, rings array<array<struct<lon: double, lat: double>>>, "
+    "xmin double, ymin double, xmax double, ymax double"
+)
+
+
+def moves_arrays_of_points(df):
+    """Columns of those exchanges of a plan that carry geometry."""
+    plan = df._jdf.queryExecution().executedPlan()
+    found = []
+
+    def walk(node):
+        if "Exchange" in node.nodeName():
+            found.append(node.schema().simpleString())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+        if node.nodeName() == "AdaptiveSparkPlan":
+            walk(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            walk(node.plan())
+
+    walk(plan)
+    assert found
+    return [s for s in found if "array<" in s.replace("_strips:array<int>", "")]
+
+
+def wavy_ring(n, cx, cy, size, rng):
+    """A star-shaped ring of many corners, some edges far longer than others."""
+    angles = [2 * math.pi * k / n for k in range(n)]
+    reach = [size * (1 + 0.3 * math.sin(40 * a) + rng.uniform(-0.2, 0.2)) for a in angles]
+    ring = [(cx + r * math.cos(a), cy + r * math.sin(a)) for a, r in zip(angles, reach, strict=True)]
+    return [*ring, ring[0]]
+
+
+def even_odd(x, y, rings):
+    n = 0
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:], strict=False):
+            if (ay > y) != (by > y) and x < ax + (y - ay) / (by - ay) * (bx - ax):
+                n += 1
+    return n % 2 == 1
+
+
+def test_long_rings_holes_and_parts_equal_brute_force(spark):
+    rng = random.Random(8)
+    shapes = {
+        "long": [wavy_ring(10_000, 0, 0, 2, rng), wavy_ring(500, 0.2, 0.1, 0.4, rng)],
+        "parts": [wavy_ring(30, 3, 3, 0.5, rng), wavy_ring(7, -3, 2, 0.7, rng), wavy_ring(4, 3, 3, 0.1, rng)],
+        "thin": [[(-4, 0), (4, 1e-7), (4, 2e-7), (-4, 1e-7), (-4, 0)]],
+        "comb": [[(k * 0.01, 3.0 * (k % 2)) for k in range(400)] + [(4, -1), (0, -1), (0, 0)]],
+        "none": [],
+        "null": None,
+    }
+    rows = []
+    for name, rings in shapes.items():
+        xs = [p[0] for r in rings or [] for p in r] or [None]
+        ys = [p[1] for r in rings or [] for p in r] or [None]
+        box = [None] * 4 if xs == [None] else [float(v) for v in (min(xs), min(ys), max(xs), max(ys))]
+        rows += [(name, [[(float(x), float(y)) for x, y in r] for r in rings] if rings is not None else None, *box)] * (1 + (name == "parts"))
+    polys = spark.createDataFrame(rows, RINGS)
+    pairs = [(rng.uniform(-4, 4), rng.uniform(-4, 4)) for _ in range(600)] + [(0.0, 1.2e-7), (1.0, 1.5)]
+    joined = within(points(spark, pairs), polys, ["GEOID"]).select("id", "GEOID")
+    got = sorted(map(tuple, joined.collect()))
+    want = sorted(
+        (i, name)
+        for i, (x, y) in enumerate(pairs)
+        for name, rings in shapes.items()
+        if rings and even_odd(x, y, rings)
+        for _ in range(1 + (name == "parts"))
+    )
+    assert got == want and len({n for _, n in want}) == 4
+    assert moves_arrays_of_points(joined) == []
+
+
+def test_long_diagonal_line_equals_brute_force(spark):
+    rng = random.Random(9)
+    path = [(k * 1e-3, k * 1e-3 + rng.uniform(-2e-4, 2e-4)) for k in range(10_001)]
+    far = [(0.0, 5.0), (10.0, 5.0)]
+    back = [(x + 3e-4, y) for x, y in reversed(path[:50])]
+    lines = {7: [path], 3: [far, back], 9: [[(2.0, 2.5)], [(1.0, 1.5), (1.0, 1.5)]], 11: []}
+    df = spark.createDataFrame(
+        list(lines.items()), "XDSegID int, paths array<array<struct<lon: double, lat: double>>>"
+    )
+    pairs = [(x + rng.uniform(-1e-3, 1e-3), y + rng.uniform(-1e-3, 1e-3)) for x, y in rng.sample(path, 150)]
+    pairs += [(5.0, 5.0), (5.0, 5.0004), (9.99, 5.0009), (1.0, 1.5003), (50.0, 50.0)]
+
+    def away(x, y, a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        n = dx * dx + dy * dy
+        t = max(0.0, min(1.0, ((x - a[0]) * dx + (y - a[1]) * dy) / n)) if n else 0.0
+        ex, ey = x - (a[0] + t * dx), y - (a[1] + t * dy)
+        return math.sqrt(ex * ex + ey * ey)
+
+    joined = nearest_line(points(spark, pairs), df, 5e-4)
+    got = {r["id"]: r["XDSegID"] for r in joined.collect()}
+    want = {}
+    for i, (x, y) in enumerate(pairs):
+        near = [
+            (d, k)
+            for k, paths in lines.items()
+            for p in paths
+            for a, b in zip(p, p[1:], strict=False)
+            if (d := away(x, y, a, b)) < 5e-4
+        ]
+        want[i] = min(near)[1] if near else None
+    assert got == want and {3, 7, 9, None} <= set(want.values())
+    assert moves_arrays_of_points(joined) == []
