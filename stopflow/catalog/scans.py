@@ -56,10 +56,12 @@ def src_parquet_pruned(t: Tables):
     return readers.read_traffic(t.spark, path, 1998, 3)
 
 
-def _collection(feature):
-    """One feature collection per line."""
-    doc = F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))
-    return F.to_json(doc).alias("value")
+# Documents that the queries write and read back.
+DOCUMENTS = 4
+
+
+def _text(value):
+    return F.to_json(value).alias("value")
 
 
 def _coordinates(points):
@@ -89,8 +91,8 @@ def src_geojson_polygons(t: Tables):
         F.struct(*names).alias("properties"),
         geometry.alias("geometry"),
     )
-    t.blocks.select(_collection(feature)).write.text(path)
-    layer = readers.read_polygons(t.spark, path, multi_line=False)
+    writers.write_collections(t.blocks.select(_text(feature)), path, DOCUMENTS)
+    layer = readers.read_polygons(t.spark, path)
     return rounded(
         layer.withColumns(
             {"n_rings": F.size("rings"), "n_points": F.size(F.get(F.col("rings"), 0))}
@@ -126,8 +128,8 @@ def src_geojson_lines(t: Tables):
         properties.alias("properties"),
         geometry.alias("geometry"),
     )
-    t.segments.select(_collection(feature)).write.text(path)
-    layer = readers.read_lines(t.spark, path, multi_line=False)
+    writers.write_collections(t.segments.select(_text(feature)), path, DOCUMENTS)
+    layer = readers.read_lines(t.spark, path)
     return rounded(
         layer.withColumn("n_points", F.size(F.get(F.col("paths"), 0))).drop("paths")
     )
@@ -140,8 +142,8 @@ def src_geojson_lines(t: Tables):
 )
 def src_json(t: Tables):
     path = scratch_path(t.spark, "weather")
-    t.weather.write.json(path)
-    return rounded(readers.read_weather(t.spark, path))
+    writers.write_documents(t.weather.select(_text(F.struct("*"))), path, DOCUMENTS)
+    return rounded(readers.read_weather(t.spark, path, multi_line=True))
 
 
 @query(

@@ -11,6 +11,7 @@ from stopflow.functions import county_of, safe_ratio
 from stopflow.functions.geometry import bounds
 from stopflow.operators.cleaning import nan_to_null
 from stopflow.sources import schemas
+from stopflow.sources.documents import read_records
 
 _POSITION = "array<double>"
 
@@ -49,16 +50,19 @@ def read_traffic(
 def _features(spark: SparkSession, path: str, attributes: str, multi_line: bool) -> DataFrame:
     """One row per GeoJSON feature: its attributes, geometry type and raw coordinates.
 
-    Files hold feature collections, one per file (``multi_line``) or one per line. The second
-    form can be split, which is what to use for a large layer.
+    Files hold feature collections: one document per file (``multi_line``), which several tasks
+    read together, or one collection per line.
     """
     fields = ", ".join(
         "{}:{}".format(*part.split()) for part in attributes.replace("\n", " ").split(",")
     )
-    schema = f"features ARRAY<STRUCT<properties:STRUCT<{fields}>,"
-    schema += "geometry:STRUCT<type:STRING,coordinates:STRING>>>"
-    doc = spark.read.schema(schema).option("multiLine", multi_line).json(path)
-    rows = doc.select(F.explode("features").alias("f"))
+    feature = f"STRUCT<properties:STRUCT<{fields}>,geometry:STRUCT<type:STRING,coordinates:STRING>>"
+    if multi_line:
+        records = read_records(spark, path, "features")
+        rows = records.select(F.from_json("value", feature).alias("f"))
+    else:
+        doc = spark.read.schema(f"features ARRAY<{feature}>").json(path)
+        rows = doc.select(F.explode("features").alias("f"))
     return rows.select("f.properties.*", "f.geometry.type", "f.geometry.coordinates")
 
 
@@ -138,9 +142,12 @@ def tract_profile(polygons: DataFrame) -> DataFrame:
 
 
 def read_weather(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Weather readings: one JSON object per line, or one array per file (``multi_line``)."""
-    reader = spark.read.schema(schemas.WEATHER).option("multiLine", multi_line)
-    return nan_to_null(reader.json(path))
+    """Weather readings: one JSON object per line, or one array per file (``multi_line``), which
+    several tasks read together."""
+    if multi_line:
+        parsed = F.from_json("value", schemas.WEATHER, {"mode": "PERMISSIVE"})
+        return nan_to_null(read_records(spark, path).select(parsed.alias("w")).select("w.*"))
+    return nan_to_null(spark.read.schema(schemas.WEATHER).json(path))
 
 
 def read_csv(
