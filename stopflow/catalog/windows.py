@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stopflow.catalog.aggregates import SNAP_KEYS_SQL, split_sql
+from stopflow.catalog.aggregates import SNAP_KEYS_SQL
 from stopflow.catalog.expressions import haversine_sql
 from stopflow.catalog.joins import TRAFFIC_JOIN_SQL, traffic_joined
 from stopflow.catalog.registry import query, rounded
 from stopflow.catalog.roles import ORDER_SQL, SNAP_SQL, TRIP_SQL, Tables
 from stopflow.operators.enrich import TRAFFIC_VALUES
 from stopflow.operators.snapshots import SNAPSHOT
-from stopflow.operators.splits import best_epoch, hash_split, ordered_split, stratified_fold
+from stopflow.operators.splits import best_epoch, exact_split, ordered_split, stratified_fold
 from stopflow.operators.stats import top_days
 from stopflow.operators.trips import (
     TRIP,
@@ -25,6 +25,7 @@ from stopflow.operators.trips import (
     snapshot_end_rows,
 )
 
+KEY_TEXT_SQL = f"concat_ws('|', {SNAP_KEYS_SQL}, '42')"
 _TRIP_WINDOW = f"(PARTITION BY {TRIP_SQL} ORDER BY {ORDER_SQL}"
 
 
@@ -163,10 +164,15 @@ def _(t: Tables):
 @query(
     "random_split",
     "outbound",
-    f"""SELECT DISTINCT {SNAP_SQL}, {split_sql(SNAP_KEYS_SQL)} AS split FROM outbound""",
+    f"""SELECT {SNAP_SQL}, CASE WHEN place <= n_test THEN 'test'
+               WHEN place <= n_test + ceil((n - n_test) * 0.12::DOUBLE) THEN 'validation'
+               ELSE 'train' END AS split
+        FROM (SELECT *, count(*) OVER () AS n, ceil(count(*) OVER () * 0.2::DOUBLE) AS n_test,
+                     row_number() OVER (ORDER BY md5({KEY_TEXT_SQL})) AS place
+              FROM (SELECT DISTINCT {SNAP_SQL} FROM outbound))""",
 )
 def _(t: Tables):
-    return hash_split(t.outbound.select(*SNAPSHOT).distinct(), SNAPSHOT)
+    return exact_split(t.outbound.select(*SNAPSHOT).distinct(), SNAPSHOT)
 
 
 @query(

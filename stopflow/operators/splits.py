@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stopflow.operators.ordered import rank_in_group
 from stopflow.operators.skew import adaptive_join
+from stopflow.session import stored
 
 HASH_STEPS = 10_000
 
@@ -63,6 +65,60 @@ def hash_split(
     return df.withColumn("split", split)
 
 
+# Ranges in which hashes are counted at once, and hashes few enough to be looked at one by one.
+COUNT_RANGES, FEW_HASHES = 4_096, 20_000
+_DIGITS = 13
+
+
+def _smallest(hashes: DataFrame, k: int) -> str | None:
+    """The k-th smallest of distinct hexadecimal hashes (column ``_h``), by refined counts.
+
+    Each pass counts the hashes in equal ranges of the one that holds the k-th, until few are left.
+    """
+    if k <= 0:
+        return None
+    low, width = 0, 16**_DIGITS
+    place = F.conv(F.substring("_h", 1, _DIGITS), 16, 10).cast("long").alias("_at")
+    placed = hashes.select("_h", place)
+    while True:
+        inside = placed.where((F.col("_at") >= low) & (F.col("_at") < low + width))
+        step = max(width // COUNT_RANGES, 1)
+        counts = inside.groupBy(F.floor((F.col("_at") - low) / step).alias("r")).count().collect()
+        for r in sorted(counts, key=lambda r: r["r"]):
+            if r["count"] >= k:
+                break
+            k -= r["count"]
+        low, width = low + r["r"] * step, step
+        if r["count"] <= FEW_HASHES or width == 1:
+            last = placed.where((F.col("_at") >= low) & (F.col("_at") < low + width))
+            return sorted(h["_h"] for h in last.select("_h").collect())[k - 1]
+
+
+def exact_split(
+    df: DataFrame,
+    keys: Sequence[str],
+    test: float = 0.2,
+    validation: float = 0.12,
+    seed: int = 42,
+) -> DataFrame:
+    """Add ``split``: an exact share of the keys tests, an exact share of the rest validates.
+
+    Shares are rounded up to whole keys. Keys stand in the order of a hash, so membership does not
+    depend on partitioning or repetition; all rows of a key fall into one part.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("\\N")) for k in keys], F.lit(str(seed)))
+    hashed = df.withColumn("_h", F.md5(text))
+    hashes = stored(hashed.select("_h").distinct(), "hashes")
+    n = hashes.count()
+    n_test = math.ceil(n * test)
+    n_validation = math.ceil((n - n_test) * validation)
+    last = [_smallest(hashes, k) for k in (n_test, n_test + n_validation)]
+    # No hash is below the empty string.
+    to_test, to_validation = (F.col("_h") <= F.lit(v or "") for v in last)
+    split = F.when(to_test, "test").when(to_validation, "validation").otherwise("train")
+    return hashed.withColumn("split", split).drop("_h")
+
+
 def stratified_fold(
     df: DataFrame, y: str, order: Sequence[str], n: int = 5, name: str = "is_test"
 ) -> DataFrame:

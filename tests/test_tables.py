@@ -1,11 +1,13 @@
 """Cleaning, scaling, encoding, counts, splits, metrics and readers."""
 
+import math
+from collections import Counter
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from stopflow.operators import metrics, stats
+from stopflow.operators import metrics, splits, stats
 from stopflow.operators.cleaning import (
     dedupe_first,
     drop_nulls,
@@ -21,7 +23,13 @@ from stopflow.operators.enrich import (
     weather_hourly_mean,
 )
 from stopflow.operators.scaling import apply_minmax, fit_minmax, label_encode, minmax
-from stopflow.operators.splits import best_epoch, hash_split, ordered_split, stratified_fold
+from stopflow.operators.splits import (
+    best_epoch,
+    exact_split,
+    hash_split,
+    ordered_split,
+    stratified_fold,
+)
 from stopflow.sources import readers, writers
 
 
@@ -263,3 +271,27 @@ def test_routes_are_pruned(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(route_id" in plan or "route_id" in plan.split(
         "PartitionFilters"
     )[1][:80]
+
+
+@pytest.mark.parametrize("n", [0, 1, 10, 101, 10_007])
+def test_exact_split(spark, monkeypatch, n):
+    # Small ranges, so that the larger tables take several passes.
+    monkeypatch.setattr(splits, "COUNT_RANGES", 16)
+    monkeypatch.setattr(splits, "FEW_HASHES", 40)
+    df = spark.range(n).select(
+        F.when(F.col("id") != 3, F.col("id")).alias("k"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")
+    )
+    got = [
+        {(r["k"], r["copy"]): r["split"] for r in exact_split(df.repartition(p), ["k"]).collect()}
+        for p in (1, 16)
+    ]
+    assert got[0] == got[1] and len(got[0]) == 2 * n
+    assert all(v == got[0][k, 3 - c] for (k, c), v in got[0].items())
+    tests = math.ceil(n * 0.2)
+    validations = math.ceil((n - tests) * 0.12)
+    counts = Counter(got[0].values())
+    want = {"test": 2 * tests, "validation": 2 * validations, "train": 2 * (n - tests - validations)}
+    assert counts == {k: v for k, v in want.items() if v}
+    if n == 10_007:
+        other = {r["k"]: r["split"] for r in exact_split(df, ["k"], seed=7).collect()}
+        assert other != {k: v for (k, _), v in got[0].items()}
