@@ -10,7 +10,7 @@ from stopflow.catalog.roles import SNAP_SQL, Tables
 from stopflow.operators.metrics import report
 from stopflow.operators.snapshots import EDGE
 from stopflow.session import scratch_path
-from stopflow.sources import readers, writers
+from stopflow.sources import readers, snapshot_store, writers
 
 VISIT_COLUMNS = (
     "route_id, transit_date, trip_id, block_abbr, pattern_num, route_direction_name, "
@@ -193,8 +193,8 @@ def sink_parquet_by_route(t: Tables):
 )
 def sink_snapshots(t: Tables):
     path = scratch_path(t.spark, "snapshots")
-    writers.write_snapshots(t.nodes, t.edges, path)
-    nodes, edges = writers.read_snapshots(t.spark, path)
+    snapshot_store.write_snapshots(t.nodes, t.edges, path)
+    nodes, edges = snapshot_store.read_snapshots(t.spark, path)
     keys = list(EDGE[:3])
     per_nodes = nodes.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_nodes"), F.sum("y").alias("sum_y")

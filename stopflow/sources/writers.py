@@ -22,19 +22,6 @@ def write_traffic(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     balanced.write.mode(mode).partitionBy("year", "month").parquet(path)
 
 
-def write_snapshots(
-    nodes: DataFrame, edges: DataFrame, path: str, mode: str = "overwrite"
-) -> None:
-    """Node and edge tables side by side, one directory per date each."""
-    _partitioned(nodes, f"{path}/nodes", "transit_date", mode)
-    _partitioned(edges, f"{path}/edges", "transit_date", mode)
-
-
-def read_snapshots(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    """The node and edge tables of ``write_snapshots``."""
-    return tuple(spark.read.parquet(f"{path}/{part}") for part in ("nodes", "edges"))
-
-
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV files with a header."""
     df.write.mode(mode).option("header", True).csv(path)

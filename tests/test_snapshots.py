@@ -19,7 +19,8 @@ from stopflow.operators.snapshots import (
     static_nodes,
     with_edges,
 )
-from stopflow.sources.writers import read_snapshots, write_snapshots
+from stopflow.sources import snapshot_store
+from stopflow.sources.snapshot_store import read_snapshots, write_snapshots
 
 DAY = date(2024, 1, 1)
 
@@ -179,3 +180,55 @@ def test_snapshots_round_trip(spark, visits, tmp_path):
     got_nodes, got_edges = read_snapshots(spark, str(tmp_path / "graphs"))
     assert got_nodes.count() == 5 and got_edges.count() == 3
     assert set(SNAPSHOT) <= set(got_nodes.columns)
+
+
+def _store(spark, dates, value):
+    rows = [(d, i, float(value)) for d in dates for i in range(4)]
+    df = spark.createDataFrame(rows, "transit_date string, stop_id int, x double")
+    return df.withColumn("transit_date", F.to_date("transit_date"))
+
+
+def _found(spark, path, number=None):
+    return [sorted({(str(r.transit_date), r.x) for r in t.collect()}) for t in read_snapshots(spark, path, number)]
+
+
+def test_snapshot_versions(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    a, b, c = "2024-01-01", "2024-01-02", "2024-01-03"
+    with pytest.raises(FileNotFoundError):
+        read_snapshots(spark, path)
+    write_snapshots(_store(spark, [a, b], 1), _store(spark, [a, b], 1), path)
+    assert _found(spark, path) == [[(a, 1.0), (b, 1.0)]] * 2
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
+    # One date is replaced, one is new; the other keeps its files.
+    write_snapshots(_store(spark, [b, c], 2), _store(spark, [c], 2), path, mode="dates")
+    assert _found(spark, path) == [[(a, 1.0), (b, 2.0), (c, 2.0)], [(a, 1.0), (c, 2.0)]]
+    assert all(p.stat().st_mtime_ns == t for p, t in files.items())
+    assert _found(spark, path, 1) == [[(a, 1.0), (b, 1.0)]] * 2
+    with pytest.raises(ValueError):
+        write_snapshots(_store(spark, [a], 3), _store(spark, [a], 3), path, mode="append")
+
+    # A failure between the two tables, and one right before the commit, leave the old pair.
+    broken = _store(spark, [a], 4).withColumn("x", F.raise_error(F.lit("stop")).cast("double"))
+    with pytest.raises(Exception, match="stop"):
+        write_snapshots(_store(spark, [a, b, c], 4), broken, path)
+    before = _found(spark, path)
+    monkeypatch.setattr(snapshot_store._Files, "commit", lambda *_: (_ for _ in ()).throw(OSError("cut")))
+    with pytest.raises(OSError):
+        write_snapshots(_store(spark, [a], 5), _store(spark, [a], 5), path)
+    monkeypatch.undo()
+    assert _found(spark, path) == before == [[(a, 1.0), (b, 2.0), (c, 2.0)], [(a, 1.0), (c, 2.0)]]
+
+    # A second writer that began from the same version cannot commit.
+    old = snapshot_store.manifest(spark, path)
+    write_snapshots(_store(spark, [a], 6), _store(spark, [a], 6), path)
+    monkeypatch.setattr(snapshot_store, "manifest", lambda *_: old)
+    with pytest.raises(RuntimeError):
+        write_snapshots(_store(spark, [a], 7), _store(spark, [a], 7), path)
+    monkeypatch.undo()
+    assert _found(spark, path) == [[(a, 6.0)]] * 2
+    gone = snapshot_store.prune_snapshots(spark, path)
+    assert len(gone) > 6 and _found(spark, path) == [[(a, 6.0)]] * 2
+    none = _store(spark, [a], 8).limit(0)
+    write_snapshots(none, none, path)
+    assert _found(spark, path) == [[], []] and read_snapshots(spark, path)[0].columns == none.columns
