@@ -1,4 +1,5 @@
-"""Baseline classifiers as Spark ML pipelines on ``snapshot_class_mean`` rows."""
+"""Baseline classifiers on ``snapshot_class_mean`` rows: a forest of Spark ML, boosted trees and a
+perceptron of this library."""
 
 from __future__ import annotations
 
@@ -6,44 +7,22 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
-from pyspark.ml.classification import (
-    GBTClassifier,
-    MultilayerPerceptronClassifier,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stopflow.operators import boosting, perceptron
 from stopflow.operators.snapshots import FEATURES
 
 CLASSES = 4
-HIDDEN_UNITS = 100
+# The deepest trees Spark ML grows.
+FULL_DEPTH = 30
 
 
-def random_forest(trees: int = 500, seed: int = 42) -> Estimator:
+def random_forest(trees: int = 500, seed: int = 42, depth: int = FULL_DEPTH) -> Estimator:
     return RandomForestClassifier(
-        labelCol="y", featuresCol="features", numTrees=trees, seed=seed
-    )
-
-
-def perceptron(iterations: int = 1000, seed: int = 1, classes: int = CLASSES) -> Estimator:
-    return MultilayerPerceptronClassifier(
-        labelCol="y",
-        featuresCol="features",
-        layers=[len(FEATURES), HIDDEN_UNITS, classes],
-        maxIter=iterations,
-        seed=seed,
-    )
-
-
-def boosted_trees(
-    rounds: int = 100, depth: int = 6, step: float = 0.3, seed: int = 42
-) -> Estimator:
-    binary = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed)
-    return OneVsRest(
-        classifier=binary, labelCol="y", featuresCol="features", parallelism=CLASSES
+        labelCol="y", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed
     )
 
 
@@ -64,7 +43,21 @@ def train(
     return Pipeline(stages=[assembler, estimator]).fit(as_examples(rows, features))
 
 
-def batch_score(model: PipelineModel, rows: DataFrame, *keep: str) -> DataFrame:
+def train_perceptron(
+    rows: DataFrame, settings: perceptron.Settings | None = None, features: Sequence[str] = FEATURES
+) -> perceptron.Model:
+    return perceptron.fit(as_examples(rows, features), features, settings)
+
+
+def train_boosted_trees(
+    rows: DataFrame, settings: boosting.Settings | None = None, features: Sequence[str] = FEATURES
+) -> boosting.Model:
+    return boosting.fit(as_examples(rows, features), features, settings)
+
+
+def batch_score(
+    model: PipelineModel | perceptron.Model | boosting.Model, rows: DataFrame, *keep: str
+) -> DataFrame:
     """Predicted class next to the true one."""
     scored = model.transform(as_examples(rows))
     return scored.select(

@@ -31,6 +31,8 @@ STEP = 2.0**-24
 # Gains up to this are none.
 LEAST_GAIN = 1e-6
 STORE_EVERY = 10
+# Rows that a task of its own is worth.
+TASK_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -186,7 +188,7 @@ def _state(y: np.ndarray, bins: np.ndarray, margin: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(values, names=["y", "bins", "margin"])
 
 
-def _start(rows: DataFrame, model: Model) -> DataFrame:
+def _start(rows: DataFrame, model: Model, tasks: int) -> DataFrame:
     cuts, classes = model.cuts, model.settings.classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +197,9 @@ def _start(rows: DataFrame, model: Model) -> DataFrame:
             values = np.column_stack([batch.column(f).to_numpy() for f in model.features])
             yield _state(y, binned(values, cuts), np.zeros((len(y), classes)))
 
-    return stored(rows.select("y", *model.features).mapInArrow(run, _STATE), "margins")
+    # Few rows are few files: every level starts a task for each.
+    dealt = rows.select("y", *model.features).coalesce(tasks)
+    return stored(dealt.mapInArrow(run, _STATE), "margins")
 
 
 def _advanced(state: DataFrame, rounds: list[Round], s: Settings) -> DataFrame:
@@ -249,7 +253,7 @@ def fit(rows: DataFrame, features: Sequence[str], settings: Settings | None = No
     if s.bins > 256:
         raise ValueError("at most 256 bins")
     model = Model(list(features), quantile_cuts(rows, features, s.bins), s)
-    state = _start(rows, model)
+    state = _start(rows, model, -(-rows.count() // TASK_ROWS) or 1)
     since: list[Round] = []
     for _ in range(s.rounds):
         tree = Round.empty(s)
