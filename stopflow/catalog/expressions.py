@@ -25,6 +25,7 @@ from stopflow.functions import (
 from stopflow.functions.scalars import DIRECTION_CODES, KNOWN_CAPACITIES
 from stopflow.operators.cleaning import drop_nulls, fill_constant, percent_to_fraction
 from stopflow.operators.enrich import WEATHER_VALUES, join_weather, weather_hourly_mean
+from stopflow.operators.periods import with_period
 
 ORDER_PERIODS = (
     ("September 1995", "1995-09-13", "1996-04-10"),
@@ -33,6 +34,32 @@ ORDER_PERIODS = (
     ("April 1998", "1998-04-03", "1999-10-01"),
     ("October 1999", "1999-10-02", "2000-04-01"),
 )
+# The first two months in which a customer ordered, as periods that overlap.
+_CUSTOMER_PERIODS = """
+    SELECT CAST(o_custkey AS VARCHAR) AS period, CAST(min(o_orderdate) AS DATE) AS start_date,
+           least(CAST(max(o_orderdate) AS DATE), CAST(min(o_orderdate) AS DATE) + 60) AS end_date
+    FROM orders GROUP BY o_custkey
+"""
+
+
+@query(
+    "period_table",
+    "",
+    f"""SELECT o_orderkey, (
+          SELECT arg_min(period, ROW(-epoch(start_date), epoch(end_date), period))
+          FROM ({_CUSTOMER_PERIODS}) WHERE CAST(o_orderdate AS DATE) BETWEEN start_date AND end_date
+        ) AS period FROM orders""",
+)
+def _(t: Tables):
+    """The same by a join, for a period of every customer."""
+    orders = t.table("orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"))
+    first, last = F.min("day"), F.max("day")
+    periods = orders.groupBy(F.col("o_custkey").cast("string").alias("period")).agg(
+        first.alias("start_date"), F.least(last, F.date_add(first, 60)).alias("end_date")
+    )
+    return with_period(orders.drop("o_custkey"), periods, "day").select("o_orderkey", "period")
+
+
 _PERIOD_SQL = " ".join(
     f"WHEN CAST(o_orderdate AS DATE) BETWEEN DATE '{lo}' AND DATE '{hi}' THEN '{name}'"
     for name, lo, hi in ORDER_PERIODS

@@ -1,8 +1,9 @@
 """Cleaning, scaling, encoding, counts, splits, metrics and readers."""
 
 import math
+import random
 from collections import Counter
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from stopflow.operators.enrich import (
     traffic_slots,
     weather_hourly_mean,
 )
+from stopflow.operators.periods import with_period
 from stopflow.operators.scaling import apply_minmax, fit_minmax, label_encode, minmax
 from stopflow.operators.splits import (
     best_epoch,
@@ -295,3 +297,25 @@ def test_exact_split(spark, monkeypatch, n):
     if n == 10_007:
         other = {r["k"]: r["split"] for r in exact_split(df, ["k"], seed=7).collect()}
         assert other != {k: v for (k, _), v in got[0].items()}
+
+
+def test_with_period_equals_brute_force(spark):
+    rng = random.Random(2)
+    day = lambda: date(2020, 1, 1) + timedelta(days=rng.randrange(1500))
+    periods = [("zero", None, day()), ("back", date(2021, 5, 2), date(2021, 5, 1)), ("one", date(2021, 3, 31), date(2021, 3, 31))]
+    for i in range(300):
+        start = day()
+        periods.append((f"p{i}", start, start + timedelta(days=rng.choice([0, 3, 40, 700]))))
+    periods += [("b", date(2025, 1, 1), date(2025, 1, 9)), ("a", date(2025, 1, 1), date(2025, 1, 9))]
+    days = [day() for _ in range(200)] + [None, date(2025, 1, 9), date(1999, 1, 1), date(2021, 3, 31)]
+    rows = spark.createDataFrame(list(enumerate(days * 2)), "id int, day date").withColumn("period", F.lit("old"))
+    table = spark.createDataFrame(periods, "period string, start_date date, end_date date")
+    joined = with_period(rows, table, "day")
+    got = {r.id: r.period for r in joined.collect()}
+    for i, d in enumerate(days * 2):
+        held = [p for p in periods if d and p[1] and p[1] <= d <= p[2]]
+        best = min(held, key=lambda p: (-p[1].toordinal(), p[2], p[0]), default=(None,))
+        assert got[i] == best[0]
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert joined.columns == ["id", "day", "period"]
