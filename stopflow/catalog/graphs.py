@@ -81,12 +81,10 @@ def _(t: Tables):
     "drop_edgeless_snapshots",
     "nodes edges",
     f"""SELECT {SNAP_SQL}, stop_id, y FROM nodes
-        WHERE ({SNAP_SQL}) IN (SELECT ({SNAP_SQL}) FROM edges WHERE displacement > 0.8)""",
+        WHERE ({SNAP_SQL}) IN (SELECT ({SNAP_SQL}) FROM edges)""",
 )
 def _(t: Tables):
-    # Long edges only, so that some snapshots have none.
-    long_edges = t.edges.where(F.col("displacement") > 0.8)
-    return with_edges(t.nodes, long_edges).select(*NODE, "y")
+    return with_edges(t.nodes, t.edges).select(*NODE, "y")
 
 
 @query(
@@ -111,7 +109,8 @@ def _(t: Tables):
              count(*) FILTER (b.source IS NULL) AS one_way
       FROM edges e LEFT JOIN edges b
       ON b.transit_date = e.transit_date AND b.direction = e.direction AND b.slot = e.slot
-         AND b.source = e.target AND b.target = e.source AND b.displacement = e.displacement
+         AND b.source = e.target AND b.target = e.source
+         AND {" AND ".join(f"b.{c} IS NOT DISTINCT FROM e.{c}" for c in EDGE_ATTRIBUTES)}
       GROUP BY 1, 2, 3) USING ({SNAP_SQL})
     """,
 )

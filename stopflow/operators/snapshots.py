@@ -184,7 +184,7 @@ def edge_lines(edges: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def graph_stats(
-    nodes: DataFrame, edges: DataFrame, attrs: Sequence[str] = ("displacement",)
+    nodes: DataFrame, edges: DataFrame, attrs: Sequence[str] = EDGE_ATTRIBUTES
 ) -> DataFrame:
     """Size and shape of every snapshot.
 

@@ -1,8 +1,11 @@
+import math
+import random
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from stopflow.operators import propagation
 from stopflow.operators.propagation import khop
 from stopflow.operators.snapshots import (
     EDGE_ATTRIBUTES,
@@ -232,3 +235,70 @@ def test_snapshot_versions(spark, tmp_path, monkeypatch):
     none = _store(spark, [a], 8).limit(0)
     write_snapshots(none, none, path)
     assert _found(spark, path) == [[], []] and read_snapshots(spark, path)[0].columns == none.columns
+
+
+def test_undirected_needs_every_attribute_alike(visits):
+    nodes, edges = dynamic_nodes(visits), snapshot_edges(visits).where("target <> 9")
+    for attr in EDGE_ATTRIBUTES:
+        uneven = edges.withColumn(attr, F.when(F.col("source") < F.col("target"), 1.0).otherwise(2.0))
+        assert not graph_stats(nodes, uneven).where("slot = 1").first()["is_undirected"], attr
+        missing = edges.withColumn(attr, F.lit(None).cast("double"))
+        assert graph_stats(nodes, missing).where("slot = 1").first()["is_undirected"], attr
+
+
+def _exchanges(df):
+    """Exchanges of the plan after execution."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    found = []
+
+    def walk(node):
+        if node.nodeName() in ("Exchange", "BroadcastExchange"):
+            found.append(node.nodeName())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+        if node.nodeName() == "AdaptiveSparkPlan":
+            walk(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            walk(node.plan())
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+def test_a_round_of_propagation_exchanges_messages_only(spark):
+    rng = random.Random(3)
+    snaps = [(DAY, "a", s) for s in range(3)]
+    nodes = [(*k, i, rng.random()) for k in snaps for i in range(40)]
+    edges = [(*k, rng.randrange(40), rng.randrange(40), rng.random()) for k in snaps for _ in range(200)]
+    keys = "transit_date date, {} , {}".format(*(f"{c} {t}" for c, t in zip(SNAPSHOT[1:], ("string", "int"))))
+    n = spark.createDataFrame(nodes, f"{keys}, stop_id int, x double")
+    e = spark.createDataFrame(edges, f"{keys}, source int, target int, displacement double")
+    first = propagation.bucketed(n.select(*NODE, "x"), NODE, "terms")
+    norm = propagation.bucketed(propagation.normalised_edges(e), propagation.SOURCE, "laplacian")
+    second = propagation.next_term(norm, first, None, ["x"])
+    assert _exchanges(second) == ["Exchange"]
+    kept = propagation.bucketed(second, NODE, "terms", dealt=True)
+    assert _exchanges(propagation.next_term(norm, kept, first, ["x"])) == ["Exchange"]
+    whole = khop(n, e, 3, ["x"])
+    assert _exchanges(whole) == [] and whole.count() == 120
+    # The recurrence in plain terms.
+    for key in snaps:
+        own = [r for r in edges if r[:3] == key and r[3] != r[4]]
+        deg = {}
+        for r in own:
+            deg[r[3]] = deg.get(r[3], 0) + r[5]
+        x = {r[3]: r[4] for r in nodes if r[:3] == key}
+
+        def spread(v):
+            out = dict.fromkeys(x, 0.0)
+            for r in own:
+                if deg.get(r[3], 0) > 0 and deg.get(r[4], 0) > 0:
+                    out[r[4]] -= r[5] / math.sqrt(deg[r[3]] * deg[r[4]]) * v[r[3]]
+            return out
+
+        t1 = spread(x)
+        t2 = {i: 2 * v - x[i] for i, v in spread(t1).items()}
+        for r in whole.where(F.col(SNAPSHOT[2]) == key[2]).collect():
+            got = (r.t0_x, r.t1_x, r.t2_x)
+            assert got == pytest.approx((x[r.stop_id], t1[r.stop_id], t2[r.stop_id]), abs=1e-9)
