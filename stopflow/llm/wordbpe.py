@@ -23,7 +23,7 @@ from stopflow.llm.text import END, chunks, spans, text_bytes, token_table, trim
 from stopflow.session import scratch_path
 
 # Text bytes of a block, and of the documents that leave a task together.
-BLOCK_BYTES, OUT_BYTES = 20 << 20, 4 << 20
+BLOCK_BYTES, OUT_BYTES = 10 << 20, 4 << 20
 
 
 @functools.cache
@@ -53,6 +53,7 @@ def blocks(docs: DataFrame, shards: int) -> DataFrame:
     def run(batches):
         for rest, texts in chunks(batches, limit=BLOCK_BYTES):
             codes, words, starts = token_table(texts, None)
+            texts.clear()
             codes = np.delete(codes, starts[1:] - 1)
             lengths = np.diff(starts) - 1
             # The end marks go; numbers above theirs move down by one.
@@ -74,6 +75,12 @@ def blocks(docs: DataFrame, shards: int) -> DataFrame:
             dealt: list[list[bytes]] = [[] for _ in range(shards)]
             for w, s in zip(words, shard.tolist(), strict=True):
                 dealt[s].append(w)
+            del words, counts, group, order
+            sent = []
+            for x in dealt:
+                sent.append(zstd(b" ".join(x)) if x else None)
+                x.clear()
+            trim()
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([xxhash.xxh3_64_intdigest(os.urandom(16)) >> 1], pa.int64()),
@@ -81,10 +88,7 @@ def blocks(docs: DataFrame, shards: int) -> DataFrame:
                     pa.array([packed(lengths)]),
                     pa.array([packed(rank[codes])]),
                     pa.array([packed(shard)]),
-                    pa.array(
-                        [[zstd(b" ".join(x)) if x else None for x in dealt]],
-                        pa.list_(pa.binary()),
-                    ),
+                    pa.array([sent], pa.list_(pa.binary())),
                 ],
                 names=["block", "doc_ids", "lengths", "codes", "shard_of", "words"],
             )
