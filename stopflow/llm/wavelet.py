@@ -135,7 +135,10 @@ def _cuts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     wide |= (two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF))
     wide |= ((two == 0x81) & (one == 0x9F)) | ((two == 0x9A) & (one == 0x80))
     wide |= (one >= 0x1C) & (one <= 0x1F)
-    return np.union1d(at[~wide], starts)
+    cut = np.zeros(len(raw), dtype=bool)
+    cut[at[~wide]] = True
+    cut[starts] = True
+    return np.flatnonzero(cut)
 
 
 class _Known:
