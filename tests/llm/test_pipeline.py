@@ -46,3 +46,43 @@ def test_toxic_documents_go_by_the_threshold_of_their_language(spark, monkeypatc
     kept = corpus_pipeline.drop_toxic(spark, docs, SF)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {1, 3, 5, 7}
+
+
+AWKWARD = [
+    (1, "a plain text of some words that stays here", "en", "web"),
+    (2, "a plain text of some words that stays here", "en", "web"),
+    (3, None, "en", "web"),
+    (4, "", None, None),
+    (5, " \n\t ", "de", "web"),
+    (None, "no id but some words", None, "books"),
+    (None, None, None, None),
+    (7, "said twice word for word", "fr", None),
+    (7, "said twice word for word", "fr", None),
+    (8, "long " * 200_000, "en", "books"),
+]
+
+
+def test_stages_on_awkward_rows(spark):
+    columns = spark.read.parquet(f"{SF}/documents.parquet").columns
+    rows = [(*r, len(r[1] or "")) for r in AWKWARD]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert docs.columns == columns
+    names = ("_score", "_score_", "score", "size", "key", "ids", "node", "copy")
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in names})
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        kept[name] = out.collect()
+        assert all(r[c] == f"own {c}" for r in kept[name] for c in names), name
+    assert len(kept["toxicity"]) == len(rows)
+    assert Counter(r.doc_id for r in kept["near_duplicates"]) == Counter([1, 3, 4, 5, None, None, 7, 7, 8])
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows)
+    assert {r.n_tokens for r in out if r.doc_id in (3, 4, 5)} == {0}
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name
