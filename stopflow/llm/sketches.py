@@ -27,6 +27,8 @@ from stopflow.session import stored
 
 SKETCH, LONG_SKETCH = 64, 512
 DEVIATIONS = 5.5
+# Least values of a node that its list entries carry, to tell whether a pair has met before.
+EARLY = 8
 
 _FACTOR = [mixed(np.array([i + 1], dtype=np.uint64))[0] | np.uint64(1) for i in range(64)]
 
@@ -95,11 +97,12 @@ def _sampled_share(percent: int, k: int) -> float:
 
 
 def inverted_lists(classes: DataFrame, percent: int, k: int) -> DataFrame:
-    """value, node, n_shingles, weight, need, rest: every node under its rarest shared values.
+    """value, node, n_shingles, weight, need, rest, early: every node under its rarest shared values.
 
     ``weight`` sums the list lengths of the node's values and is high for the middle of a group;
     ``need`` is the overlap it needs with any partner, and ``rest`` counts the values from this
     one on, rarest first, which bounds the overlap of a pair whose first common value it is.
+    ``early`` are the least of the values that the node is listed under, each with its ``rest``.
     """
     values = classes.select("node", F.explode("sketch").alias("value"))
     sizes = values.groupBy("value").agg(F.count("*").alias("f")).where("f > 1")
@@ -119,8 +122,13 @@ def inverted_lists(classes: DataFrame, percent: int, k: int) -> DataFrame:
     need = F.greatest(F.ceil(held * share - 1e-9), F.lit(1))
     per_node = per_node.withColumn("need", need.cast("int")).where("size(list) >= need")
     rarest = F.slice("list", F.lit(1), F.size("list") - F.col("need") + 1)
+    own = F.transform(
+        rarest,
+        lambda e, i: F.named_struct(F.lit("value"), e["value"], F.lit("rest"), F.size("list") - i),
+    )
+    early = F.slice(F.array_sort(own), 1, EARLY).alias("early")
     return per_node.select(
-        "node", "n_shingles", "weight", "need", "list", F.posexplode(rarest).alias("at", "e")
+        "node", "n_shingles", "weight", "need", "list", early, F.posexplode(rarest).alias("at", "e")
     ).select(
         F.col("e.value").alias("value"),
         "node",
@@ -128,15 +136,36 @@ def inverted_lists(classes: DataFrame, percent: int, k: int) -> DataFrame:
         "weight",
         "need",
         (F.size("list") - F.col("at")).alias("rest"),
+        "early",
     )
 
 
-def _reachable(percent: int, k: int):
-    """Whether the values left from a common one on can make up the overlap that a pair needs."""
+def _needed(percent: int, k: int):
+    """The overlap of the sketches that a pair needs."""
     whole = F.greatest("n_a", "n_b") * 100 <= k * percent
     exact = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100.0 + percent) - 1e-9)
-    need = F.when(whole, exact).otherwise(F.greatest("need_a", "need_b"))
-    return F.least("rest_a", "rest_b") >= need
+    return F.when(whole, exact).otherwise(F.greatest("need_a", "need_b"))
+
+
+def _reachable(percent: int, k: int):
+    """Whether the values left from a common one on can make up the overlap that a pair needs."""
+    return F.least("rest_a", "rest_b") >= _needed(percent, k)
+
+
+def _met_before(percent: int, k: int):
+    """Whether the pair is reachable from a smaller common value among the least of both, too.
+
+    There it is proposed as well, so that similar sets do not meet under all they share.
+    """
+    need = _needed(percent, k)
+
+    def too(x, y):
+        return (x["value"] == y["value"]) & (F.least(x["rest"], y["rest"]) >= need)
+
+    return F.exists(
+        "early_a",
+        lambda x: (x["value"] < F.col("value")) & F.exists("early_b", lambda y: too(x, y)),
+    )
 
 
 def _comparable(percent: int):
@@ -212,7 +241,7 @@ def near_duplicates(
         ),
         "classes",
     )
-    lists = stored(inverted_lists(classes, percent, k), "lists")
+    lists = stored(inverted_lists(classes, percent, k).drop("early"), "lists")
 
     top = lists.groupBy("value").agg(
         F.max(F.struct("weight", (-F.col("node")).alias("minus"), "n_shingles")).alias("h"),
@@ -256,12 +285,12 @@ def near_duplicates(
     )
     long_lists = inverted_lists(longer, percent, LONG_SKETCH).join(doubtful, "node")
     long_lists = stored(long_lists.drop("weight"), "long_lists")
-    left = long_lists.toDF("a", "value", "n_a", "need_a", "rest_a", "ca")
-    right = long_lists.toDF("b", "value", "n_b", "need_b", "rest_b", "cb")
+    left = long_lists.toDF("a", "value", "n_a", "need_a", "rest_a", "early_a", "ca")
+    right = long_lists.toDF("b", "value", "n_b", "need_b", "rest_b", "early_b", "cb")
     crossing = (
-        left.join(right, "value")
+        left.join(right.withColumnRenamed("value", "met"), F.col("value") == F.col("met"))
         .where((F.col("ca") < F.col("cb")) & _comparable(percent))
-        .where(_reachable(percent, LONG_SKETCH))
+        .where(_reachable(percent, LONG_SKETCH) & ~_met_before(percent, LONG_SKETCH))
         .select("a", "b")
         .distinct()
     )
