@@ -50,6 +50,32 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+SQL["op10_minhash_near_dedup"] = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+  FROM texts, range(1, CASE WHEN len(w) = 0 THEN 1 ELSE greatest(len(w) - 3, 1) + 1 END) AS t(i)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+near AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 80 * (x.n + y.n - c)),
+links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reached AS (
+  SELECT doc_id AS node, doc_id AS other FROM documents
+  UNION SELECT r.node, l.b FROM reached r JOIN links l ON r.other = l.a),
+components AS (SELECT node, min(other) AS component FROM reached GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component AS component_id,
+  component = d.doc_id AS kept
+FROM documents d JOIN components c ON c.node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str, learn) -> toxicity.Model:
     """Fit on the labelled documents that the condition leaves for learning."""
     labels = table(spark, sf_dir, "labels").where(learn)
@@ -235,6 +261,28 @@ def op5_pruned_graph_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annlinks.linked(table(spark, sf_dir, "embeddings"))
 
 
+SQL["op5_pruned_graph_links"] = r"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND list_inner_product(a.v, b.v)
+    / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.98),
+reached AS (
+  SELECT vec_id AS node, vec_id AS other FROM embeddings
+  UNION SELECT r.node, l.b FROM reached r JOIN links l ON r.other = l.a),
+components AS (SELECT node, min(other) AS component FROM reached GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component AS component_id,
+  component = e.vec_id AS kept
+FROM embeddings e JOIN components c ON c.node = e.vec_id LEFT JOIN counts k ON k.a = e.vec_id
+"""
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """doc_id and text; in a tenth of the documents the words from some place on are periodic.
 
