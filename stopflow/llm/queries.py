@@ -164,8 +164,9 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoded_digests(docs: DataFrame) -> DataFrame:
-    rows = wordbpe.encode_decode(docs, tokenizer_path("word_bpe_49k.json"))
+def encoded_digests(docs: DataFrame, block_bytes: int = wordbpe.BLOCK_BYTES) -> DataFrame:
+    path = tokenizer_path("word_bpe_49k.json")
+    rows = wordbpe.encode_decode(docs, path, block_bytes=block_bytes)
     return rows.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

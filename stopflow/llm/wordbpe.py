@@ -47,11 +47,11 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
-def blocks(docs: DataFrame, shards: int) -> DataFrame:
+def blocks(docs: DataFrame, shards: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents as word numbers, with the distinct words of the block by shard."""
 
     def run(batches):
-        for rest, texts in chunks(batches, limit=BLOCK_BYTES):
+        for rest, texts in chunks(batches, limit=block_bytes):
             codes, words, starts = token_table(texts, None)
             texts.clear()
             codes = np.delete(codes, starts[1:] - 1)
@@ -153,17 +153,20 @@ def _bucketed(made: DataFrame, buckets: int) -> DataFrame:
     return rows
 
 
-def encode_decode(docs: DataFrame, path: str, shards: int | None = None) -> DataFrame:
+def encode_decode(
+    docs: DataFrame, path: str, shards: int | None = None, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers) and the decoded text of each row.
 
     Equal to encoding the whole text with the tokenizer file at ``path`` without special tokens
     added, and decoding the ids with special tokens kept: this tokenizer drops white space, so
     words between ASCII white space are encoded apart. A missing or empty text has no ids;
     repeated rows and missing ids are rows like any other, other columns are ignored.
+    Smaller blocks take less memory of a task and repeat more words.
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = _bucketed(blocks(docs, shards), shards)
+    made = _bucketed(blocks(docs, shards, block_bytes), shards)
     words = encoded_words(made, path).groupBy("block").agg(
         F.collect_list(F.struct("shard", "counts", "ids")).alias("found")
     )
