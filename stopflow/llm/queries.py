@@ -77,9 +77,9 @@ FROM documents d JOIN components c ON c.node = d.doc_id LEFT JOIN sizes s ON s.d
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, learn) -> toxicity.Model:
-    """Fit on the labelled documents that the condition leaves for learning."""
+    """Fit on all labelled documents that the condition leaves for learning."""
     labels = table(spark, sf_dir, "labels").where(learn)
-    return toxicity.fit(table(spark, sf_dir, "documents"), labels)
+    return toxicity.fit_all(table(spark, sf_dir, "documents"), labels)
 
 
 @query

@@ -7,9 +7,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stopflow.llm import histsort, licenses, lmscore, mixing, sketches, toxicity, wavelet, wordbpe
-from stopflow.llm.queries import tokenizer_path
+from stopflow.llm.queries import tokenizer_path, toxicity_model
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -255,6 +256,59 @@ def test_toxicity_thresholds_see_both_classes(spark, fitted_rows, monkeypatch):
     assert 0.2 < fitted_rows["held"].mean() < 0.8
 
 
+def test_toxicity_model_learns_from_every_labelled_row(spark, tmp_path, monkeypatch):
+    """With room for a few rows only in the first fit: rare words come from all the others."""
+    monkeypatch.setattr(toxicity, "FIT_TOXIC", 4)
+    monkeypatch.setattr(toxicity, "FIT_CLEAN", 8)
+    monkeypatch.setattr(toxicity, "STEPS", 100)
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(6000):
+        words = [f"w{x}" for x in rng.integers(0, 100, 12)]
+        if k % 3 == 0:
+            words[int(rng.integers(0, 12))] = f"{k // 3 % 40}vile"
+        rows.append((k, " ".join(words), ["en", None][k % 2], int(k % 3 == 0)))
+    schema = "doc_id long, text string, lang string, toxic int"
+    docs = spark.createDataFrame(rows, schema)
+    docs.drop("toxic").write.parquet(f"{tmp_path}/documents.parquet")
+    docs.select("doc_id", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    learnt, passes = toxicity._descended, []
+
+    def counted(given, *rest):
+        passes.append(given.count())
+        return learnt(given, *rest)
+
+    monkeypatch.setattr(toxicity, "_descended", counted)
+    model = toxicity_model(spark, str(tmp_path), F.expr("doc_id < 5400"))
+    assert passes and all(0.75 * 5400 <= n <= 0.85 * 5400 for n in passes)
+    assert set(model.thresholds) == {"en"}
+    new = docs.where("doc_id >= 5400").drop("lang")
+    scored = toxicity.with_scores(new, model).collect()
+    toxic = [r.score for r in scored if r.toxic]
+    clean = [r.score for r in scored if not r.toxic]
+    pairs = np.mean([np.mean(np.array(clean) < s) for s in toxic])
+    assert pairs > 0.95
+
+
+def test_toxicity_thresholds_by_counts(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for lang, noise in (("en", 0.02), ("de", 0.2), ("fr", 0.0)):
+        for s in np.floor(rng.random(3000) * toxicity.SCORE_STEPS) / toxicity.SCORE_STEPS:
+            rows.append((lang, float(s), int(rng.random() > noise if s > 0.6 else rng.random() < s / 2)))
+    rows += [(None, 0.9, 1), ("it", 0.99, 0), ("pt", 0.95, 1), ("nl", 0.3, 1)]
+    expected = {}
+    for lang in {r[0] for r in rows} - {None}:
+        own = [r[1:] for r in rows if r[0] == lang]
+        good = [
+            t for t, _ in own
+            if np.mean([y for s, y in own if s >= t]) >= toxicity.PRECISION
+        ]
+        expected[lang] = float(np.clip(min(good, default=toxicity.THRESHOLD), 0.5, 0.9))
+    scored = spark.createDataFrame(rows, "lang string, score double, toxic int")
+    assert toxicity.grid_thresholds(scored) == expected
+
+
 def test_shards(spark, corpus, nothing):
     hot = spark.createDataFrame([(k, "same text again") for k in range(100, 700)], "doc_id long, text string")
     docs = corpus.select("doc_id", "text").union(hot)
