@@ -7,6 +7,7 @@ place of its k-th occurrence without being unpacked, and all tokens when read in
 
 from __future__ import annotations
 
+import functools
 from array import array
 
 import numpy as np
@@ -25,6 +26,8 @@ from stopflow.session import stored
 TEXT_BYTES, FILE_TOKENS = 8 << 20, 1 << 22
 # Pieces whose ids a worker process remembers from task to task.
 KNOWN_PIECES = 800_000
+# New pieces that are encoded as one text.
+JOINED_PIECES = 256
 END_ID = 0
 NO_ID = -(1 << 63)
 
@@ -153,31 +156,68 @@ class _Known:
 _KNOWN: dict[str, _Known] = {}
 
 
+@functools.cache
+def _token_bytes(path: str) -> np.ndarray:
+    """Bytes that each id of a byte-level tokenizer stands for."""
+    encode = tokenizer(path)
+    sizes = {i: len(token) for token, i in encode.get_vocab().items()}
+    sizes |= {i: len(t.content.encode()) for i, t in encode.get_added_tokens_decoder().items()}
+    out = np.zeros(max(sizes, default=0) + 1, dtype=np.int64)
+    out[list(sizes)] = list(sizes.values())
+    return out
+
+
+def _fresh_ids(pieces: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pieces in order and their number per piece.
+
+    Pieces are joined where they may be cut again and told apart by the bytes of their tokens; where
+    these do not meet the borders, each is encoded by itself.
+    """
+    encode = tokenizer(path)
+    ends = np.cumsum([len(p) for p in pieces])
+    starts = np.append(0, ends[:-1])
+    raw = b"".join(pieces)
+    cuts = _cuts(np.frombuffer(raw, dtype=np.uint8), starts[:1])
+    joined = cuts[np.minimum(np.searchsorted(cuts, starts), len(cuts) - 1)] == starts
+    joined[::JOINED_PIECES] = False
+    heads = starts[~joined].tolist()
+    texts = [raw[x:y].decode() for x, y in zip(heads, [*heads[1:], len(raw)], strict=True)]
+    found = [e.ids for e in encode.encode_batch_fast(texts, add_special_tokens=False)]
+    ids = np.array([i for x in found for i in x], dtype=np.uint32)
+    at = np.append(0, np.cumsum(_token_bytes(path)[ids]))
+    upto = np.searchsorted(at, ends)
+    if at[-1] == ends[-1] and (at[upto] == ends).all():
+        return ids, np.diff(upto, prepend=0)
+    parts = [p.decode() for p in pieces]
+    found = [e.ids for e in encode.encode_batch_fast(parts, add_special_tokens=False)]
+    ids = np.array([i for x in found for i in x], dtype=np.uint32)
+    return ids, np.array([len(x) for x in found], dtype=np.int64)
+
+
 def _piece_ids(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and size of each piece's ids in a flat array."""
     known = _KNOWN.setdefault(path, _Known())
-    encode = tokenizer(path)
     at = np.array([known.number.get(w, -1) for w in words], dtype=np.int64)
-    new = np.flatnonzero(at < 0).tolist()
-    fresh: list[list[int]] = []
-    for i in range(0, len(new), 10_000):
-        part = [words[k].decode() for k in new[i : i + 10_000]]
-        fresh += [e.ids for e in encode.encode_batch_fast(part, add_special_tokens=False)]
+    new = np.flatnonzero(at < 0)
+    fresh = [words[k] for k in new.tolist()]
+    parts = [_fresh_ids(fresh[i : i + 10_000], path) for i in range(0, len(fresh), 10_000)]
+    new_ids = np.concatenate([np.empty(0, np.uint32), *[p[0] for p in parts]])
+    new_sizes = np.concatenate([np.empty(0, np.int64), *[p[1] for p in parts]])
     old_ends = np.array(known.ends, dtype=np.int64)
     old_ids = np.array(known.ids, dtype=np.uint32)
-    new_sizes = np.array([len(x) for x in fresh], dtype=np.int64)
     sizes = np.empty(len(words), dtype=np.int64)
     begin = np.empty(len(words), dtype=np.int64)
     seen = at >= 0
     begin[seen] = old_ends[at[seen]]
     sizes[seen] = old_ends[at[seen] + 1] - begin[seen]
     sizes[new] = new_sizes
-    begin[new] = len(old_ids) + np.cumsum(new_sizes) - new_sizes
-    flat = np.concatenate([old_ids, np.array([i for x in fresh for i in x], dtype=np.uint32)])
-    for k, ids in zip(new[: max(KNOWN_PIECES - len(known.number), 0)], fresh, strict=False):
-        known.number[words[k]] = len(known.number)
-        known.ids.extend(ids)
-        known.ends.append(len(known.ids))
+    new_ends = len(old_ids) + np.cumsum(new_sizes)
+    begin[new] = new_ends - new_sizes
+    flat = np.concatenate([old_ids, new_ids])
+    kept = fresh[: max(KNOWN_PIECES - len(known.number), 0)]
+    known.number.update(zip(kept, range(len(known.number), len(known.number) + len(kept))))
+    known.ends.frombytes(new_ends[: len(kept)].astype(np.int64).tobytes())
+    known.ids.frombytes(new_ids[: int(new_sizes[: len(kept)].sum())].tobytes())
     return begin, sizes, flat
 
 

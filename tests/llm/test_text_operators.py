@@ -137,6 +137,36 @@ def test_token_files(corpus, nothing):
     assert wavelet.read_ids(wavelet.write_files(nothing, path, parts=2)).count() == 0
 
 
+def test_new_pieces_are_encoded_together(monkeypatch):
+    path = tokenizer_path("byte_bpe_50k.json")
+    plain = wavelet.tokenizer(path)
+    texts = ["", "one two  three\n four", " x\u00a0 y\u2003 z", "\t\t", "caf\u00e9 \u6f22\u5b57 \U0001f600", "it's 10 <|x|> "]
+    texts += [" ".join(f"w{k}x{j}" for j in range(40)) + " \n" * (k % 3) for k in range(60)]
+    sent = []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(plain, name)
+
+        def encode_batch_fast(self, parts, **kwargs):
+            sent.extend(parts)
+            return plain.encode_batch_fast(parts, **kwargs)
+
+    monkeypatch.setattr(wavelet, "tokenizer", lambda _: Counted())
+    monkeypatch.setattr(wavelet, "_KNOWN", {})
+    expected = [[*plain.encode(t, add_special_tokens=False).ids, wavelet.END_ID] for t in texts]
+    for _ in range(2):
+        ids, lengths = wavelet.encoded([t.encode() for t in texts], path)
+        assert ids.tolist() == [i for x in expected for i in x]
+        assert lengths.tolist() == [len(x) for x in expected]
+    assert len(sent) < 200
+    # Where tokens do not meet the borders of pieces, each piece is encoded by itself.
+    monkeypatch.setattr(wavelet, "_token_bytes", lambda _: np.ones(1 << 17, dtype=np.int64))
+    monkeypatch.setattr(wavelet, "_KNOWN", {})
+    ids, _ = wavelet.encoded([t.encode() for t in texts], path)
+    assert ids.tolist() == [i for x in expected for i in x]
+
+
 def test_toxicity_learns_and_scores_every_row(spark, corpus, nothing):
     rng = np.random.default_rng(1)
     rows = []
