@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stopflow.llm import mixing, queries, sketches, toxicity, wordbpe
 from stopflow.llm.shipping import ship
-from stopflow.session import stored
+from stopflow.session import passing, stored
 
 # Text bytes of a block in the last stage: its tasks run in executors that other stages have filled.
 ENCODE_BLOCK_BYTES = 4 << 20
@@ -38,9 +38,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     and so do documents without a word. Other columns pass through; an empty table stays empty.
     """
     ship(spark)
-    groups = sketches.near_duplicates(docs, words=5, percent=80)
-    # Stored, so that the join sees how few there are and leaves the texts where they lie.
-    gone = stored(groups.where("NOT kept").select("doc_id").distinct(), "gone")
+    with passing(spark):
+        groups = sketches.near_duplicates(docs, words=5, percent=80)
+        # Stored, so that the join sees how few there are and leaves the texts where they lie.
+        few = groups.where("NOT kept").select("doc_id").distinct()
+        gone = stored(few, "gone", outlive=True)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

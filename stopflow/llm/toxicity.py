@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stopflow.llm.text import END, PLAIN, chunks, spans, text_bytes, token_table
-from stopflow.session import stored
+from stopflow.session import passing, stored
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -377,17 +377,19 @@ def fit_all(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Model:
     to start from; then each of ``PASS_RATES`` is one pass over all of them by Spark tasks. To the
     driver come one row per embedding and pass, and one per language.
     """
-    rows = _labelled(docs, labels)
-    held = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(1000)) < 1000 * CHECK_SHARE
-    learnt = rows.where(~held)
-    sample = _sample(learnt, learnt)
-    texts = [bytes(r.text) for r in sample]
-    model = train(texts, np.array([r.toxic for r in sample], dtype=np.float64), seed)
-    dealt = learnt.coalesce(max(learnt.count() // TASK_ROWS, 1))
-    for k, rate in enumerate(PASS_RATES):
-        model = _descended(dealt, model, rate, [seed, k])
-    checked = with_scores(rows.where(held).select("text", "lang", "toxic"), model)
-    model.thresholds = grid_thresholds(checked)
+    # The model is on the driver: the labelled texts need not stay in the shared folder.
+    with passing(docs.sparkSession):
+        rows = _labelled(docs, labels)
+        held = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(1000)) < 1000 * CHECK_SHARE
+        learnt = rows.where(~held)
+        sample = _sample(learnt, learnt)
+        texts = [bytes(r.text) for r in sample]
+        model = train(texts, np.array([r.toxic for r in sample], dtype=np.float64), seed)
+        dealt = learnt.coalesce(max(learnt.count() // TASK_ROWS, 1))
+        for k, rate in enumerate(PASS_RATES):
+            model = _descended(dealt, model, rate, [seed, k])
+        checked = with_scores(rows.where(held).select("text", "lang", "toxic"), model)
+        model.thresholds = grid_thresholds(checked)
     return model
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +49,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _SCRATCH: dict[str, list[str]] = {}
+# The tables of each ``passing`` block that is open, the outermost first.
+_PASSING: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def release(spark: SparkSession) -> int:
@@ -55,26 +67,47 @@ def release(spark: SparkSession) -> int:
     evaluated afterwards.
     """
     paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+    _delete(spark, paths)
     return len(paths)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end the stage tables written inside, but those stored with ``outlive``.
+
+    For results that are on the driver or stored: other frames made inside cannot be evaluated
+    afterwards.
+    """
+    paths: list[str] = []
+    token = _PASSING.set((*_PASSING.get(), paths))
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        known = _SCRATCH.get(spark.sparkContext.applicationId, [])
+        for path in paths:
+            if path in known:
+                known.remove(path)
+        _delete(spark, paths)
+
+
+def scratch_path(spark: SparkSession, name: str, outlive: bool = False) -> str:
     """A fresh path for an intermediate table in the shared folder."""
     path = f"{shared_dir(spark).rstrip('/')}/stopflow/{name}-{uuid.uuid4().hex}"
     _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    blocks = _PASSING.get()[: -1 if outlive else None]
+    if blocks:
+        blocks[-1].append(path)
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Cuts the lineage where several later steps need the same rows: they then scan only the
-    columns they use, and a lost executor costs a file read instead of the whole plan.
+    columns they use, and a lost executor costs a file read instead of the whole plan. With
+    ``outlive`` the table stays when the innermost ``passing`` block ends.
     """
-    path = scratch_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name, outlive)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from stopflow.llm import toxicity  # noqa: E402
+from stopflow.session import passing, shared_dir, stored  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,6 +83,40 @@ def test_stages_on_awkward_rows(spark):
     assert {r.n_tokens for r in out if r.doc_id in (3, 4, 5)} == {0}
 
 
+def stage_tables(spark):
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "stopflow"
+    return {p.name.rsplit("-", 1)[0]: p for p in folder.glob("*")} if folder.exists() else {}
+
+
+def test_stages_keep_no_table_that_nothing_reads(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("stopflow.session.shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setitem(globals(), "shared_dir", lambda _: str(tmp_path))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, SF)
+    assert not stage_tables(spark)
+    assert 0 < kept.count() <= docs.count()
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert set(stage_tables(spark)) == {"gone"}
+    gone = spark.read.parquet(str(stage_tables(spark)["gone"])).count()
+    assert kept.count() == docs.count() - gone
+
+
+def test_passing_tables_go_with_their_block(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("stopflow.session.shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setitem(globals(), "shared_dir", lambda _: str(tmp_path))
+    before = stored(spark.range(3), "before")
+    with passing(spark):
+        with passing(spark):
+            stored(spark.range(4), "inner")
+            middle = stored(spark.range(5), "middle", outlive=True)
+            last = stored(spark.range(6), "last", outlive=True)
+        assert set(stage_tables(spark)) == {"before", "middle", "last"}
+        assert middle.count() == 5 and last.count() == 6
+        after = stored(spark.range(7), "after", outlive=True)
+    assert set(stage_tables(spark)) == {"before", "after"}
+    assert before.count() == 3 and after.count() == 7
+
+
 def test_stages_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
