@@ -36,8 +36,9 @@ WORD_DROP = 0.3
 CHECK_SHARE, PRECISION = 0.2, 0.98
 THRESHOLD = 0.7
 # Passes over all rows by their rates, rows that a further task of a pass is worth, and text bytes
-# that it holds at once.
+# that it holds at once. A task reads more than FULL_TASK_ROWS only if the files are dealt so.
 PASS_RATES, TASK_ROWS, PASS_BYTES = (0.01, 0.01, 0.005, 0.002), 4_000, 2 << 20
+FULL_TASK_ROWS = 64_000
 # Changes of weights are summed in whole steps of 1 / DELTA_STEPS, so that their order does not
 # matter; thresholds of all rows lie on a grid of 1 / SCORE_STEPS.
 DELTA_STEPS, SCORE_STEPS = 1 << 24, 1 << 12
@@ -355,6 +356,15 @@ def _descended(rows: DataFrame, model: Model, rate: float, seed: list[int]) -> M
     return _with_weights(after)
 
 
+def _pass_tasks(rows: int, cores: int) -> int:
+    """Tasks of a pass: one per ``TASK_ROWS`` as far as cores are there, and more for many rows.
+
+    Each sends its change of nearly all weights whatever its rows, so tasks beyond the cores only
+    add to the exchange.
+    """
+    return max(min(rows // TASK_ROWS, cores), rows // FULL_TASK_ROWS, 1)
+
+
 def grid_thresholds(scored: DataFrame) -> dict[str, float]:
     """``calibrated_thresholds`` of rows (score, toxic, lang), from their counts on a grid."""
     step = F.floor(F.col("score") * SCORE_STEPS).alias("step")
@@ -385,7 +395,8 @@ def fit_all(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Model:
         sample = _sample(learnt, learnt)
         texts = [bytes(r.text) for r in sample]
         model = train(texts, np.array([r.toxic for r in sample], dtype=np.float64), seed)
-        dealt = learnt.coalesce(max(learnt.count() // TASK_ROWS, 1))
+        cores = docs.sparkSession.sparkContext.defaultParallelism
+        dealt = learnt.coalesce(_pass_tasks(learnt.count(), cores))
         for k, rate in enumerate(PASS_RATES):
             model = _descended(dealt, model, rate, [seed, k])
         checked = with_scores(rows.where(held).select("text", "lang", "toxic"), model)

@@ -320,6 +320,32 @@ def test_toxicity_model_learns_from_every_labelled_row(spark, tmp_path, monkeypa
     assert pairs > 0.95
 
 
+def test_toxicity_passes_take_no_more_tasks_than_cores(spark, monkeypatch):
+    """Every task of a pass sends its change of nearly all weights."""
+    monkeypatch.setattr(toxicity, "TASK_ROWS", 10)
+    monkeypatch.setattr(toxicity, "STEPS", 10)
+    rows = [(k, f"text {k} of {k % 7}", "en", int(k % 5 == 0)) for k in range(600)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    learnt, dealt, seen = toxicity._descended, [], []
+
+    def counted(given, *rest):
+        dealt.append(given.rdd.getNumPartitions())
+        seen.append(given.count())
+        return learnt(given, *rest)
+
+    monkeypatch.setattr(toxicity, "_descended", counted)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        toxicity.fit_all(labelled, labelled)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    cores = spark.sparkContext.defaultParallelism
+    assert len(dealt) == len(toxicity.PASS_RATES) and 1 < max(dealt) <= cores
+    assert len(set(seen)) == 1 and 400 < seen[0] < 560
+    tasks = [toxicity._pass_tasks(n, 100) for n in (0, 39, 5_000, 64_000 * 300)]
+    assert tasks == [1, 3, 100, 300]
+
+
 def test_toxicity_thresholds_by_counts(spark):
     rng = np.random.default_rng(4)
     rows = []
