@@ -27,22 +27,30 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     )
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for each node of the edges (a, b); component is its smallest member.
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges (from larger to smaller ends) are stars already."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select("b", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up + down > 1").agg(F.count("*")).first()[0] == 0
+
 
-    Alternates the large and the small star until the edges are stars already. Every round is
-    written to the shared folder, so a lost executor repeats one round at most. Loops and
-    repeated edges have no effect; a missing end drops the edge.
+def stars(edges: DataFrame) -> DataFrame:
+    """(node, component) for each node of the edges (a, b) but the smallest of its component.
+
+    Alternates the large and the small star until the edges are stars. Every round is written to
+    the shared folder, so a lost executor repeats one round at most. Loops and repeated edges
+    have no effect; a missing end drops the edge.
     """
-    edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a != b").select("a", "b").distinct()
+    edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a != b").select("a", "b")
     edges = stored(edges, "edges")
-    seen = None
     while True:
         edges = stored(_star(_star(edges, True), False), "stars")
-        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == seen:
-            break
-        seen = state
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-        edges.select("b", "b").distinct()
-    )
+        if _settled(edges):
+            return edges.toDF("node", "component")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for each node of the edges (a, b); component is its smallest member."""
+    tied = stars(edges)
+    return tied.union(tied.select("component", "component").distinct())

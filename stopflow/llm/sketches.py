@@ -21,9 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stopflow.llm.components import components
+from stopflow.llm.components import stars
 from stopflow.llm.text import chunks, mixed, text_bytes, token_table, word_hashes
-from stopflow.session import stored
+from stopflow.session import BROADCAST_ROWS, setting, stored
 
 SKETCH, LONG_SKETCH = 64, 512
 DEVIATIONS = 5.5
@@ -76,18 +76,17 @@ def sketches(docs: DataFrame, words: int = 5, k: int = SKETCH) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """node, and its whole sorted shingle set as bytes."""
+    """node, and its whole sorted shingle set."""
 
     def run(batches):
         for rest, texts in chunks(batches):
-            sets = [s.tobytes() for s in _shingle_sets(texts, words)]
+            sets = pa.array(list(_shingle_sets(texts, words)), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rest["doc_id"], pa.int64()), pa.array(sets, pa.binary())],
-                names=["node", "shingles"],
+                [pa.array(rest["doc_id"], pa.int64()), sets], names=["node", "shingles"]
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
-    return rows.mapInArrow(run, "node long, shingles binary")
+    return rows.mapInArrow(run, "node long, shingles array<long>")
 
 
 def _sampled_share(percent: int, k: int) -> float:
@@ -194,25 +193,17 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int, k: int) -> Da
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     pairs = stored(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    # Few nodes go to the texts, so that no text is shuffled.
+    few = 2 * pairs.count() <= setting(pairs.sparkSession, BROADCAST_ROWS)
+    nodes = F.broadcast(nodes) if few else nodes.distinct()
     sets = stored(full_sets(docs.join(nodes, "doc_id", "left_semi"), words), "sets")
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-
-    def run(batches):
-        for batch in batches:
-            sa, sb = batch.column("sa"), batch.column("sb")
-            keep = []
-            for i in range(batch.num_rows):
-                p = np.frombuffer(sa[i].as_py(), np.int64)
-                q = np.frombuffer(sb[i].as_py(), np.int64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
-            kept = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-            yield kept
-
-    both = pairs.join(x, "a").join(y, "b")
-    return both.mapInArrow(run, "a long, b long")
+    common = F.size(F.array_intersect("sa", "sb")).cast("long")
+    both = F.size("sa").cast("long") + F.size("sb")
+    near = (100 + percent) * common >= percent * both
+    return pairs.join(x, "a").join(y, "b").where(near).select("a", "b")
 
 
 def near_duplicates(
@@ -260,8 +251,7 @@ def near_duplicates(
         .groupBy("a")
         .agg(F.max_by("b", F.struct("w", -F.col("b"))).alias("b"))
     )
-    links = stored(verified(_estimated(first, classes, percent, k), docs, words, percent), "links")
-    part = components(links)
+    part = stars(verified(_estimated(first, classes, percent, k), docs, words, percent))
 
     labelled = stored(
         lists.join(part, "node", "left").withColumn(
@@ -296,14 +286,16 @@ def near_duplicates(
     )
     crossing = _estimated(crossing, longer, percent, LONG_SKETCH)
     more = verified(crossing, docs, words, percent)
-    own_class = named.join(classes.select("set_id", "node"), "set_id").select("doc_id", "node")
-    several = (
-        own_class.groupBy("doc_id")
-        .agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-        .where("lo != hi")
+    # Rows that share an id are one document, whatever classes they are in.
+    repeated = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    own_class = (
+        named.join(repeated, "doc_id", "left_semi")
+        .join(classes.select("set_id", "node"), "set_id")
+        .select("doc_id", "node")
     )
-    same_id = own_class.join(several, "doc_id").select(F.col("node").alias("a"), "lo")
-    final = components(links.union(more).union(same_id))
+    least = own_class.groupBy("doc_id").agg(F.min("node").alias("b"))
+    same_id = own_class.join(least, "doc_id").select(F.col("node").alias("a"), "b")
+    final = stars(part.toDF("a", "b").union(more).union(same_id))
 
     by_class = classes.join(final, "node", "left").select(
         "set_id", F.coalesce("component", "node").alias("component")

@@ -9,7 +9,18 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stopflow.llm import histsort, licenses, lmscore, mixing, sketches, toxicity, wavelet, wordbpe
+from stopflow import session
+from stopflow.llm import (
+    components,
+    histsort,
+    licenses,
+    lmscore,
+    mixing,
+    sketches,
+    toxicity,
+    wavelet,
+    wordbpe,
+)
 from stopflow.llm.queries import tokenizer_path, toxicity_model
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -502,6 +513,43 @@ def test_near_duplicate_chains(spark, monkeypatch):
     same([tuple(r) for r in got], brute_groups(rows, 4, 80))
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_rows_of_one_id_join_their_groups(spark, monkeypatch, most):
+    """Ids on several texts tie classes; copies under one id and empty texts tie none."""
+    monkeypatch.setattr(sketches, "BROADCAST_ROWS", ("stopflow.unset", most))
+    base = [" ".join(f"{w}{i}" for i in range(30)) for w in "pqrs"]
+    rows = [(9, base[0]), (9, base[1]), (3, base[1]), (5, base[0]), (4, base[2]), (4, base[2])]
+    rows += [(9, ""), (2, base[3]), (2, None), (1, base[3] + " s30")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sketches.near_duplicates(docs, words=4).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(9, 3), (3, 3), (5, 3), (4, 4), (2, 1), (1, 1)}
+
+
+def test_near_duplicates_take_few_rounds_and_leave_texts_in_place(spark, monkeypatch):
+    """Groups tied to one text are stars after a round, and no text is shuffled for few pairs."""
+    written = []
+
+    def stored(df, name, outlive=False):
+        written.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return session.stored(df, name, outlive)
+
+    monkeypatch.setattr(sketches, "stored", stored)
+    monkeypatch.setattr(components, "stored", stored)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(0, " ".join(base))] + [(k, " ".join([*base, f"x{k}"])) for k in range(1, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sketches.near_duplicates(docs, words=4).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r.component_id for r in got} == {0}
+    assert [n for n, _ in written].count("stars") == 2
+    plans = [plan for n, plan in written if n == "sets"]
+    assert len(plans) == 2
+    assert all("BroadcastHashJoin" in p and "hashpartitioning" not in p for p in plans)
+
+
 def test_ids_hash_as_in_the_query(spark):
     """crc32 of the id as text, as zlib counts it, fixes the folds."""
     rows = spark.range(50).selectExpr("id AS doc_id").withColumn("h", lmscore.held_out()).collect()
