@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stopflow import session
 from stopflow.llm import annlinks, mtree
 from stopflow.llm.components import components
 from stopflow.llm.packing import from_file, packed, to_file, unpacked
@@ -138,6 +139,32 @@ def test_links_of_a_near_copy_group_above_the_cell_size(spark, corpus, monkeypat
     assert 0.9 * there <= found <= there
 
 
+def test_cells_are_taken_where_they_save_work(spark, corpus, monkeypatch):
+    """Scattered vectors, near every border, cost no more than in one cell; far clusters keep theirs."""
+    monkeypatch.setattr(annlinks, "CELL_ROWS", 100)
+    monkeypatch.setattr(annlinks, "SHARD_ROWS", 250)
+    written = {}
+
+    def kept(df, name, outlive=False):
+        written[name] = session.stored(df, name, outlive)
+        return written[name]
+
+    monkeypatch.setattr(annlinks, "stored", kept)
+    rng = np.random.default_rng(11)
+    scattered = rng.normal(0, 1, (500, 16))
+    rows = [(k, v.tolist(), 1, "x") for k, v in enumerate(np.vstack([scattered, scattered[:20] * 1.01]))]
+    got = annlinks.linked(spark.createDataFrame(rows, SCHEMA))
+    cells = written["members"].groupBy("cell").agg(F.count("*").alias("held"), F.sum(F.col("home").cast("int")).alias("ask"))
+    met = sum(r.held + r.ask * -(-r.held // 250) for r in cells.collect())
+    assert met <= 520 + 520 * 3  # all in one cell of three shards
+    assert {r.vec_id for r in got.collect() if r.n_links} == {*range(20), *range(500, 520)}
+
+    far = np.repeat(np.eye(8), 250, axis=0) + rng.normal(0, 0.02, (2000, 8))
+    x = annlinks.unit(far[rng.permutation(2000)])
+    cells = annlinks.spread(x[:40], x[40:], annlinks.THRESHOLD, len(x))
+    assert len(np.unique(cells.argmax(axis=1))) == 8
+
+
 def test_components(spark, corpus):
     rng = np.random.default_rng(4)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(k, k + 1) for k in range(400, 460)]
